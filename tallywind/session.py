@@ -31,6 +31,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tallywind")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")

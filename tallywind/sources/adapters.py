@@ -128,8 +128,8 @@ def archive_meta(cycles: DataFrame) -> DataFrame:
     offsets = (F.when(hour == 5, F.array().cast("array<bigint>"))
                .when(hour == 7, F.array(F.lit(60), F.lit(600)).cast("array<bigint>"))
                .otherwise(F.array(F.lit(60)).cast("array<bigint>")))
-    team = cycles.select(F.lit("team").alias("feed"),
-                         (F.col("ts") - F.explode(offsets)).alias("snapshot_ts"))
+    team = cycles.select("ts", F.explode(offsets).alias("ahead")).select(
+        F.lit("team").alias("feed"), (F.col("ts") - F.col("ahead")).alias("snapshot_ts"))
     user = cycles.select(F.lit("user").alias("feed"), F.col("ts").alias("snapshot_ts"))
     return team.unionByName(user).select(
         "feed", "snapshot_ts", (F.col("snapshot_ts") + 30).alias("fetched_ts"),
