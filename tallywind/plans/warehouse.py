@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywind.operators import diff, marts, rollups, windows
-from tallywind.session import materialize, prepare, shared_dir
+from tallywind.session import drop_scratch, materialize, prepare, scratch_mark, shared_dir
 from tallywind.sources import adapters as A
 
 MEMBER, TEAM = diff.MEMBER, diff.TEAM
@@ -34,10 +34,24 @@ class Warehouse:
 
     def __init__(self, spark: SparkSession, sf_dir: str, world: str):
         self.spark, self.sf_dir, self.world = spark, sf_dir, world
+        self._memo: dict[str, object] = {}
+
+    def once(self, key: str, make):
+        """Build something of this world on first use."""
+        if key not in self._memo:
+            self._memo[key] = make()
+        return self._memo[key]
 
     def _keep(self, df: DataFrame, label: str) -> DataFrame:
         return materialize(df, f"{self.world}-{label}")
 
+    def _build(self, make, label: str) -> DataFrame:
+        """Keep what ``make()`` returns and drop the numbering tables it went through."""
+        mark = scratch_mark()
+        out = self._keep(make(), label)
+        drop_scratch(self.spark, mark)
+        return out
+
     @cached_property
     def base(self) -> DataFrame:
         if self.world == "daily":
@@ -108,16 +122,19 @@ class Warehouse:
 
     @cached_property
     def members(self) -> DataFrame:
-        return self._keep(marts.member_mart(self.member_production, self.clock), "members")
+        prod = self.member_production
+        return self._build(lambda: marts.member_mart(prod, self.clock), "members")
 
     @cached_property
     def teams(self) -> DataFrame:
-        return self._keep(marts.team_mart(self.team_production, self.members, self.clock), "teams")
+        members, prod = self.members, self.team_production
+        return self._build(lambda: marts.team_mart(prod, members, self.clock), "teams")
 
     @cached_property
     def donors(self) -> DataFrame:
         shared = 20 if self.world == "daily" else marts.SHARED_TEAMS
-        return self._keep(marts.donor_mart(self.members, self.clock, shared), "donors")
+        members = self.members
+        return self._build(lambda: marts.donor_mart(members, self.clock, shared), "donors")
 
     @cached_property
     def groups(self) -> DataFrame:

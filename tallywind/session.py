@@ -12,15 +12,17 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot join key even where that costs one more shuffle further up.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # A snapshot may be one large file; the parser job reads it whole, scans split it.
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
@@ -68,17 +70,54 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tallywind/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/tallywind/{app}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{app_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+# Intermediate tables a later build step has made redundant, per application.
+_scratch: list[str] = []
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, scratch: bool = False) -> DataFrame:
     """Cut lineage: write ``df`` as a Parquet table in the shared folder and read it back.
 
     Unlike a cached frame the table outlives lost executors, and unlike an RDD checkpoint
-    later scans of it prune columns and skip row groups.
+    later scans of it prune columns and skip row groups. A ``scratch`` table goes away with
+    the next :func:`drop_scratch`.
     """
     path = new_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
+    if scratch:
+        _scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_mark() -> int:
+    return len(_scratch)
+
+
+def drop_scratch(spark: SparkSession, mark: int = 0) -> None:
+    """Delete the scratch tables written since ``mark``; their readers must be done."""
+    for path in _scratch[mark:]:
+        delete_path(spark, path)
+    del _scratch[mark:]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete every table this application wrote to the shared folder."""
+    _scratch.clear()
+    delete_path(spark, app_dir(spark))

@@ -10,13 +10,20 @@ from tallywind.functions import scalars as S
 
 def write_by_day(df: DataFrame, path: str, ts: str = "ts") -> None:
     """Replace exactly the (day, cycle) partitions present in ``df``: writing a cycle again
-    gives the same table. Rows of a cycle are spread by their key before the write, so a
-    large cycle is written by several tasks."""
+    gives the same table."""
     out = df.withColumn("day", S.day_index(ts)).withColumn("cycle", F.col(ts))
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("day", "cycle").parquet(path))
 
 
+def write_batch(df: DataFrame, path: str, batch_id: int, ts: str = "ts") -> None:
+    """Replace the (day, batch) partitions of one micro-batch. Running the batch again after
+    a failure writes the same partitions; days stay whole folders for retention."""
+    out = df.withColumn("day", S.day_index(ts)).withColumn("batch", F.lit(batch_id))
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("day", "batch").parquet(path))
+
+
 def replace_partitions(df: DataFrame, path: str, *columns: str) -> None:
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*columns).parquet(path))

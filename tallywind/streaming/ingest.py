@@ -1,7 +1,7 @@
 """Incremental ingest: snapshot folders in, delta, rollup and audit tables out.
 
 Each micro-batch of snapshot files is validated, differenced against keyed state and
-committed as whole (day, cycle) partitions, so a batch that is run again after a failure
+committed as whole (day, batch) partitions, so a batch that is run again after a failure
 writes the same tables. A snapshot that fails validation goes to ``quarantine`` and does
 not hold up the ones after it.
 """
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tallywind.functions import scalars as S
 from tallywind.operators import rollups
 from tallywind.schemas import MEMBER_SNAPSHOT, TEAM_SNAPSHOT
-from tallywind.sources.sinks import replace_partitions, write_by_day
+from tallywind.session import path_exists
+from tallywind.sources.sinks import replace_partitions, write_batch
 from tallywind.streaming.differencing import deltas_of, movement_stream
 from tallywind.streaming.runner import open_table_stream, run_available, use_stream_conf
 
@@ -32,52 +33,61 @@ def rejected_rows(snapshots: DataFrame) -> DataFrame:
     return snapshots.filter("NOT (score >= 0 AND wus >= 0 AND team_id IS NOT NULL) OR score IS NULL OR wus IS NULL")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def commit(feed: str, out: str, publish: Callable[[SparkSession, int], None] | None = None):
-    """foreachBatch body: deltas, audit, then the rollups of the days the batch touched."""
+    """foreachBatch body: totals, deltas, audit, then the rollups of the days touched.
+
+    The batch is first written whole, so that the stateful operator runs once and what
+    follows reads a table that does not depend on any executor.
+    """
     keys, _ = FEEDS[feed]
 
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.persist()
-        try:
-            audit = batch.groupBy("ts").agg(
-                F.count(F.lit(1)).alias("row_count"), F.count_if("first_sighting").alias("new_entities"),
-                F.count_if("is_delta").alias("deltas"), F.count_if(F.col("d_score") < 0).alias("regressions"))
-            touched = [r["day"] for r in audit.select(S.day_index("ts").alias("day")).distinct().collect()]
-            if not touched:
-                return
-            write_by_day(deltas_of(batch, keys), f"{out}/{feed}_delta")
-            replace_partitions(audit.withColumn("cycle", F.col("ts")), f"{out}/{feed}_cycles", "cycle")
-            rebuild_days(spark, out, feed, touched)
-            if publish is not None:
-                newest = batch.agg(F.max("ts").alias("m")).first()["m"]
-                publish(spark, newest)
-        finally:
-            batch.unpersist()
+        staged = f"{out}/_staged/{feed}"
+        batch.write.mode("overwrite").parquet(staged)
+        rows = spark.read.schema(batch.schema).parquet(staged)
+        audit = rows.groupBy("ts").agg(
+            F.count(F.lit(1)).alias("row_count"), F.count_if("first_sighting").alias("new_entities"),
+            F.count_if("is_delta").alias("deltas"), F.count_if(F.col("d_score") < 0).alias("regressions"))
+        # One value per calendar day in the batch.
+        touched = [r["day"] for r in audit.select(S.day_index("ts").alias("day")).distinct().collect()]
+        if not touched:
+            return
+        write_batch(rows.select(*keys, "ts", "score", "wus"), f"{out}/{feed}_totals", batch_id)
+        write_batch(deltas_of(rows, keys), f"{out}/{feed}_delta", batch_id)
+        write_batch(audit, f"{out}/{feed}_cycles", batch_id)
+        rebuild_days(spark, out, feed, touched)
+        if publish is not None:
+            publish(spark, rows.agg(F.max("ts").alias("m")).first()["m"])
 
     return body
 
 
+def restore_state(spark: SparkSession, out: str, feed: str) -> DataFrame:
+    """Latest totals from the committed tables, to seed a stream with a new checkpoint."""
+    keys, _ = FEEDS[feed]
+    rows = spark.read.parquet(f"{out}/{feed}_totals")
+    last = F.max_by(F.struct("score", "wus"), F.col("ts"))
+    return rows.groupBy(*keys).agg(F.max("ts").alias("ts"), last.alias("v")).select(
+        *keys, "ts", "v.score", "v.wus")
+
+
 def rebuild_days(spark: SparkSession, out: str, feed: str, days: list[int]) -> None:
     """Recompute whole daily buckets, then the months they are in from the daily table.
 
     ``days`` are the calendar days of one batch, read with partition pruning.
     """
-    keys, _ = FEEDS[feed]
-    if not _exists(spark, f"{out}/{feed}_delta"):
-        return
-    delta = spark.read.parquet(f"{out}/{feed}_delta").filter(F.col("day").isin(days)).drop("day", "cycle")
+    keys, schema = FEEDS[feed]
+    entity = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema if f.name in keys)
+    # Schemas are given because a table holds no file until the first delta arrives.
+    delta = (spark.read.schema(f"{entity}, ts bigint, d_score bigint, d_wu bigint, day bigint, batch bigint")
+             .parquet(f"{out}/{feed}_delta").filter(F.col("day").isin(days)).drop("day", "batch"))
     replace_partitions(rollups.daily(delta, keys), f"{out}/{feed}_daily", "day")
-    if not _exists(spark, f"{out}/{feed}_daily"):
+    if not path_exists(spark, f"{out}/{feed}_daily"):
         return
     months = [r["m"] for r in spark.createDataFrame([(d,) for d in days], "day bigint")
               .select(S.month_of_day("day").alias("m")).distinct().collect()]
-    daily = spark.read.parquet(f"{out}/{feed}_daily").withColumn("day", F.col("day").cast("bigint"))
+    daily = spark.read.schema(f"{entity}, points bigint, wus bigint, day bigint").parquet(f"{out}/{feed}_daily")
     lo = S.month_start_day(F.lit(min(months)).cast("bigint"))
     hi = S.month_start_day(F.lit(max(months) + 1).cast("bigint"))
     rows = daily.filter((F.col("day") >= lo) & (F.col("day") < hi))
