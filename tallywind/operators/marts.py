@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallywind.functions import scalars as S
 from tallywind.operators import ranking as R
 from tallywind.operators.windows import WINDOW_COLUMNS, Clock, rates
+from tallywind.session import together
 
 # Names on more teams than this are likely shared; embedded lists are capped.
 SHARED_TEAMS = 50
@@ -23,34 +24,68 @@ def _total_then(score="score", last24="points_last_24h") -> Column:
     return F.greatest(F.col(score) - F.col(last24), F.lit(0).cast("bigint"))
 
 
-def rank_then(rows: DataFrame, keys: list[str], total: str, tie: list[Column]) -> DataFrame:
-    """Ranks of the reconstructed totals among the entities that existed at the baseline."""
-    pos = R.with_position(rows.filter(F.col(total).isNotNull()).select(*rows.columns),
-                          [F.col(total).desc(), *tie], "rank_then")
+def _order(total: str, keys: list[str]) -> list[Column]:
+    """Total first; ties go to the entity seen first, then to its key."""
+    return [F.col(total).desc(), F.col("first_seen").asc(), *[F.col(k).asc() for k in keys]]
+
+
+def _rank_now(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, score, rank). Only keys and sort columns travel through the range shuffle;
+    the wide production rows are joined once, at the end."""
+    slim = rows.select(*keys, "score", "first_seen")
+    return R.with_position(slim, _order("score", keys), "rank").drop("first_seen")
+
+
+def _rank_then(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Ranks of the reconstructed totals, among the entities that existed at the baseline."""
+    pos = R.with_position(rows.select(*keys, "total_then", "first_seen"), _order("total_then", keys), "rank_then")
     return pos.select(*keys, "rank_then")
 
 
+def _existed(clock: Clock) -> Column:
+    return F.col("first_seen") <= F.lit(clock.baseline)
+
+
+def _ranks(prod: DataFrame, keys: list[str], clock: Clock, more=lambda now: now) \
+        -> tuple[DataFrame, DataFrame | None]:
+    """Ranks now, taken further by ``more``, beside the ranks a day ago."""
+    if clock.baseline is None:
+        return more(_rank_now(prod, keys)), None
+    then = prod.filter(_existed(clock)).select(*keys, "first_seen", _total_then().alias("total_then"))
+    now, before = together(lambda: more(_rank_now(prod, keys)), lambda: _rank_then(then, keys))
+    return now, before
+
+
+def _join_ranks(prod: DataFrame, now: DataFrame, before: DataFrame | None, keys: list[str]) -> DataFrame:
+    out = prod.join(R.with_tie_width(now, "score").drop("score"), keys)
+    if before is None:
+        return out.withColumn("rank_change_24h", F.lit(None).cast("bigint"))
+    return (out.join(before, keys, "left")
+            .withColumn("rank_change_24h", _change("rank_then", "rank")).drop("rank_then"))
+
+
+def _arrived(clock: Clock) -> Column:
+    flag = F.lit(None).cast("boolean") if clock.baseline is None else ~_existed(clock)
+    return flag.alias("arrived_24h")
+
+
 def rank_entities(prod: DataFrame, keys: list[str], clock: Clock) -> DataFrame:
     """Lifetime rank, tie width, arrival flag and 24 h rank change for members or teams."""
-    tie = [F.col("first_seen").asc(), *[F.col(k).asc() for k in keys]]
-    ranked = R.with_position(prod, [F.col("score").desc(), *tie], "rank")
-    ranked = R.with_tie_width(ranked, "score")
-    if clock.baseline is None:
-        return (ranked.withColumn("rank_change_24h", F.lit(None).cast("bigint"))
-                .withColumn("arrived_24h", F.lit(None).cast("boolean")))
-    existed = F.col("first_seen") <= F.lit(clock.baseline)
-    then = prod.filter(existed).select(*keys, "first_seen", _total_then().alias("total_then"))
-    then = rank_then(then, keys, "total_then", tie)
-    return (ranked.join(then, keys, "left")
-            .withColumn("rank_change_24h", _change("rank_then", "rank"))
-            .withColumn("arrived_24h", ~existed).drop("rank_then"))
+    now, before = _ranks(prod, keys, clock)
+    return _join_ranks(prod, now, before, keys).select("*", _arrived(clock))
 
 
 def member_mart(prod: DataFrame, clock: Clock) -> DataFrame:
     """Members with global rank, rank in their team and position among their name's teams."""
-    ranked = rank_entities(prod, ["name", "team_id"], clock)
-    ranked = R.with_group_position(ranked, ["team_id"], [F.col("rank").asc()], "rank_in_team")
-    return R.with_group_position(ranked, ["name"], [F.col("rank").asc()], "rank_in_name")
+    keys, by_rank = ["name", "team_id"], [F.col("rank").asc()]
+
+    def within(now: DataFrame) -> DataFrame:
+        # One frame gathers all positions, so that only it meets the production rows.
+        team = R.with_group_position(now, ["team_id"], by_rank, "rank_in_team")
+        return R.with_group_position(team, ["name"], by_rank, "rank_in_name")
+
+    now, before = _ranks(prod, keys, clock, within)
+    return _join_ranks(prod, now, before, keys).select("*", _arrived(clock))
 
 
 def team_member_counts(members: DataFrame) -> DataFrame:
@@ -87,18 +122,14 @@ def donor_production(members: DataFrame, shared_teams: int = SHARED_TEAMS) -> Da
 
 
 def donor_mart(members: DataFrame, clock: Clock, shared_teams: int = SHARED_TEAMS) -> DataFrame:
-    d = donor_production(members, shared_teams)
-    tie = [F.col("first_seen").asc(), F.col("name").asc()]
-    ranked = R.with_tie_width(R.with_position(d, [F.col("score").desc(), *tie], "rank"), "score")
+    donors, keys = donor_production(members, shared_teams), ["name"]
     if clock.baseline is None:
-        return ranked.withColumn("rank_change_24h", F.lit(None).cast("bigint"))
+        return _join_ranks(donors, _rank_now(donors, keys), None, keys)
     # Clamped per member, then summed over the members that existed at the baseline.
-    existed = members.filter(F.col("first_seen") <= F.lit(clock.baseline))
-    then = existed.groupBy("name").agg(
+    then = members.filter(_existed(clock)).groupBy("name").agg(
         F.sum(_total_then()).alias("total_then"), F.min("first_seen").alias("first_seen"))
-    then = rank_then(then, ["name"], "total_then", tie)
-    return (ranked.join(then, "name", "left")
-            .withColumn("rank_change_24h", _change("rank_then", "rank")).drop("rank_then"))
+    now, before = together(lambda: _rank_now(donors, keys), lambda: _rank_then(then, keys))
+    return _join_ranks(donors, now, before, keys)
 
 
 PRODUCTION = ["score", "wus", *WINDOW_COLUMNS, "points_per_day_7d_avg", "points_per_day_24h_avg",

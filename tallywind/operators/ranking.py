@@ -4,13 +4,13 @@ An un-partitioned ``row_number`` runs in a single task, and one partitioned by a
 group runs that group in a single task. Both are replaced here by a range shuffle on a
 unique sort key: rows are numbered inside each range partition while they stream past
 (``monotonically_increasing_id`` already carries partition and row index), the numbered
-frame is written once so both later reads see the same partitions, and the per-partition
-counts turn into offsets.
+frame is written once so that every later read sees the same partitions, and the
+per-partition counts turn into offsets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywind.session import materialize
@@ -22,21 +22,23 @@ _ROW_MASK = (1 << _ROW_BITS) - 1
 def with_position(df: DataFrame, order: list[Column], out: str = "position") -> DataFrame:
     """Add the 1-based position of every row under a *unique* ordering.
 
-    Cost: one range shuffle and one write of ``df``. The offsets frame has one row per
-    shuffle partition, which bounds both its window and its broadcast.
+    Cost: one range shuffle and one write of ``df``, then a count over one column of the
+    written table. The counts are one number per shuffle partition; they come back as a
+    constant, so what is returned is a projection of a scan and can be read repeatedly.
     """
     numbered = materialize(
         df.repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumn("__row", F.monotonically_increasing_id()),
         "positions", scratch=True)
     part = F.shiftright("__row", _ROW_BITS)
-    counts = numbered.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return (numbered.withColumn("__part", part)
-            .join(F.broadcast(offsets), "__part")
-            .withColumn(out, F.col("__before") + F.col("__row").bitwiseAND(F.lit(_ROW_MASK)) + 1)
-            .drop("__part", "__row", "__before"))
+    counts = {r[0]: r[1] for r in numbered.groupBy(part).agg(F.count(F.lit(1))).collect()}
+    before, total = [], 0
+    for i in range(max(counts, default=0) + 1):
+        before.append(total)
+        total += counts.get(i, 0)
+    offsets = F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>")
+    position = F.get(offsets, part.cast("int")) + F.col("__row").bitwiseAND(F.lit(_ROW_MASK)) + 1
+    return numbered.withColumn(out, position).drop("__row")
 
 
 def with_group_position(df: DataFrame, group: list[str], order: list[Column],
@@ -45,11 +47,12 @@ def with_group_position(df: DataFrame, group: list[str], order: list[Column],
 
     Sorting by (group, order) makes a group a contiguous run, so a row's position in it is
     its global position less that of the run's first row; the latter is a ``min`` that
-    combines map-side, one row per group.
+    combines map-side, one row per group. The join is a left join on a unique key, which
+    Catalyst drops wherever the position is not used.
     """
     pos = with_position(df, [F.col(g).asc() for g in group] + order, "__pos")
     first = pos.groupBy(*group).agg((F.min("__pos") - 1).alias("__first"))
-    return (pos.join(first, group)
+    return (pos.join(first, group, "left")
             .withColumn(out, F.col("__pos") - F.col("__first"))
             .drop("__pos", "__first"))
 
@@ -61,7 +64,7 @@ def with_tie_width(df: DataFrame, value: str, out: str = "tie") -> DataFrame:
     rows never sits in one window; the join's hot key is left to the skew-join split.
     """
     runs = df.groupBy(value).agg(F.count(F.lit(1)).alias(out))
-    return df.join(runs, value)
+    return df.join(runs, value, "left")
 
 
 def page(df: DataFrame, position: str, page_no: int = 1, per_page: int = 100) -> DataFrame:

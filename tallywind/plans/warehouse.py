@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywind.operators import diff, marts, rollups, windows
-from tallywind.session import drop_scratch, materialize, prepare, scratch_mark, shared_dir
+from tallywind.session import (drop_scratch, materialize, prepare, scratch_mark, shared_dir,
+                               together)
 from tallywind.sources import adapters as A
 
 MEMBER, TEAM = diff.MEMBER, diff.TEAM
@@ -53,20 +54,21 @@ class Warehouse:
         return out
 
     @cached_property
-    def base(self) -> DataFrame:
+    def feed_rows(self) -> DataFrame:
         if self.world == "daily":
-            return A.daily_base(self.spark, self.sf_dir)
-        return A.hourly_base(self.spark, self.sf_dir, corrections=self.world == "corrections")
+            base = A.daily_base(self.spark, self.sf_dir)
+        else:
+            base = A.hourly_base(self.spark, self.sf_dir, corrections=self.world == "corrections")
+        return self._keep(A.feed_rows(base), "feed-rows")
 
     @cached_property
     def raw_member_snapshot(self) -> DataFrame:
-        feed = A.member_feed(self.base)
-        feed = {"split": A.split_rows, "forged": A.forge_rows}.get(self.world, lambda f: f)(feed)
-        return self._keep(feed, "member-feed")
+        feed = A.member_feed(self.feed_rows)
+        return {"split": A.split_rows, "forged": A.forge_rows}.get(self.world, lambda f: f)(feed)
 
     @cached_property
     def team_snapshot(self) -> DataFrame:
-        return self._keep(A.team_feed(self.base), "team-feed")
+        return self._keep(A.team_feed(self.feed_rows), "team-feed")
 
     @property
     def member_snapshot(self) -> DataFrame:
@@ -146,9 +148,11 @@ class Warehouse:
         return self._keep(A.archive_meta(self.cycles), "snapshot-meta")
 
     def publish(self) -> "Warehouse":
-        """Build every table a read needs."""
-        for name in ("member_daily", "team_daily", "members", "teams", "donors"):
-            getattr(self, name)
+        """Build every table a read needs; tables that do not need each other go together."""
+        for step in (["feed_rows"], ["team_snapshot", "cycles", "member_delta", "member_state"],
+                     ["clock"], ["team_delta", "team_state", "member_production", "member_daily"],
+                     ["members", "team_production", "team_daily"], ["teams", "donors"]):
+            together(*[lambda name=name: getattr(self, name) for name in step])
         return self
 
     def lit_at(self):

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +39,6 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(n))
-        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     )
     for k, v in {**RUNTIME_CONF, **STREAM_CONF}.items():
         b = b.config(k, v)
@@ -78,8 +80,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{app_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-# Intermediate tables a later build step has made redundant, per application.
-_scratch: list[str] = []
+# Intermediate tables a later build step has made redundant, per building thread.
+_scratch = threading.local()
+
+
+def _scratch_paths() -> list[str]:
+    if not hasattr(_scratch, "paths"):
+        _scratch.paths = []
+    return _scratch.paths
 
 
 def materialize(df: DataFrame, label: str, scratch: bool = False) -> DataFrame:
@@ -92,19 +100,35 @@ def materialize(df: DataFrame, label: str, scratch: bool = False) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     if scratch:
-        _scratch.append(path)
+        _scratch_paths().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_mark() -> int:
-    return len(_scratch)
+    return len(_scratch_paths())
 
 
 def drop_scratch(spark: SparkSession, mark: int = 0) -> None:
     """Delete the scratch tables written since ``mark``; their readers must be done."""
-    for path in _scratch[mark:]:
+    paths = _scratch_paths()
+    for path in paths[mark:]:
         delete_path(spark, path)
-    del _scratch[mark:]
+    del paths[mark:]
+
+
+def together(*steps: Callable[[], object]) -> list:
+    """Run steps that write tables of their own at the same time, so that the short stages
+    of one fill the executors the other leaves idle. Scratch tables pass to the caller."""
+
+    def run(step: Callable[[], object]) -> tuple[object, list[str]]:
+        out = step()
+        return out, list(_scratch_paths())
+
+    with ThreadPoolExecutor(len(steps)) as pool:
+        done = [f.result() for f in [pool.submit(run, s) for s in steps]]
+    for _, paths in done:
+        _scratch_paths().extend(p for p in paths if p not in _scratch_paths())
+    return [out for out, _ in done]
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -119,5 +143,5 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def cleanup(spark: SparkSession) -> None:
     """Delete every table this application wrote to the shared folder."""
-    _scratch.clear()
+    _scratch_paths().clear()
     delete_path(spark, app_dir(spark))

@@ -76,19 +76,27 @@ def daily_base(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit(0).cast("bigint").alias("unattributed")))
 
 
-def member_feed(base: DataFrame) -> DataFrame:
-    """Cumulative totals per (name, team) at each cycle the counter moved."""
+def feed_rows(base: DataFrame) -> DataFrame:
+    """Per (name, team) and cycle the counter moved: how far, and the totals so far.
+
+    Both feeds come from this one table, so the source rows are joined and shuffled once.
+    """
     moved = base.groupBy("name", "team_id", "snapshot_ts").agg(
-        F.sum("pts").alias("p"), F.sum("units").alias("u"))
+        F.min("team_name").alias("team_name"), F.sum("pts").alias("p"), F.sum("units").alias("u"),
+        F.sum("unattributed").alias("x"))
     w = Window.partitionBy("name", "team_id").orderBy("snapshot_ts")
-    return moved.select("name", "team_id", "snapshot_ts",
+    return moved.select("name", "team_id", "team_name", "snapshot_ts", "p", "u", "x",
                         F.sum("p").over(w).alias("score"), F.sum("u").over(w).alias("wus"))
 
 
-def team_feed(base: DataFrame) -> DataFrame:
-    moved = base.groupBy("team_id", "snapshot_ts").agg(
-        F.min("team_name").alias("team_name"),
-        F.sum(F.col("pts") + F.col("unattributed")).alias("p"), F.sum("units").alias("u"))
+def member_feed(rows: DataFrame) -> DataFrame:
+    return rows.select("name", "team_id", "snapshot_ts", "score", "wus")
+
+
+def team_feed(rows: DataFrame) -> DataFrame:
+    moved = rows.groupBy("team_id", "snapshot_ts").agg(
+        F.min("team_name").alias("team_name"), F.sum(F.col("p") + F.col("x")).alias("p"),
+        F.sum("u").alias("u"))
     w = Window.partitionBy("team_id").orderBy("snapshot_ts")
     return moved.select("team_id", "team_name", "snapshot_ts",
                         F.sum("p").over(w).alias("score"), F.sum("u").over(w).alias("wus"))
