@@ -189,29 +189,30 @@ def with_teams_array(donors: DataFrame, breakdown: DataFrame) -> DataFrame:
 def project_summary(teams: DataFrame, donors: DataFrame, members: DataFrame, clock: Clock) -> DataFrame:
     """Totals from the team feed, which is authoritative, plus entity and arrival counts.
 
-    One pass over each mart; the three one-row results meet on a constant key.
+    One pass over each mart; donor and member counts come in as scalar subqueries.
     """
-    key = F.lit(1).alias("k")
     t = teams.agg(
         F.count(F.lit(1)).alias("teams_total"),
         F.count_if(F.col("points_last_7d") > 0).alias("teams_active"),
         *[F.sum(c).alias(c) for c in ["score", "wus", *WINDOW_COLUMNS]],
-        F.count_if(F.col("arrived_24h")).alias("new_teams")).select(key, "*")
-    d = donors.agg(
-        F.count(F.lit(1)).alias("donors_total"),
-        F.count_if(F.col("points_last_7d") > 0).alias("donors_active"),
-        F.count_if(F.col("rank_change_24h").isNull()).alias("new_donors")).select(key, "*")
-    m = members.agg(F.count(F.lit(1)).alias("members_total"),
-                    F.count_if(F.col("arrived_24h")).alias("new_members")).select(key, "*")
+        F.count_if(F.col("arrived_24h")).alias("new_teams"))
+    d = donors.agg(F.struct(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("points_last_7d") > 0).alias("active"),
+        F.count_if(F.col("rank_change_24h").isNull()).alias("fresh"))).scalar()
+    m = members.agg(F.struct(F.count(F.lit(1)).alias("total"),
+                             F.count_if(F.col("arrived_24h")).alias("fresh"))).scalar()
     week, day = rates(F.col("points_last_7d"), F.col("points_last_24h"),
                       F.lit(clock.covered_ns).cast("bigint"))
     known = F.lit(clock.baseline is not None)
-    new = [F.when(known, F.col(c)).alias(f"{c}_24h") for c in ("new_donors", "new_teams", "new_members")]
-    return t.join(d, "k").join(m, "k").select(
-        "teams_total", "teams_active", "donors_total", "donors_active", "members_total",
+    return t.select(
+        "teams_total", "teams_active", d.getField("total").alias("donors_total"),
+        d.getField("active").alias("donors_active"), m.getField("total").alias("members_total"),
         F.col("score").alias("points_total"), F.col("wus").alias("wus_total"), *WINDOW_COLUMNS,
         week.alias("points_per_day_7d_avg"), day.alias("points_per_day_24h_avg"),
-        S.points_per_wu("score", "wus").alias("points_per_wu"), *new)
+        S.points_per_wu("score", "wus").alias("points_per_wu"),
+        F.when(known, d.getField("fresh")).alias("new_donors_24h"),
+        F.when(known, F.col("new_teams")).alias("new_teams_24h"),
+        F.when(known, m.getField("fresh")).alias("new_members_24h"))
 
 
 def warming_up(clock_row: DataFrame, measured: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywind.operators import diff, marts, rollups, windows
-from tallywind.session import (drop_scratch, materialize, prepare, scratch_mark, shared_dir,
-                               together)
+from tallywind.session import (app_dir, drop_scratch, materialize, path_exists, prepare, scratch_mark,
+                               shared_dir, together)
 from tallywind.sources import adapters as A
 
 MEMBER, TEAM = diff.MEMBER, diff.TEAM
@@ -25,7 +25,7 @@ def open_warehouse(spark: SparkSession, sf_dir: str, world: str) -> "Warehouse":
     """The warehouse of a world, shared by all queries of one application."""
     prepare(spark)
     key = (spark.sparkContext.applicationId, shared_dir(spark), str(sf_dir), world)
-    if key not in _OPEN:
+    if key not in _OPEN or not path_exists(spark, app_dir(spark)):
         _OPEN[key] = Warehouse(spark, str(sf_dir), world)
     return _OPEN[key]
 

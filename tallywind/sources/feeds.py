@@ -95,8 +95,11 @@ def decode(path: str, content: bytes) -> bytes:
     if not path.endswith(".zst"):
         return content
     import zstandard
-    with zstandard.ZstdDecompressor().stream_reader(content) as r:
-        out = r.read(MAX_DECODED_BYTES + 1)
+    try:
+        with zstandard.ZstdDecompressor().stream_reader(content) as r:
+            out = r.read(MAX_DECODED_BYTES + 1)
+    except zstandard.ZstdError as e:
+        raise ValueError(f"payload does not decode: {e}") from e
     if len(out) > MAX_DECODED_BYTES:
         raise ValueError("payload exceeds the decoded size limit")
     return out

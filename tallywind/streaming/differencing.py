@@ -26,13 +26,19 @@ class _Differ(StatefulProcessor):
         self.last.update((int(row["ts"]), int(row["score"]), int(row["wus"])))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # An entity has one row per cycle once its duplicates are summed.
-        frame = pd.concat(list(rows)).groupby("snapshot_ts", as_index=False)[["score", "wus"]].sum()
-        frame = frame.sort_values("snapshot_ts")
+        # Duplicates are summed chunk by chunk: what is held is one pair per cycle, however
+        # many rows a hot entity repeats.
+        totals: dict[int, list[int]] = {}
+        for chunk in rows:
+            part = chunk.groupby("snapshot_ts")[["score", "wus"]].sum()
+            for ts, score, wus in part.itertuples():
+                held = totals.setdefault(int(ts), [0, 0])
+                held[0] += int(score)
+                held[1] += int(wus)
         prev = self.last.get() if self.last.exists() else None
         out = []
-        for ts, score, wus in zip(frame["snapshot_ts"], frame["score"], frame["wus"]):
-            ts, score, wus = int(ts), int(score), int(wus)
+        for ts in sorted(totals):
+            score, wus = totals[ts]
             if prev is not None and ts <= prev[0]:
                 continue
             had = prev is not None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +17,20 @@ def use_stream_conf(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
+@contextmanager
+def _local_partitions(spark: SparkSession):
+    """A stream keeps its partition count for life, one state store each. On one machine
+    more of them than cores only cost time; a cluster's own setting is left alone."""
+    key = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(key)
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set(key, str(min(int(was), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def open_table_stream(spark: SparkSession, path: str, schema: StructType,
                       files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -29,8 +44,9 @@ def run_available(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame
     """Process everything available and stop; a second run picks up where this one ended."""
     use_stream_conf(stream.sparkSession)
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    q = w.foreachBatch(batch).start() if batch else w.format("parquet").option("path", out).start()
-    q.awaitTermination()
+    with _local_partitions(stream.sparkSession):
+        q = w.foreachBatch(batch).start() if batch else w.format("parquet").option("path", out).start()
+        q.awaitTermination()
     return q
 
 

@@ -81,23 +81,23 @@ def test_team_activity(members, teams):
 
 def test_two_cycle_world_views_and_search(members, teams):
     t1 = T0 + HOUR
-    rows = [("DH", 32, T0, 1000, 10), ("DH", 51, T0, 500, 5), ("toTOW", 51, T0, 800, 8), ("solo", 32, T0, 10, 1),
-            ("DH", 32, t1, 1600, 12)]
-    team = [(32, "OcUK", T0, 2000, 20), (51, "Alliance", T0, 1300, 13), (32, "OcUK", t1, 2700, 22)]
+    rows = [("Ida", 32, T0, 1000, 10), ("Ida", 51, T0, 500, 5), ("tom", 51, T0, 800, 8), ("solo", 32, T0, 10, 1),
+            ("Ida", 32, t1, 1600, 12)]
+    team = [(32, "Red", T0, 2000, 20), (51, "Blue", T0, 1300, 13), (32, "Red", t1, 2700, 22)]
     clock, m, t, d = _world(members, teams, rows, team)
     top = marts.donor_view(d).orderBy("rank").first()
-    assert (top["name"], top["points_total"], top["team_count"], top["points_last_cycle"]) == ("DH", 2100, 2, 600)
+    assert (top["name"], top["points_total"], top["team_count"], top["points_last_cycle"]) == ("Ida", 2100, 2, 600)
     s = marts.project_summary(t, d, m, clock).first()
     # The project's figures are the team feed's: 700, not the members' 600.
     assert (s["points_total"], s["points_last_cycle"], s["members_total"], s["donors_total"]) == (4000, 700, 4, 3)
     assert s["new_members_24h"] is None
-    assert [(r["name"], r["exact"]) for r in I.search(d, "dh", "name").collect()] == [("DH", False)]
-    assert [(r["name"], r["exact"]) for r in I.search(d, "DH", "name").collect()] == [("DH", True)]
+    assert [(r["name"], r["exact"]) for r in I.search(d, "ida", "name").collect()] == [("Ida", False)]
+    assert [(r["name"], r["exact"]) for r in I.search(d, "Ida", "name").collect()] == [("Ida", True)]
     assert [r["team_id"] for r in I.search(t, "51", "team_name", "team_id").collect()] == [51]
-    nested = marts.with_teams_array(d, marts.donor_breakdown(m, t, cap=1)).filter("name = 'DH'").first()
+    nested = marts.with_teams_array(d, marts.donor_breakdown(m, t, cap=1)).filter("name = 'Ida'").first()
     assert [x["team_id"] for x in nested["teams"]] == [32] and nested["teams_truncated"]
     roster = I.roster_by(m, "last_24h").filter("team_id = 32").orderBy("position").collect()
-    assert [(r["name"], r["value"]) for r in roster] == [("DH", 600), ("solo", 0)]
+    assert [(r["name"], r["value"]) for r in roster] == [("Ida", 600), ("solo", 0)]
 
 
 def test_argument_checks(spark):
