@@ -189,15 +189,15 @@ def compare(W):
 
 _GOAL = """, g as (select *, self_points_total >= target_points_total as holding,
        self_points_total >= target_points_total and self_points_per_day_24h_avg >= target_points_per_day_24h_avg as already_reached
-  from p), h as (select *, greatest(0, cast(ceil((cast(target_points_total as double)
+  from p), h as (select d, greatest(0, cast(ceil((cast(target_points_total as double)
        + cast(target_points_per_day_24h_avg as double) * d - cast(self_points_total as double)) / d) as bigint)) as need
   from g, (select unnest([30, 90, 365]) as d))
   select kind, self_name, self_rank, self_points_total, self_points_per_day_24h_avg, target_name, target_rank,
        target_points_total, target_points_per_day_24h_avg, '{how}' as target_type, holding, already_reached,
        points_gap, overtake_days, overtake_ts, d as horizon_days, need as required_per_day,
-       case when self_points_per_day_24h_avg > 0
+       case when need is null then null when self_points_per_day_24h_avg > 0
             then round(cast(need as double) / self_points_per_day_24h_avg * 100) / 100 else 0.0 end as rate_multiple
-  from h where need > 0"""
+  from g left join (select * from h where need > 0) on true"""
 
 
 @query("goal_rank", "daily", _pair_sql("team", "ref = '7'", "rank = 2", "self", "target") + _GOAL.replace("{how}", "rank"))

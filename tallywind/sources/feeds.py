@@ -105,42 +105,37 @@ def decode(path: str, content: bytes) -> bytes:
     return out
 
 
-def _frames(kind: str, path: str, content: bytes) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in PARSED.split(", ")]
+def _rows(kind: str, path: str, content: bytes) -> Iterator[tuple]:
+    """A file's records, then its statistics, as rows of the parsed table."""
     stats: dict = {}
-    batch: list[tuple] = []
     n = 0
-
-    def flush() -> pd.DataFrame:
-        df = pd.DataFrame(batch, columns=columns[1:7])
-        df.insert(0, "file", path)
-        for c in columns[7:]:
-            df[c] = None
-        batch.clear()
-        return df
-
     try:
         for name, team, score, wus in read_records(decode(path, content), kind, stats):
-            batch.append((n, name.decode("utf-8", "backslashreplace"), name, team, score, wus))
+            yield (path, n, name.decode("utf-8", "backslashreplace"), name, team, score, wus,
+                   None, None, None, None, None)
             n += 1
-            if len(batch) >= _BATCH:
-                yield flush()
     except ValueError as e:
         stats["error"] = str(e)
-    if batch:
-        yield flush()
-    yield pd.DataFrame([(path, -1, None, None, None, None, None, stats.get("timestamp"), stats.get("header"),
-                         stats.get("rows", 0), stats.get("malformed", 0), stats.get("error"))], columns=columns)
+    yield (path, -1, None, None, None, None, None, stats.get("timestamp"), stats.get("header"),
+           stats.get("rows", 0), stats.get("malformed", 0), stats.get("error"))
 
 
 def parse_files(files: DataFrame, kind: str) -> DataFrame:
     """Parse ``binaryFile`` rows. Records have ordinal >= 0; each file ends with one row of
     ordinal -1 carrying its preamble, counts and error."""
+    columns = [c.split()[0] for c in PARSED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                yield from _frames(kind, path, bytes(content))
+                for row in _rows(kind, path, bytes(content)):
+                    out.append(row)
+                    if len(out) >= _BATCH:
+                        yield pd.DataFrame(out, columns=columns, dtype=object)
+                        out.clear()
+        if out:
+            yield pd.DataFrame(out, columns=columns, dtype=object)
 
     return files.select("path", "content").mapInPandas(run, PARSED)
 
