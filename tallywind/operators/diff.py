@@ -46,12 +46,12 @@ def deltas(snapshot: DataFrame, keys: list[str] = MEMBER) -> DataFrame:
 
 def latest_state(snapshot: DataFrame, keys: list[str] = MEMBER, name_col: str | None = None) -> DataFrame:
     """Last total of every entity and when it was first seen; the latest name wins."""
-    last = F.struct("score", "wus", *([name_col] if name_col else []))
-    out = snapshot.groupBy(*keys).agg(
-        F.min("snapshot_ts").alias("first_seen"), F.max("snapshot_ts").alias("last_seen"),
-        F.max_by(last, F.col("snapshot_ts")).alias("last"))
-    names = [F.col(f"last.{name_col}").alias(name_col)] if name_col else []
-    return out.select(*keys, *names, "first_seen", "last_seen", "last.score", "last.wus")
+    # One fixed-width buffer per measure keeps this a hash aggregate; a struct would sort.
+    last = [F.max_by(c, "snapshot_ts").alias(c) for c in ([name_col] if name_col else []) + ["score", "wus"]]
+    names = [name_col] if name_col else []
+    return snapshot.groupBy(*keys).agg(
+        F.min("snapshot_ts").alias("first_seen"), F.max("snapshot_ts").alias("last_seen"), *last).select(
+        *keys, *names, "first_seen", "last_seen", "score", "wus")
 
 
 def first_sightings(snapshot: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import threading
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
@@ -72,6 +74,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def ship_by_value(module_name: str) -> None:
+    """Pickle a module's functions and classes into the tasks that run them, so that Python
+    workers need no copy of this package on their path."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def app_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tallywind/{spark.sparkContext.applicationId}"
 

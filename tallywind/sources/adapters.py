@@ -80,10 +80,11 @@ def feed_rows(base: DataFrame) -> DataFrame:
     """Per (name, team) and cycle the counter moved: how far, and the totals so far.
 
     Both feeds come from this one table, so the source rows are joined and shuffled once.
+    A parent has one name here, which is grouped by rather than aggregated: a string in the
+    aggregation buffer would turn the hash aggregate into a sort.
     """
-    moved = base.groupBy("name", "team_id", "snapshot_ts").agg(
-        F.min("team_name").alias("team_name"), F.sum("pts").alias("p"), F.sum("units").alias("u"),
-        F.sum("unattributed").alias("x"))
+    moved = base.groupBy("name", "team_id", "team_name", "snapshot_ts").agg(
+        F.sum("pts").alias("p"), F.sum("units").alias("u"), F.sum("unattributed").alias("x"))
     w = Window.partitionBy("name", "team_id").orderBy("snapshot_ts")
     return moved.select("name", "team_id", "team_name", "snapshot_ts", "p", "u", "x",
                         F.sum("p").over(w).alias("score"), F.sum("u").over(w).alias("wus"))
@@ -94,9 +95,8 @@ def member_feed(rows: DataFrame) -> DataFrame:
 
 
 def team_feed(rows: DataFrame) -> DataFrame:
-    moved = rows.groupBy("team_id", "snapshot_ts").agg(
-        F.min("team_name").alias("team_name"), F.sum(F.col("p") + F.col("x")).alias("p"),
-        F.sum("u").alias("u"))
+    moved = rows.groupBy("team_id", "team_name", "snapshot_ts").agg(
+        F.sum(F.col("p") + F.col("x")).alias("p"), F.sum("u").alias("u"))
     w = Window.partitionBy("team_id").orderBy("snapshot_ts")
     return moved.select("team_id", "team_name", "snapshot_ts",
                         F.sum("p").over(w).alias("score"), F.sum("u").over(w).alias("wus"))

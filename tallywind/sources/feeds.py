@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from tallywind.schemas import (MAX_DECODED_BYTES, MAX_RECORD_LINES, MAX_TEAM_ID, MAX_TEAM_NAME_BYTES,
                                MAX_TEAM_ROWS, MAX_USER_NAME_BYTES, MAX_USER_ROWS, NUMERIC_TAIL_BYTES)
+from tallywind.session import ship_by_value
+
+ship_by_value(__name__)
 
 PARSED = ("file string, ordinal bigint, name string, name_raw binary, team_id int, score bigint, wus bigint, "
           "feed_timestamp string, header string, row_count bigint, malformed bigint, error string")

@@ -11,6 +11,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallywind.functions import scalars as S
 from tallywind.schemas import DAY, HOUR
+from tallywind.session import ship_by_value
+
+ship_by_value(__name__)
 
 STATE = "seeded boolean, armed boolean, milestone bigint, last_24h bigint, quiet_since bigint, fired_day bigint, ts bigint"
 FIRED = "id string, type string, target string, ts bigint, value bigint"

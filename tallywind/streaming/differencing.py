@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tallywind.session import ship_by_value
+
+ship_by_value(__name__)
+
 TOTALS = "ts bigint, score bigint, wus bigint"
 
 

@@ -67,9 +67,9 @@ def restore_state(spark: SparkSession, out: str, feed: str) -> DataFrame:
     """Latest totals from the committed tables, to seed a stream with a new checkpoint."""
     keys, _ = FEEDS[feed]
     rows = spark.read.parquet(f"{out}/{feed}_totals")
-    last = F.max_by(F.struct("score", "wus"), F.col("ts"))
-    return rows.groupBy(*keys).agg(F.max("ts").alias("ts"), last.alias("v")).select(
-        *keys, "ts", "v.score", "v.wus")
+    return rows.groupBy(*keys).agg(
+        F.max_by("score", "ts").alias("score"), F.max_by("wus", "ts").alias("wus"),
+        F.max("ts").alias("ts")).select(*keys, "ts", "score", "wus")
 
 
 def rebuild_days(spark: SparkSession, out: str, feed: str, days: list[int]) -> None:
