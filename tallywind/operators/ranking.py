@@ -84,7 +84,8 @@ def page_of_anchor(anchor: Column, per_page: int) -> Column:
 
 def clamped_window(rank: Column, n: int, total: Column) -> tuple[Column, Column]:
     """(lo, hi) inclusive ranks within ``n`` places of ``rank``, cut off at the ends."""
-    return F.greatest(F.lit(1), rank - n), F.least(total, rank + n)
+    known = rank.isNotNull()  # greatest and least skip NULLs: no subject must mean no window
+    return F.when(known, F.greatest(F.lit(1), rank - n)), F.when(known, F.least(total, rank + n))
 
 
 def recentred_window(rank: Column, n: int, total: Column) -> tuple[Column, Column]:

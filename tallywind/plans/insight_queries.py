@@ -55,10 +55,10 @@ def page_of_teams(W):
 
 
 @query("rank_window", "daily", """
-  with s as (select rank as r, (select count(*) from members) as n from members where name = 'c7' and team_id = 9)
+  with s as (select rank as r, (select count(*) from members) as n from members where name = 'c7' and rank_in_name = 1)
   select rank, name, team_id from members, s where rank between greatest(1, r - 20) and least(n, r + 20)""")
 def rank_window(W):
-    subject = W.members.filter("name = 'c7' AND team_id = 9").select("rank").scalar()
+    subject = W.members.filter("name = 'c7' AND rank_in_name = 1").select("rank").scalar()
     lo, hi = R.clamped_window(subject, 20, W.members.agg(F.count(F.lit(1))).scalar())
     return W.members.filter(F.col("rank").between(lo, hi)).select("rank", "name", "team_id")
 
@@ -137,9 +137,10 @@ def rivals_donor(W):
 
 
 @query("rivals_in_team", "daily", _rivals_sql(
-    "members", "rank_in_team", "name", "name = 'c7' and team_id = 9", 50, "m.team_id = 9"))
+    "members", "rank_in_team", "name", "name = 'c7' and rank_in_name = 1", 50, "m.team_id = s.team_id"))
 def rivals_in_team(W):
-    roster = W.members.filter("team_id = 9")
+    best = W.members.filter("name = 'c7' AND rank_in_name = 1").select("team_id").scalar()
+    roster = W.members.filter(F.col("team_id") == best)
     return I.rivals(roster, F.col("name") == "c7", "rank_in_team", "name", W.lit_at(), per_page=50)
 
 

@@ -111,6 +111,18 @@ def test_argument_checks(spark):
     assert I.sort_key("members", I.DONOR_KEYS) == "score"
 
 
+def test_an_unknown_subject_gives_nothing(members, teams):
+    clock, m, _, d = _world(members, teams, [("a", 1, T0, 5, 1), ("b", 1, T0, 9, 1)], [(1, "t", T0, 14, 2)])
+    now = F.lit(clock.at).cast("bigint")
+    assert I.rivals(d, F.col("name") == "nobody", "rank", "name", now).count() == 0
+    assert I.rivals(d, F.col("name") == "a", "rank", "name", now).count() == 2
+    e = I.entity_summaries(d.limit(0).select(F.lit(1).alias("team_id"), F.lit("x").alias("team_name"), "rank", "score",
+                                             "points_per_day_24h_avg", "points_per_day_7d_avg", "rank_change_24h"), d)
+    assert I.goal(e, "donor", "nobody", now, target_rank=1).count() == 0
+    dated = I.goal(e, "donor", "a", now, target_points=105, by_days=10).first()
+    assert dated["required_per_day"] == 10 and not dated["holding"]
+
+
 def _fire(spark, kind, threshold, readings, created=None):
     rules = spark.createDataFrame([("r", kind, "team", "1", threshold, created or readings[0][0])],
                                   "id string, type string, kind string, target string, threshold bigint, created_ts bigint")
