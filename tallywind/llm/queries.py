@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, warc
+from . import chat, decontaminate, mixing, pseudonyms, quality, warc
 from .common import prepare, table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                            F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
@@ -22,15 +28,28 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.expand(turns))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return pseudonyms.report(table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return warc.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_mix": op3_mix,
     "op4_chat": op4_chat,
+    "op7_pii": op7_pii,
     "op8_warc": op8_warc,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
