@@ -28,7 +28,6 @@ from .common import store, text_of
 
 #: Labelled documents the model is fitted to, at most: those with the smallest hashes of their id.
 SAMPLE = 20_000
-_HELD = ["__evidence", "__p", "__host", "__path"]
 
 
 def host_of(url: Column) -> Column:
@@ -131,3 +130,11 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thr
             .withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + logit(kept) - F.lit(float(np.log(rate / (1 - rate))))))))
             .select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", "score",
                     (F.col("score") >= threshold).alias("keep")))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+    """``docs`` without the documents the classifier rejects. Rows with one doc_id stay or go
+    together (they stay if one of them is kept); rows with null doc_id stay."""
+    judged = classify(docs, labels, host, path, threshold, sample)
+    bad = store(judged.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("keep").alias("keep")).filter("NOT keep").select("doc_id"), "quality-bad")
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)

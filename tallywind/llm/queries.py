@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pseudonyms, quality, warc
+from . import chat, decontaminate, jaccard, mixing, pseudonyms, quality, warc
 from .common import prepare, table
 
 
@@ -28,6 +28,11 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.expand(turns))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return jaccard.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return pseudonyms.report(table(spark, sf_dir, "documents"))
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_mix": op3_mix,
     "op4_chat": op4_chat,
+    "op6_jaccard": op6_jaccard,
     "op7_pii": op7_pii,
     "op8_warc": op8_warc,
     "op10_decontaminate": op10_decontaminate,
