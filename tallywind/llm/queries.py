@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, mixing, pseudonyms, quality, warc
+from . import ann, chat, decontaminate, jaccard, mixing, pseudonyms, quality, warc
 from .common import prepare, table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
@@ -49,6 +54,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_quality": op2_quality,
     "op3_mix": op3_mix,
     "op4_chat": op4_chat,
