@@ -205,7 +205,7 @@ def _rerank(k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, reach: float = 0.995, sample: int = SAMPLE, parts: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, reach: float = 0.96, sample: int = SAMPLE, parts: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of each query's ``k`` nearest
     rows found. ``reach``: probability the visited parts make up; ``parts``: a power of two, by
     default such that parts hold some hundred to thousand rows, 256 at most."""
