@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard, mixing, pseudonyms, quality, toxicity, warc
+from . import ann, chat, decontaminate, jaccard, mixing, pseudonyms, quality, repeats, toxicity, warc
 from .common import prepare, table
 
 
@@ -33,6 +33,11 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.expand(turns))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return jaccard.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_mix": op3_mix,
     "op4_chat": op4_chat,
+    "op5_repeats": op5_repeats,
     "op6_jaccard": op6_jaccard,
     "op7_pii": op7_pii,
     "op8_warc": op8_warc,
