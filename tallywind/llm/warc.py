@@ -106,7 +106,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                         (F.col("size") - F.octet_length("head") - len(MAGIC) - 2 * len(GAP)).cast("int"))
     return (_pieces(spark, path).withColumn("head", head)
             .withColumn("size", F.octet_length("value") + len(MAGIC))
-            .withColumn("stated", F.octet_length("head") + len(MAGIC) + 2 * len(GAP) + field("Content-Length").cast("long"))
+            .withColumn("stated", F.octet_length("head") + len(MAGIC) + 2 * len(GAP) + field("Content-Length").try_cast("long"))
             .withColumn("whole", F.coalesce(F.col("size") == F.col("stated"), F.lit(False)))
             .withColumn("body", F.when(F.col("whole"), block))
             .select("file", "block", "nr", "size", "stated", "whole",
@@ -119,7 +119,7 @@ def _http(block: Column) -> list[Column]:
     """Of a record's block, a HTTP response: the length it states, the payload's size and digest."""
     at = F.instr(block.cast("string"), GAP)  # the header is ASCII, so characters are bytes
     payload = F.substring(block, at + len(GAP), F.octet_length(block).cast("int"))
-    stated = F.regexp_extract(F.substring(block, F.lit(1), at).cast("string"), r"Content-Length: (\d+)", 1).cast("long")
+    stated = F.regexp_extract(F.substring(block, F.lit(1), at).cast("string"), r"Content-Length: (\d+)", 1).try_cast("long")
     return [stated.alias("http_bytes"), F.octet_length(payload).cast("long").alias("n_bytes"), base32_sha1(payload).alias("found")]
 
 
@@ -200,21 +200,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     whole = rows.filter("whole").select("file", "start", *fields, "http_bytes", "n_bytes", "found")
     cut = rows.filter("NOT whole").select("file", "start", "succ", *fields)
     if not cut.isEmpty():
-        whole = whole.unionByName(_mended(spark, path, placed, cut, fields))
+        whole = whole.unionByName(_mended(spark, path, raw, placed, cut, fields))
     page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1)
     is_response = F.col("type") == "response"
     return whole.select(
-        "file", "start", "type", F.nullif(page("id"), F.lit("")).cast("long").alias("page_id"),
-        F.nullif(page("refers"), F.lit("")).cast("long").alias("refers_to"),
+        "file", "start", "type", page("id").try_cast("long").alias("page_id"),
+        page("refers").try_cast("long").alias("refers_to"),
         F.regexp_replace("digest", "^sha1:", "").alias("digest"),
         F.when(is_response, F.col("found")).alias("found"), "http_bytes", "n_bytes")
 
 
-def _mended(spark: SparkSession, path: str, placed: DataFrame, cut: DataFrame, fields: list[str]) -> DataFrame:
+def _mended(spark: SparkSession, path: str, raw: DataFrame, placed: DataFrame, cut: DataFrame, fields: list[str]) -> DataFrame:
     """Records with a magic inside: their pieces, from start to succ, read once more and joined."""
     upto = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     first = lambda df: df.groupBy("file", "block").agg(F.min("nr").alias("first"))
-    pieces = (placed.select("file", "block", "nr", "start").join(first(placed), ["file", "block"])
+    pieces = (placed.select("file", "block", "nr", "start").join(first(raw), ["file", "block"])
               .join(cut.select("file", "start", F.struct("start", "succ").alias("of")), ["file", "start"], "left")
               .withColumn("of", F.last("of", ignorenulls=True).over(upto)).filter("start < of.succ")
               .select("file", "block", (F.col("nr") - F.col("first")).alias("place"), "start", F.col("of.start").alias("owner")))
