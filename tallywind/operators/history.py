@@ -133,7 +133,8 @@ def per_day(series: DataFrame, granularity: str, until: int, since: int | None =
 
 
 def contributions(members: DataFrame, member_daily: DataFrame, r: Range, top: int = STACK_SERIES) -> DataFrame:
-    """Per team and day: its six biggest current producers by name, everyone else as one band.
+    """Per team and day: its six biggest current producers by name, everyone else, whether
+    producing this week or not, as one band.
 
     Bands are aligned on every day any of the team's bands has, zero filled; a band that
     produced nothing in the range is dropped.
@@ -142,8 +143,6 @@ def contributions(members: DataFrame, member_daily: DataFrame, r: Range, top: in
     placed = R.with_group_position(
         members.select("team_id", "name", "points_last_7d", "rank"), ["team_id"],
         [F.col("points_last_7d").desc(), F.col("rank").asc()], "place")
-    has = placed.groupBy("team_id").agg(F.max("points_last_7d").alias("best"))
-    placed = placed.join(has, "team_id").filter((F.col("points_last_7d") > 0) | (F.col("best") <= 0))
     own = F.col("place") <= F.lit(top)
     band = placed.select(
         "team_id", "name", F.least(F.col("place"), F.lit(top + 1)).alias("series"),

@@ -137,11 +137,17 @@ def rolling(delta: DataFrame, keys: list[str], span: int, out: str) -> DataFrame
 def trailing_counts(seconds: DataFrame, span: int = 60, tile: int = 3600) -> DataFrame:
     """Events in (t - span, t] for every second that has one, and that count per second.
 
-    ``seconds`` holds one BIGINT column ``sec``. Counting by second combines map-side; the
-    timeline is then cut into tiles, each carrying a copy of the ``span - 1`` seconds before
+    ``seconds`` holds one BIGINT column ``sec``. Counting by second combines map-side.
+    """
+    return trailing_sums(seconds.groupBy("sec").agg(F.count(F.lit(1)).alias("n")), span, tile)
+
+
+def trailing_sums(counted: DataFrame, span: int = 60, tile: int = 3600) -> DataFrame:
+    """The same from counts per second (sec, n).
+
+    The timeline is cut into tiles, each carrying a copy of the ``span - 1`` seconds before
     it, so tiles are independent tasks of at most ``tile + span`` rows.
     """
-    counted = seconds.groupBy("sec").agg(F.count(F.lit(1)).alias("n"))
     own = S.floor_div("sec", tile)
     reach = S.floor_div(F.col("sec") + F.lit(span - 1), tile)
     tiled = counted.withColumn("tile", F.explode(F.sequence(own, reach)))

@@ -10,6 +10,7 @@ from tallywind.operators import ranking as R
 from tallywind.plans import oracle as O
 from tallywind.plans.registry import query
 from tallywind.schemas import DAY, HOUR
+from tallywind.session import materialize
 from tallywind.sources import adapters as A
 from tallywind.sources import sinks
 
@@ -76,20 +77,20 @@ def rank_window_recentred(W):
 
 
 @query("donor_breakdown", "daily", """
-  select m.name, rank_in_name as place, m.team_id, team_name, m.score, points_last_7d, team_count > 10 as teams_truncated
+  select m.name, rank_in_name as place, m.team_id, team_name, m.score, points_last_7d, team_count > 100 as teams_truncated
   from members m join (select name, team_count from dsum) d on m.name = d.name
-       join tstate t on m.team_id = t.team_id where rank_in_name <= 10""")
+       join tstate t on m.team_id = t.team_id where rank_in_name <= 100""")
 def donor_breakdown(W):
-    return marts.donor_breakdown(W.members, W.teams, cap=10)
+    return marts.donor_breakdown(W.members, W.teams)
 
 
 @query("donor_breakdown_production", "daily", """
   with o as (select *, row_number() over (partition by name order by points_last_7d desc, rank) as place from members)
-  select o.name, place, o.team_id, team_name, o.score, points_last_7d, team_count > 10 as teams_truncated
+  select o.name, place, o.team_id, team_name, o.score, points_last_7d, team_count > 100 as teams_truncated
   from o join (select name, team_count from dsum) d on o.name = d.name
-       join tstate t on o.team_id = t.team_id where place <= 10""")
+       join tstate t on o.team_id = t.team_id where place <= 100""")
 def donor_breakdown_production(W):
-    return marts.donor_breakdown(W.members, W.teams, by_production=True, cap=10)
+    return marts.donor_breakdown(W.members, W.teams, by_production=True)
 
 
 # --- search ---------------------------------------------------------------------------
@@ -517,10 +518,9 @@ def history_export(W):
 
 
 _CONTRIB = """
-  with o as (select team_id, name, points_last_7d, row_number() over (partition by team_id order by points_last_7d desc, rank) as place,
-             max(points_last_7d) over (partition by team_id) as best from members),
+  with o as (select team_id, name, points_last_7d, row_number() over (partition by team_id order by points_last_7d desc, rank) as place from members),
   band as (select team_id, name, least(place, 7) as series, case when place <= 6 then name else 'Other' end as label
-           from o where points_last_7d > 0 or best <= 0),
+           from o),
   s as (select d.team_id, series, label, day, cast(sum(points) as bigint) as points from mdaily d join band b
         on d.team_id = b.team_id and d.name = b.name, newest
         where day >= at_ts // 86400 - 90 and day <= (at_ts + 3600) // 86400 group by all),
@@ -701,56 +701,71 @@ def alert_rule_validation(W):
 
 _READ = """
   with own as (select team_id, snapshot_ts, score, min(snapshot_ts) over (partition by team_id) as first_seen,
-       coalesce(lead(snapshot_ts) over (partition by team_id order by snapshot_ts) - 86400, (select at_ts from newest)) as until from tsnap),
-  dense as (select team_id, score, first_seen, unnest(range(snapshot_ts, until + 1, 86400)) as ts from own),
+       coalesce(lead(snapshot_ts) over (partition by team_id order by snapshot_ts), (select at_ts + 1 from newest)) as until from tsnap),
+  dense as (select team_id, score, first_seen, c.ts from own join cycles c on c.ts >= own.snapshot_ts and c.ts < own.until),
   rd as (select d.team_id, d.ts, score, first_seen,
        cast(coalesce(sum(d_score) over (partition by d.team_id order by d.ts range between 86399 preceding and current row), 0) as bigint) as l24,
        row_number() over (partition by d.ts order by score desc, first_seen, d.team_id) as rank,
        row_number() over (partition by d.team_id order by d.ts) as n
        from dense d left join tdelta x on d.team_id = x.team_id and d.ts = x.ts)"""
 
-
-@query("alerts_milestone", "daily", _READ + """,
+_DONOR_READ = """
+  with st as (select name, snapshot_ts as ts, sum(d) as d from (
+         select name, snapshot_ts, score - coalesce(lag(score) over (partition by name, team_id order by snapshot_ts), 0) as d from msnap) group by all),
+  tot as (select name, ts, cast(sum(d) over (partition by name order by ts) as bigint) as score, min(ts) over (partition by name) as first_seen,
+       coalesce(lead(ts) over (partition by name order by ts), (select at_ts + 1 from newest)) as until from st),
+  dd as (select name, ts, sum(d_score) as d_score from mdelta group by all),
+  dense as (select name, score, first_seen, c.ts from tot join cycles c on c.ts >= tot.ts and c.ts < tot.until),
+  rd as (select d.name as team_id, d.ts, score, first_seen,
+       cast(coalesce(sum(d_score) over (partition by d.name order by d.ts range between 86399 preceding and current row), 0) as bigint) as l24,
+       row_number() over (partition by d.ts order by score desc, first_seen, d.name) as rank,
+       row_number() over (partition by d.name order by d.ts) as n
+       from dense d left join dd x on d.name = x.name and d.ts = x.ts)"""
+
+
+_FIRED = {
+    "milestone": """,
   l as (select m * cast(power(10, k) as bigint) as v from (select unnest([1, 2, 5]) as m), (select unnest(range(6, 16)) as k)),
   mm as (select rd.team_id, rd.ts, rd.n, coalesce(max(v), 0) as ms from rd left join l on l.v <= rd.score group by rd.team_id, rd.ts, rd.n),
   b as (select *, max(ms) over (partition by team_id order by ts rows between unbounded preceding and 1 preceding) as best from mm)
-  select 'milestone-' || team_id as id, 'milestone' as type, cast(team_id as varchar) as target, ts, ms as value from b where ms > best""")
-def alerts_milestone(W):
-    return _alerts(W).filter("type = 'milestone'")
-
-
-@query("alerts_rank", "daily", _READ + """,
+  select 'milestone-' || team_id as id, 'milestone' as type, cast(team_id as varchar) as target, ts, ms as value from b where ms > best""",
+    "rank": """,
   b as (select *, lag(rank) over (partition by team_id order by ts) as pr from rd)
   select 'rank-' || team_id as id, 'rank' as type, cast(team_id as varchar) as target, ts, rank as value
-  from b where rank <= 3 and pr > 3""")
-def alerts_rank(W):
-    return _alerts(W).filter("type = 'rank'")
-
-
-@query("alerts_idle", "daily", _READ + """,
+  from b where rank <= 3 and pr > 3""",
+    "idle": """,
   q as (select *, max(case when l24 > 0 then ts end) over (partition by team_id order by ts) as lp from rd),
   s as (select *, min(ts) over (partition by team_id, lp, l24 <= 0) as since from q where l24 <= 0 and lp is not null),
   f as (select *, row_number() over (partition by team_id, lp order by ts) as k from s where ts - since >= 24 * 3600)
-  select 'idle-' || team_id as id, 'idle' as type, cast(team_id as varchar) as target, ts, ts - since as value from f where k = 1""")
-def alerts_idle(W):
-    return _alerts(W).filter("type = 'idle'")
-
-
-@query("alerts_resumed", "daily", _READ + """,
+  select 'idle-' || team_id as id, 'idle' as type, cast(team_id as varchar) as target, ts, ts - since as value from f where k = 1""",
+    "resumed": """,
   b as (select *, lag(l24) over (partition by team_id order by ts) as p from rd)
   select 'resumed-' || team_id as id, 'resumed' as type, cast(team_id as varchar) as target, ts, l24 as value
-  from b where l24 > 0 and p = 0""")
-def alerts_resumed(W):
-    return _alerts(W).filter("type = 'resumed'")
+  from b where l24 > 0 and p = 0""",
+    "daily": """
+  select 'daily-' || team_id as id, 'daily' as type, cast(team_id as varchar) as target, min(ts) as ts,
+         arg_min(l24, ts) as value from rd where n > 1 group by team_id, ts // 86400""",
+}
 
 
-@query("alerts_daily", "daily", _READ + """
-  select 'daily-' || team_id as id, 'daily' as type, cast(team_id as varchar) as target, min(ts) as ts,
-         arg_min(l24, ts) as value from rd where n > 1 group by team_id, ts // 86400""")
-def alerts_daily(W):
-    return _alerts(W).filter("type = 'daily'")
+def _alerts(W, type, kind="team"):
+    """Rules of one type alone: the others do not enter the joins."""
+    rules = alerts.rules_for(kind, *{
+        "team": lambda: (W.team_state.select(F.col("team_id").alias("target"), "first_seen"),),
+        "donor": lambda: (W.member_state.groupBy(F.col("name").alias("target")).agg(F.min("first_seen").alias("first_seen")),),
+    }[kind](), {type: alerts.RULES[type]})
+    return alerts.evaluate(rules, W.once(f"{kind}-readings", lambda: _readings(W, kind)))
+
+
+def _readings(W, kind):
+    if kind == "team":
+        out = alerts.team_readings(W.team_snapshot, W.team_delta, W.cycles.select("ts"))
+    else:
+        out = alerts.donor_readings(W.member_snapshot, W.member_delta, W.cycles.select("ts"))
+    return materialize(out, f"{kind}-readings")
 
 
-def _alerts(W):
-    readings = alerts.team_readings(W.team_snapshot, W.team_delta, DAY, W.clock.at)
-    return alerts.evaluate(alerts.team_rules(W.team_state), readings)
+for _type, _sql in _FIRED.items():
+    query(f"alerts_{_type}", "daily", _READ + _sql)(lambda W, t=_type: _alerts(W, t))
+    query(f"alerts_hourly_{_type}", "hourly", _READ + _sql)(lambda W, t=_type: _alerts(W, t))
+    query(f"alerts_donor_{_type}", "hourly", _DONOR_READ + _sql)(lambda W, t=_type: _alerts(W, t, "donor"))

@@ -14,7 +14,7 @@ from tallywind.session import materialize, new_path
 from tallywind.sources import adapters as A
 from tallywind.sources import archive, feeds
 from tallywind.streaming import alerts as alert_streams
-from tallywind.streaming import differencing, ingest, runner
+from tallywind.streaming import ingest, runner
 from tallywind.streaming import windows as stream_windows
 
 M, T = diff.MEMBER, diff.TEAM
@@ -28,26 +28,38 @@ def _stream(W, df, label):
     return runner.open_table_stream(W.spark, path, df.schema)
 
 
+def _ingested(W, feed, snapshot):
+    """Ingest a snapshot table through the stream; the folder of its tables."""
+    src, out, ckpt = (new_path(W.spark, f"{feed}-{p}") for p in ("in", "ingested", "checkpoint"))
+    snapshot.repartitionByRange(4, "snapshot_ts").sortWithinPartitions("snapshot_ts").write.parquet(src)
+    ingest.ingest(W.spark, feed, src, out, ckpt)
+    return out
+
+
 @query("stream_deltas", "hourly", "select * from mdelta")
 def stream_deltas(W):
-    moves = differencing.movement_stream(_stream(W, W.raw_member_snapshot, "members-in"), M)
-    return runner.collect_stream(differencing.deltas_of(moves, M), "stream-deltas")
+    out = _ingested(W, "member", W.raw_member_snapshot)
+    return W.spark.read.parquet(f"{out}/member_delta").select(*M, "ts", "d_score", "d_wu")
+
+
+_ROLLING = """
+  with w as (select team_id, unnest(range(ts, ts + {span}, 3600)) as e, d_score from tdelta)
+  select team_id, e as ts, cast(sum(d_score) as bigint) as points from w group by team_id, e"""
 
 
-@query("stream_rolling", "hourly", """
-  with w as (select team_id, unnest(range(ts, ts + 86400, 3600)) as e, d_score from tdelta)
-  select team_id, e as ts, cast(sum(d_score) as bigint) as points from w, newest
-  where e <= at_ts - 1 - 7200 group by team_id, e""")
-def stream_rolling(W):
-    out = stream_windows.rolling_sums(_stream(W, W.team_delta, "team-delta-in"), T)
-    return runner.collect_stream(out, "stream-rolling")
+def _rolling(W, span):
+    hours = stream_windows.hourly_sums(_stream(W, W.team_delta, "team-delta-in"), T)
+    return stream_windows.rolling_sums(runner.collect_updates(hours, [*T, "ts"], "stream-hours"), T, span)
 
 
-@query("stream_daily", "hourly", """
-  select team_id, day, points, wus from tdaily, newest where (day + 1) * 86400 <= at_ts - 7200""")
+query("stream_rolling", "hourly", _ROLLING.format(span=DAY))(lambda W: _rolling(W, DAY))
+query("stream_rolling_7d", "hourly", _ROLLING.format(span=7 * DAY))(lambda W: _rolling(W, 7 * DAY))
+
+
+@query("stream_daily", "hourly", "select team_id, day, points, wus from tdaily")
 def stream_daily(W):
-    out = stream_windows.daily_buckets(_stream(W, W.team_delta, "team-delta-in"), T)
-    return runner.collect_stream(out, "stream-daily")
+    days = stream_windows.daily_buckets(_stream(W, W.team_delta, "team-delta-in"), T)
+    return runner.collect_updates(days, [*T, "day"], "stream-daily")
 
 
 @query("stream_dedup", "hourly", "select feed, snapshot_ts, sha256 from meta")
@@ -57,14 +69,11 @@ def stream_dedup(W):
     return runner.collect_stream(stream_windows.once_per_snapshot(twice), "stream-dedup")
 
 
-@query("stream_event_rate", "hourly", """
-  with s as (select cast(floor(epoch(ts)) as bigint) as sec, count(*) as n from events group by 1),
-  w as (select unnest(range(sec, sec + 60)) as sec, n from s)
-  select sec, cast(sum(n) as bigint) as events_in_window, cast(sum(n) as double) / 60 as per_second
-  from w, (select max(epoch(date_trunc('second', ts))) - 10 as wm from events) where sec + 1 <= wm group by sec""", prelude=False)
+@query("stream_event_rate", "hourly", ORACLES["event_rate_60s"], prelude=False)
 def stream_event_rate(W):
     events = A.table(W.spark, W.sf_dir, "events").select(F.timestamp_seconds(A.epoch("ts")).alias("ts"))
-    return runner.collect_stream(stream_windows.event_rate(_stream(W, events, "events-in"), "ts"), "stream-rate")
+    counts = stream_windows.second_counts(_stream(W, events, "events-in"), "ts")
+    return stream_windows.event_rate(runner.collect_updates(counts, ["sec"], "stream-seconds"))
 
 
 _ALERT_PARTS = ("milestone", "rank", "idle", "resumed", "daily")
@@ -72,9 +81,16 @@ _ALERT_PARTS = ("milestone", "rank", "idle", "resumed", "daily")
 
 @query("stream_alerts", "daily")
 def stream_alerts(W):
-    readings = alerts.team_readings(W.team_snapshot, W.team_delta, DAY, W.clock.at)
-    fired = alert_streams.alert_stream(alerts.team_rules(W.team_state), _stream(W, readings, "readings-in"))
-    return runner.collect_stream(fired, "stream-alerts")
+    readings = alerts.team_readings(W.team_snapshot, W.team_delta, W.cycles.select("ts"))
+    rules = alerts.rules_for("team", W.team_state.select(F.col("team_id").alias("target"), "first_seen"))
+    path = new_path(W.spark, "readings-in")
+    readings = materialize(readings, "readings")
+    edges = [W.clock.first_cycle + (W.clock.at + 1 - W.clock.first_cycle) * i // 3 for i in range(4)]
+    for low, high in zip(edges, edges[1:]):  # a file each, in order: rules carry on over three batches
+        readings.filter((F.col("ts") >= low) & (F.col("ts") < high)).coalesce(1).write.mode("append").parquet(path)
+    runner.use_stream_conf(W.spark)
+    stream = runner.open_table_stream(W.spark, path, readings.schema, files_per_batch=1)
+    return alert_streams.alert_stream(rules, stream, new_path(W.spark, "stream-alerts"), new_path(W.spark, "stream-alerts-checkpoint"))
 
 
 def _stream_alerts_oracle() -> str:
@@ -91,10 +107,7 @@ ORACLES["stream_alerts"] = _stream_alerts_oracle()
 @query("stream_ingest", "hourly", """
   select team_id, cast(date '1970-01-01' + cast(day as integer) as varchar) as bucket, points, wus from tdaily""")
 def stream_ingest(W):
-    src, out, ckpt = (new_path(W.spark, p) for p in ("teams-in", "ingested", "ingest-checkpoint"))
-    W.team_snapshot.select("team_id", "team_name", "snapshot_ts", "score", "wus").repartitionByRange(
-        4, "snapshot_ts").write.parquet(src)
-    ingest.ingest(W.spark, "team", src, out, ckpt)
+    out = _ingested(W, "team", W.team_snapshot.select("team_id", "team_name", "snapshot_ts", "score", "wus"))
     daily = W.spark.read.parquet(f"{out}/team_daily")
     return daily.select("team_id", F.date_from_unix_date("day").cast("string").alias("bucket"), "points", "wus")
 

@@ -149,6 +149,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def list_partitions(spark: SparkSession, path: str, column: str) -> list[int]:
+    """Values of the integer partition folders directly under ``path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return [int(n.partition("=")[2]) for n in names if n.startswith(f"{column}=")]
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete every table this application wrote to the shared folder."""
     _scratch_paths().clear()

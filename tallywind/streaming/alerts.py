@@ -1,96 +1,43 @@
-"""Transition alerts over a stream of readings, one small state per rule."""
+"""Transition alerts over a stream of readings: the batch expressions, batch by batch, with
+each rule's last reading carried on in a table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from tallywind.functions import scalars as S
-from tallywind.schemas import DAY, HOUR
-from tallywind.session import ship_by_value
 
-ship_by_value(__name__)
+from tallywind.operators import alerts
+from tallywind.session import path_exists
+from tallywind.sources.sinks import replace_partitions
+from tallywind.streaming.runner import run_available
 
-STATE = "seeded boolean, armed boolean, milestone bigint, last_24h bigint, quiet_since bigint, fired_day bigint, ts bigint"
 FIRED = "id string, type string, target string, ts bigint, value bigint"
 
 
-def seed(kind: str, threshold: int, r) -> list:
-    """State of a new rule: the current reading, so that it announces nothing from the past."""
-    quiet = r.points_last_24h <= 0
-    armed = {"rank": r.rank > threshold, "idle": not quiet, "resumed": r.points_last_24h == 0}.get(kind, False)
-    return [True, bool(armed), int(r.milestone), int(r.points_last_24h), int(r.ts) if quiet else None, None, int(r.ts)]
-
-
-def step(kind: str, threshold: int, s: list, r) -> int | None:
-    """Advance one rule by one reading; the value to announce when it fires."""
-    _, armed, milestone, last24, quiet_since, fired_day, _ = s
-    ts, p24 = int(r.ts), int(r.points_last_24h)
-    fired = None
-    if kind == "milestone":
-        if r.milestone > milestone:
-            s[2] = fired = int(r.milestone)
-    elif kind == "rank":
-        if r.rank <= threshold:
-            fired = int(r.rank) if armed else None
-            s[1] = False
-        else:
-            s[1] = True
-    elif kind == "idle":
-        if p24 > 0:
-            s[1], s[4] = True, None
-        else:
-            s[4] = quiet_since = ts if quiet_since is None else quiet_since
-            if armed and ts - quiet_since >= threshold * HOUR:
-                fired, s[1] = ts - quiet_since, False
-    elif kind == "resumed":
-        if p24 > 0:
-            fired = p24 if armed and last24 == 0 else None
-            s[1] = False
-        else:
-            s[1] = True
-        s[3] = p24
-    elif kind == "daily" and ts % DAY // HOUR >= threshold and fired_day != ts // DAY:
-        fired, s[5] = p24, ts // DAY
-    s[6] = ts
-    return fired
-
-
-class _Rule(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("ts")
-        state = list(self.seen.get()) if self.seen.exists() else None
-        out = []
-        for r in frame.itertuples(index=False):
-            if state is None:
-                state = seed(r.type, int(r.threshold), r)
-                continue
-            if r.ts <= state[6]:
-                continue
-            value = step(r.type, int(r.threshold), state, r)
-            if value is not None:
-                out.append((r.id, r.type, r.target, int(r.ts), int(value)))
-        if state is not None:
-            self.seen.update(tuple(state))
-        yield pd.DataFrame(out, columns=["id", "type", "target", "ts", "value"])
-
-    def close(self) -> None:
-        pass
-
-
-def alert_stream(rules: DataFrame, readings: DataFrame) -> DataFrame:
-    """Firings of ``rules`` (a table) over ``readings`` (a stream of per-cycle figures)."""
-    rows = (readings.join(rules, ["kind", "target"]).filter("ts >= created_ts")
-            .filter(S.threshold_valid("type", "threshold"))
-            .withColumn("milestone", S.milestone_at_or_below("points_total")))
-    rows = rows.select("id", "type", "target", "threshold", "ts", "milestone", "points_last_24h",
-                       F.col("rank").cast("bigint").alias("rank"))
-    return rows.groupBy("id").transformWithStateInPandas(
-        statefulProcessor=_Rule(), outputStructType=FIRED, outputMode="Append", timeMode="None")
+def _carry_before(spark, path: str, batch_id: int) -> DataFrame | None:
+    """Each rule's last reading in the batches before ``batch_id``."""
+    if not path_exists(spark, path):
+        return None
+    names = [c.split()[0] for c in alerts.CARRY.split(", ")]
+    rows = spark.read.schema(f"{alerts.CARRY}, batch bigint").parquet(path).filter(F.col("batch") < batch_id)
+    return rows.groupBy("id").agg(*[F.max_by(c, "ts").alias(f"_{c}") for c in names[2:]], F.max("ts").alias("ts")).select(
+        "id", "ts", *[F.col(f"_{c}").alias(c) for c in names[2:]])
+
+
+def alert_stream(rules: DataFrame, readings: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Firings of ``rules`` (a table) over ``readings`` (a stream of per-cycle figures, whole
+    cycles in a batch). A batch run again writes the same partitions."""
+    spark = rules.sparkSession
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        path = f"{out}/_staged"
+        alerts.walk(rules, batch, _carry_before(spark, f"{out}/carry", batch_id)).write.mode("overwrite").parquet(path)
+        rows = spark.read.parquet(path)
+        tag = lambda df: df.withColumn("batch", F.lit(batch_id))
+        replace_partitions(tag(alerts.firings(rows).withColumn("value", F.col("value").cast("bigint"))), f"{out}/fired", "batch")
+        replace_partitions(tag(alerts.carried(rows)), f"{out}/carry", "batch")
+
+    run_available(readings, checkpoint, body)
+    if not path_exists(spark, f"{out}/fired"):
+        return spark.createDataFrame([], FIRED)
+    return spark.read.schema(f"{FIRED}, batch bigint").parquet(f"{out}/fired").drop("batch")

@@ -1,79 +1,97 @@
-"""Stateful differencing of snapshot streams, one small state per entity."""
+"""Differencing of snapshot streams against a table of latest totals.
 
-from __future__ import annotations
+A micro-batch is differenced inside itself by ``lag``; what an entity's first row needs comes
+from the latest-totals table by one left join on the entity's keys. Only the totals a batch
+changed are written, as a partition of that batch; from time to time the table is folded. So
+everything runs in the JVM, entities need no state store, and the table is at once what a new
+stream starts from.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from tallywind.session import ship_by_value
-
-ship_by_value(__name__)
-
-TOTALS = "ts bigint, score bigint, wus bigint"
-
-
-class _Differ(StatefulProcessor):
-    """Keeps an entity's last total. Rows at or before its time are late and ignored."""
-
-    def __init__(self, keys: list[str]):
-        self.keys = keys
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", TOTALS)
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        row = initialState.iloc[0]
-        self.last.update((int(row["ts"]), int(row["score"]), int(row["wus"])))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # Duplicates are summed chunk by chunk: what is held is one pair per cycle, however
-        # many rows a hot entity repeats.
-        totals: dict[int, list[int]] = {}
-        for chunk in rows:
-            part = chunk.groupby("snapshot_ts")[["score", "wus"]].sum()
-            for ts, score, wus in part.itertuples():
-                held = totals.setdefault(int(ts), [0, 0])
-                held[0] += int(score)
-                held[1] += int(wus)
-        prev = self.last.get() if self.last.exists() else None
-        out = []
-        for ts in sorted(totals):
-            score, wus = totals[ts]
-            if prev is not None and ts <= prev[0]:
-                continue
-            had = prev is not None
-            ps, pw = (prev[1], prev[2]) if had else (0, 0)
-            out.append((*key, ts, score, wus, score - ps, wus - pw, not had,
-                        had and (ps != 0 or pw != 0) and (score != ps or wus != pw)))
-            prev = (ts, score, wus)
-        if out:
-            self.last.update(prev)
-            yield pd.DataFrame(out, columns=[*self.keys, "ts", "score", "wus", "d_score", "d_wu",
-                                             "first_sighting", "is_delta"])
-
-    def close(self) -> None:
-        pass
-
-
-def movement_stream(snapshots: DataFrame, keys: list[str], state: DataFrame | None = None) -> DataFrame:
-    """Every row of a snapshot stream with its change since the entity's last total.
-
-    ``state`` (keys, ts, score, wus) seeds the totals of a stream that starts from an
-    existing table instead of from the beginning of the record.
-    """
+
+from tallywind.session import list_partitions, path_exists
+from tallywind.sources.archive import delete_partitions
+from tallywind.sources.sinks import replace_partitions
+
+#: Batches after which the totals they changed are folded into one table.
+FOLD_AFTER = 16
+
+
+def entity_schema(snapshots: DataFrame, keys: list[str]) -> str:
     types = dict(snapshots.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + (
-        ", ts bigint, score bigint, wus bigint, d_score bigint, d_wu bigint, "
-        "first_sighting boolean, is_delta boolean")
-    grouped = snapshots.select(*keys, "snapshot_ts", "score", "wus").groupBy(*keys)
-    seed = None if state is None else state.select(*keys, "ts", "score", "wus").groupBy(*keys)
-    return grouped.transformWithStateInPandas(
-        statefulProcessor=_Differ(keys), outputStructType=schema, outputMode="Append",
-        timeMode="None", initialState=seed)
+    return ", ".join(f"{k} {types[k]}" for k in keys)
+
+
+class LatestTotals:
+    """Totals (keys, ts, score, wus) by entity under ``path``, as of the batches before one.
+
+    ``changed/batch=n`` holds what batch n changed, ``folded/batch=n`` everything up to n.
+    Reading for batch n ignores what an earlier try of n or a later batch wrote.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, entity: str, keys: list[str], seed: DataFrame | None = None):
+        self.spark, self.path, self.keys, self.seed = spark, path, keys, seed
+        self.schema = f"{entity}, ts bigint, score bigint, wus bigint, batch bigint"
+
+    def _read(self, part: str) -> DataFrame | None:
+        path = f"{self.path}/{part}"
+        return self.spark.read.schema(self.schema).parquet(path) if path_exists(self.spark, path) else None
+
+    def before(self, batch_id: int) -> DataFrame | None:
+        folds = [b for b in list_partitions(self.spark, f"{self.path}/folded", "batch") if b < batch_id]
+        last = max(folds, default=-1)
+        parts = []
+        if folds:
+            parts.append(self._read("folded").filter(F.col("batch") == last))
+        elif self.seed is not None:
+            parts.append(self.seed.select(*self.keys, "ts", "score", "wus").withColumn("batch", F.lit(-1).cast("bigint")))
+        changed = self._read("changed")
+        if changed is not None:
+            parts.append(changed.filter((F.col("batch") > last) & (F.col("batch") < batch_id)))
+        if not parts:
+            return None
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return rows.groupBy(*self.keys).agg(F.max("ts").alias("ts"), F.max_by("score", "ts").alias("score"),
+                                            F.max_by("wus", "ts").alias("wus"))
+
+    def write(self, moves: DataFrame, batch_id: int) -> None:
+        newest = moves.groupBy(*self.keys).agg(F.max_by("score", "ts").alias("score"), F.max_by("wus", "ts").alias("wus"),
+                                               F.max("ts").alias("ts"))
+        replace_partitions(newest.withColumn("batch", F.lit(batch_id)), f"{self.path}/changed", "batch")
+        folds = [b for b in list_partitions(self.spark, f"{self.path}/folded", "batch") if b < batch_id]
+        done = max(folds, default=-1)
+        # This batch runs, so the ones before it are committed: what they folded can go.
+        if folds:
+            delete_partitions(self.spark, f"{self.path}/changed", "batch", lambda v: int(v) > done)
+            delete_partitions(self.spark, f"{self.path}/folded", "batch", lambda v: int(v) >= done)
+        if batch_id - done >= FOLD_AFTER:
+            replace_partitions(self.before(batch_id + 1).withColumn("batch", F.lit(batch_id)), f"{self.path}/folded", "batch")
+
+
+def difference(rows: DataFrame, keys: list[str], totals: DataFrame | None, applied: int | None) -> DataFrame:
+    """Every row of a batch of snapshots with its change since the entity's last total.
+
+    Cycles at or before ``applied``, the newest cycle applied earlier, are late or repeated and
+    ignored whole, also for entities that were absent since.
+    """
+    if applied is not None:
+        rows = rows.filter(F.col("snapshot_ts") > F.lit(applied))
+    own = rows.groupBy(*keys, F.col("snapshot_ts").alias("ts")).agg(F.sum("score").alias("score"), F.sum("wus").alias("wus"))
+    w = Window.partitionBy(*keys).orderBy("ts")
+    own = own.withColumn("p_score", F.lag("score").over(w)).withColumn("p_wus", F.lag("wus").over(w))
+    if totals is not None:
+        held = totals.select(*keys, F.col("score").alias("h_score"), F.col("wus").alias("h_wus"))
+        own = own.join(held, keys, "left").withColumn("p_score", F.coalesce("p_score", "h_score")).withColumn(
+            "p_wus", F.coalesce("p_wus", "h_wus"))
+    had = F.col("p_score").isNotNull()
+    zero = F.lit(0).cast("bigint")
+    d_score, d_wu = (F.col(c) - F.coalesce(f"p_{c}", zero) for c in ("score", "wus"))
+    moved = had & ((F.col("p_score") != 0) | (F.col("p_wus") != 0)) & ((d_score != 0) | (d_wu != 0))
+    return own.select(*keys, "ts", "score", "wus", d_score.alias("d_score"), d_wu.alias("d_wu"),
+                      (~had).alias("first_sighting"), moved.alias("is_delta"))
 
 
 def deltas_of(movement: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,5 +99,5 @@ def deltas_of(movement: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def seed_from(snapshot_state: DataFrame) -> DataFrame:
-    """Batch bootstrap: the latest totals of ``diff.latest_state`` as stream state."""
+    """The latest totals of ``diff.latest_state`` as a stream's first totals."""
     return snapshot_state.withColumn("ts", F.col("last_seen"))

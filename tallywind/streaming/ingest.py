@@ -1,9 +1,9 @@
 """Incremental ingest: snapshot folders in, delta, rollup and audit tables out.
 
-Each micro-batch of snapshot files is validated, differenced against keyed state and
-committed as whole (day, batch) partitions, so a batch that is run again after a failure
-writes the same tables. A snapshot that fails validation goes to ``quarantine`` and does
-not hold up the ones after it.
+Each micro-batch of snapshot files is staged, checked, differenced against the table of latest
+totals and committed as whole (day, batch) partitions, so a batch that is run again after a
+failure writes the same tables. A snapshot with a row that fails validation, or with more rows
+than allowed, goes to ``quarantine`` whole and does not hold up the ones after it.
 """
 
 from __future__ import annotations
@@ -18,58 +18,80 @@ from tallywind.operators import rollups
 from tallywind.schemas import MEMBER_SNAPSHOT, TEAM_SNAPSHOT
 from tallywind.session import path_exists
 from tallywind.sources.sinks import replace_partitions, write_batch
-from tallywind.streaming.differencing import deltas_of, movement_stream
-from tallywind.streaming.runner import open_table_stream, run_available, use_stream_conf
+from tallywind.streaming.differencing import LatestTotals, deltas_of, difference, entity_schema
+from tallywind.streaming.runner import open_table_stream, run_available
 
 FEEDS = {"member": (["name", "team_id"], MEMBER_SNAPSHOT), "team": (["team_id"], TEAM_SNAPSHOT)}
 
 
-def valid_rows(snapshots: DataFrame) -> DataFrame:
-    """Rows an entity may have: totals are never negative."""
-    return snapshots.filter("score >= 0 AND wus >= 0 AND team_id IS NOT NULL")
+def is_invalid():
+    """A row no entity may have: totals are never negative."""
+    return ~F.coalesce((F.col("score") >= 0) & (F.col("wus") >= 0) & F.col("team_id").isNotNull(), F.lit(False))
 
 
-def rejected_rows(snapshots: DataFrame) -> DataFrame:
-    return snapshots.filter("NOT (score >= 0 AND wus >= 0 AND team_id IS NOT NULL) OR score IS NULL OR wus IS NULL")
+def refused_cycles(snapshots: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """(snapshot_ts, reason) of the snapshots that are not applied."""
+    seen = snapshots.groupBy("snapshot_ts").agg(F.count_if(is_invalid()).alias("bad"), F.count(F.lit(1)).alias("n"))
+    over = F.lit(False) if max_rows is None else F.col("n") > F.lit(max_rows)
+    reason = F.when(F.col("bad") > 0, "invalid rows").when(over, "too many rows")
+    return seen.withColumn("reason", reason).filter("reason IS NOT NULL").select("snapshot_ts", "reason")
 
 
-def commit(feed: str, out: str, publish: Callable[[SparkSession, int], None] | None = None):
-    """foreachBatch body: totals, deltas, audit, then the rollups of the days touched.
+def _newest_cycle(spark: SparkSession, out: str, feed: str, batch_id: int) -> int | None:
+    path = f"{out}/{feed}_cycles"
+    if not path_exists(spark, path):
+        return None
+    rows = spark.read.schema("ts bigint, day bigint, batch bigint").parquet(path)
+    return rows.filter(F.col("batch") < batch_id).agg(F.max("ts").alias("m")).first()["m"]
 
-    The batch is first written whole, so that the stateful operator runs once and what
-    follows reads a table that does not depend on any executor.
+
+def commit(feed: str, out: str, publish: Callable[[SparkSession, int], None] | None = None,
+           state: DataFrame | None = None, max_rows: int | None = None):
+    """foreachBatch body: quarantine, totals, deltas, audit, then the rollups of the days touched.
+
+    The batch is first written whole, so the source is read once and what follows reads a
+    table that does not depend on any executor.
     """
     keys, _ = FEEDS[feed]
 
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        staged = f"{out}/_staged/{feed}"
+        staged, moved = f"{out}/_staged/{feed}", f"{out}/_staged/{feed}_moves"
         batch.write.mode("overwrite").parquet(staged)
         rows = spark.read.schema(batch.schema).parquet(staged)
-        audit = rows.groupBy("ts").agg(
+        refused = refused_cycles(rows, max_rows)
+        replace_partitions(rows.join(refused, "snapshot_ts").withColumn("batch", F.lit(batch_id)), f"{out}/{feed}_quarantine", "batch")
+        totals = LatestTotals(spark, f"{out}/{feed}_latest", entity_schema(batch, keys), keys, state)
+        applied = _newest_cycle(spark, out, feed, batch_id)
+        if applied is None and state is not None:
+            applied = state.agg(F.max("ts").alias("m")).first()["m"]
+        good = rows.join(refused, "snapshot_ts", "left_anti")
+        moves = difference(good, keys, totals.before(batch_id), applied)
+        moves.write.mode("overwrite").parquet(moved)
+        moves = spark.read.schema(moves.schema).parquet(moved)
+        audit = moves.groupBy("ts").agg(
             F.count(F.lit(1)).alias("row_count"), F.count_if("first_sighting").alias("new_entities"),
             F.count_if("is_delta").alias("deltas"), F.count_if(F.col("d_score") < 0).alias("regressions"))
         # One value per calendar day in the batch.
         touched = [r["day"] for r in audit.select(S.day_index("ts").alias("day")).distinct().collect()]
         if not touched:
             return
-        write_batch(rows.select(*keys, "ts", "score", "wus"), f"{out}/{feed}_totals", batch_id)
-        write_batch(deltas_of(rows, keys), f"{out}/{feed}_delta", batch_id)
+        write_batch(moves.select(*keys, "ts", "score", "wus"), f"{out}/{feed}_totals", batch_id)
+        write_batch(deltas_of(moves, keys), f"{out}/{feed}_delta", batch_id)
         write_batch(audit, f"{out}/{feed}_cycles", batch_id)
+        totals.write(moves, batch_id)
         rebuild_days(spark, out, feed, touched)
         if publish is not None:
-            publish(spark, rows.agg(F.max("ts").alias("m")).first()["m"])
+            publish(spark, moves.agg(F.max("ts").alias("m")).first()["m"])
 
     return body
 
 
 def restore_state(spark: SparkSession, out: str, feed: str) -> DataFrame:
-    """Latest totals from the committed tables, to seed a stream with a new checkpoint."""
-    keys, _ = FEEDS[feed]
-    rows = spark.read.parquet(f"{out}/{feed}_totals")
-    return rows.groupBy(*keys).agg(
-        F.max_by("score", "ts").alias("score"), F.max_by("wus", "ts").alias("wus"),
-        F.max("ts").alias("ts")).select(*keys, "ts", "score", "wus")
+    """Latest totals of the committed batches, for a stream with a new checkpoint."""
+    keys, schema = FEEDS[feed]
+    entity = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema if f.name in keys)
+    return LatestTotals(spark, f"{out}/{feed}_latest", entity, keys).before(1 << 62)
 
 
 def rebuild_days(spark: SparkSession, out: str, feed: str, days: list[int]) -> None:
@@ -95,31 +117,19 @@ def rebuild_days(spark: SparkSession, out: str, feed: str, days: list[int]) -> N
     replace_partitions(monthly, f"{out}/{feed}_monthly", "month")
 
 
-def quarantine(out: str, feed: str):
-    def body(batch: DataFrame, batch_id: int) -> None:
-        replace_partitions(batch.withColumn("batch", F.lit(batch_id)), f"{out}/{feed}_quarantine", "batch")
-
-    return body
-
-
 def ingest(spark: SparkSession, feed: str, source: str, out: str, checkpoint: str,
            files_per_batch: int | None = None, state: DataFrame | None = None,
-           publish: Callable[[SparkSession, int], None] | None = None) -> None:
+           publish: Callable[[SparkSession, int], None] | None = None, max_rows: int | None = None) -> None:
     """Apply every snapshot file not applied yet, oldest first, then stop.
 
-    ``publish(spark, newest_cycle)`` runs after a batch that brought a cycle, and only then.
+    A snapshot is one file, so that no micro-batch holds half a cycle.
+    ``state`` (keys, ts, score, wus) are the totals a stream with a new checkpoint starts from;
+    ``max_rows`` is the most rows a snapshot may have. ``publish(spark, newest_cycle)`` runs
+    after a batch that brought a cycle, and only then.
     """
-    use_stream_conf(spark)
-    keys, schema = FEEDS[feed]
+    _, schema = FEEDS[feed]
     stream = open_table_stream(spark, source, schema, files_per_batch)
-    moves = movement_stream(valid_rows(stream), keys, state)
-    run_available(moves, f"{checkpoint}/{feed}", commit(feed, out, publish), mode="append")
-    bad = rejected_rows(open_table_stream(spark, source, schema, files_per_batch))
-    run_available(bad, f"{checkpoint}/{feed}-quarantine", quarantine(out, feed), mode="append")
-
-
-def read_table(spark: SparkSession, out: str, name: str, keys: list[str]) -> DataFrame:
-    return spark.read.parquet(f"{out}/{name}").select(*keys)
+    run_available(stream, f"{checkpoint}/{feed}", commit(feed, out, publish, state, max_rows), mode="append")
 
 
 def rows_since(deltas: DataFrame, horizon_day: int) -> DataFrame:

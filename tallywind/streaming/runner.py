@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallywind.session import STREAM_CONF, new_path
+from tallywind.sources.sinks import replace_partitions
 
 
 def use_stream_conf(spark: SparkSession) -> None:
@@ -17,20 +18,6 @@ def use_stream_conf(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
-@contextmanager
-def _local_partitions(spark: SparkSession):
-    """A stream keeps its partition count for life, one state store each. On one machine
-    more of them than cores only cost time; a cluster's own setting is left alone."""
-    key = "spark.sql.shuffle.partitions"
-    was = spark.conf.get(key)
-    if spark.sparkContext.master.startswith("local"):
-        spark.conf.set(key, str(min(int(was), spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, was)
-
-
 def open_table_stream(spark: SparkSession, path: str, schema: StructType,
                       files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -41,12 +28,14 @@ def open_table_stream(spark: SparkSession, path: str, schema: StructType,
 
 def run_available(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None] | None = None,
                   out: str | None = None, mode: str = "append") -> StreamingQuery:
-    """Process everything available and stop; a second run picks up where this one ended."""
+    """Process everything available and stop; a second run picks up where this one ended.
+
+    A stream keeps the ``spark.sql.shuffle.partitions`` it started with for life.
+    """
     use_stream_conf(stream.sparkSession)
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    with _local_partitions(stream.sparkSession):
-        q = w.foreachBatch(batch).start() if batch else w.format("parquet").option("path", out).start()
-        q.awaitTermination()
+    q = w.foreachBatch(batch).start() if batch else w.format("parquet").option("path", out).start()
+    q.awaitTermination()
     return q
 
 
@@ -56,3 +45,25 @@ def collect_stream(stream: DataFrame, label: str) -> DataFrame:
     out = new_path(spark, label)
     run_available(stream, new_path(spark, f"{label}-checkpoint"), out=out)
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def upsert_stream(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:
+    """Run an update-mode aggregation and read the newest row of every key.
+
+    A batch writes the keys it changed to a partition of its own, so running it again after a
+    failure replaces the same rows. Nothing waits for a watermark: the newest window is there
+    as soon as its first row is.
+    """
+    spark = stream.sparkSession
+    run_available(stream, checkpoint, lambda batch, i: replace_partitions(batch.withColumn("batch", F.lit(i)), out, "batch"),
+                  mode="update")
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    values = [c for c in stream.columns if c not in keys]
+    newest = spark.read.schema(schema).parquet(out).groupBy(*keys).agg(
+        *[F.max_by(c, "batch").alias(c) for c in values])
+    return newest.select(*stream.columns)
+
+
+def collect_updates(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
+    spark = stream.sparkSession
+    return upsert_stream(stream, keys, new_path(spark, label), new_path(spark, f"{label}-checkpoint"))

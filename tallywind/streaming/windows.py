@@ -1,29 +1,42 @@
-"""Windowed aggregations over delta and event streams."""
+"""Windowed aggregations over delta and event streams.
+
+The streams keep tumbling sums, one state row per entity and bucket, and emit in update mode,
+so the newest bucket is visible at once. Trailing windows are read from those sums.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywind.operators.windows import trailing_sums
+from tallywind.schemas import HOUR
+
 
 def _event_time(ts: str, shift: int = 0):
     return F.timestamp_seconds(F.col(ts) - F.lit(shift))
 
 
-def rolling_sums(deltas: DataFrame, keys: list[str], span: str = "24 hours", slide: str = "1 hour",
-                 late: str = "2 hours") -> DataFrame:
-    """Trailing sums over (end - span, end] at every slide.
+def hourly_sums(deltas: DataFrame, keys: list[str], late: str = "2 hours") -> DataFrame:
+    """Points per entity and hour; ``ts`` is the hour's end.
 
     Spark's windows are [start, end); moving whole-second instants back by one second turns
-    that into the half-open interval the batch figures use.
+    that into the half-open interval (start, end] the batch figures use.
     """
     timed = deltas.withColumn("event_time", _event_time("ts", 1)).withWatermark("event_time", late)
-    w = timed.groupBy(*keys, F.window("event_time", span, slide)).agg(F.sum("d_score").alias("points"))
+    w = timed.groupBy(*keys, F.window("event_time", "1 hour")).agg(F.sum("d_score").alias("points"))
     return w.select(*keys, F.unix_seconds(F.col("window.end")).alias("ts"), "points")
 
 
+def rolling_sums(hours: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """Sums over (ts - span, ts] at every full hour that has any, from hourly sums."""
+    ends = F.sequence(F.col("ts"), F.col("ts") + F.lit(span - HOUR), F.lit(HOUR).cast("bigint"))
+    return (hours.select(*keys, "points", F.explode(ends).alias("ts"))
+            .groupBy(*keys, "ts").agg(F.sum("points").alias("points")))
+
+
 def daily_buckets(deltas: DataFrame, keys: list[str], late: str = "2 hours") -> DataFrame:
-    """Tumbling UTC days; in append mode a day comes out once it can no longer change."""
+    """Tumbling UTC days."""
     timed = deltas.withColumn("event_time", _event_time("ts")).withWatermark("event_time", late)
     w = timed.groupBy(*keys, F.window("event_time", "1 day")).agg(
         F.sum("d_score").alias("points"), F.sum("d_wu").alias("wus"))
@@ -37,16 +50,13 @@ def once_per_snapshot(meta: DataFrame, late: str = "2 hours") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["feed", "snapshot_ts"]).drop("event_time")
 
 
-def event_rate(events: DataFrame, ts: str, late: str = "10 seconds", salts: int = 1) -> DataFrame:
-    """Events in the trailing minute ending at each second, and that count per second.
+def second_counts(events: DataFrame, ts: str, late: str = "10 seconds") -> DataFrame:
+    """Events per second: (sec, n)."""
+    timed = events.withColumn("event_time", F.col(ts)).withWatermark("event_time", late)
+    w = timed.groupBy(F.window("event_time", "1 second")).agg(F.count(F.lit(1)).alias("n"))
+    return w.select(F.unix_seconds(F.col("window.start")).alias("sec"), "n")
 
-    Rows are counted per second first, so that a busy second enters the sixty windows it
-    belongs to as one row and not as all of its events.
-    """
-    timed = events.withColumn("event_time", F.date_trunc("second", F.col(ts))).withWatermark("event_time", late)
-    per_second = timed.groupBy(F.window("event_time", "1 second")).agg(F.count(F.lit(1)).alias("n"))
-    minute = per_second.groupBy(F.window(F.window_time("window"), "60 seconds", "1 second")).agg(
-        F.sum("n").alias("events_in_window"))
-    # A window [end - 60, end) holds the seconds up to end - 1.
-    return minute.select((F.unix_seconds(F.col("window.end")) - 1).alias("sec"), "events_in_window",
-                         (F.col("events_in_window") / F.lit(60.0)).alias("per_second"))
+
+def event_rate(counts: DataFrame, span: int = 60) -> DataFrame:
+    """Events in the trailing minute at every second that has one, from counts per second."""
+    return trailing_sums(counts, span)

@@ -10,8 +10,7 @@ from tallywind.schemas import DAY, HOUR, TEAM_SNAPSHOT
 from tallywind.session import path_exists
 from tallywind.sources import archive, sinks
 from tallywind.streaming import ingest
-from tallywind.streaming.differencing import movement_stream, seed_from
-from tallywind.streaming.runner import collect_stream, open_table_stream
+from tallywind.streaming.differencing import LatestTotals, difference, seed_from
 
 T = ["team_id"]
 T0 = 1_785_628_800
@@ -88,24 +87,46 @@ def test_late_and_repeated_cycles_are_ignored(spark, tmp):
     assert result(spark, out)[0] == expected(df)[0]
 
 
-def test_bad_rows_go_to_quarantine(spark, tmp):
-    df = snapshots(spark, range(4)).cache()
-    bad = df.filter(F.col("snapshot_ts") == T0 + HOUR).withColumn("score", -F.col("score")).withColumn(
-        "team_id", F.col("team_id") + 100)
-    write_files(df.unionByName(bad), f"{tmp}/src")
-    ingest.ingest(spark, "team", f"{tmp}/src", f"{tmp}/out", f"{tmp}/ckpt")
+def test_a_late_cycle_is_ignored_for_entities_that_were_absent(spark, tmp):
+    """Team 6 is missing in cycle 4; a second cycle 3 after it must not be applied to it alone."""
+    df = snapshots(spark, range(6)).filter(f"NOT (team_id = 6 AND snapshot_ts >= {T0 + 4 * HOUR})").cache()
+    late = df.filter(F.col("snapshot_ts") == T0 + 3 * HOUR).withColumn("score", F.col("score") + 999)
+    write_files(df, f"{tmp}/src")
+    write_files(late, f"{tmp}/src")
+    ingest.ingest(spark, "team", f"{tmp}/src", f"{tmp}/out", f"{tmp}/ckpt", files_per_batch=1)
     assert result(spark, f"{tmp}/out")[0] == expected(df)[0]
-    assert spark.read.parquet(f"{tmp}/out/team_quarantine").count() == 6
 
 
-def test_state_seeded_from_a_batch_table(spark, tmp):
+def test_snapshots_with_bad_or_too_many_rows_go_to_quarantine_whole(spark, tmp):
+    df = snapshots(spark, range(5)).cache()
+    bad = df.filter((F.col("snapshot_ts") == T0 + HOUR) & (F.col("team_id") < 3)).withColumn("score", -F.col("score"))
+    many = df.filter(F.col("snapshot_ts") == T0 + 3 * HOUR).withColumn("team_id", F.col("team_id") + 100)
+    write_files(df.unionByName(bad).unionByName(many), f"{tmp}/src")
+    ingest.ingest(spark, "team", f"{tmp}/src", f"{tmp}/out", f"{tmp}/ckpt", max_rows=10)
+    kept = df.filter(~F.col("snapshot_ts").isin(T0 + HOUR, T0 + 3 * HOUR))
+    assert result(spark, f"{tmp}/out")[0] == expected(kept)[0]
+    held = spark.read.parquet(f"{tmp}/out/team_quarantine").groupBy("snapshot_ts", "reason").count().collect()
+    assert {tuple(r) for r in held} == {(T0 + HOUR, "invalid rows", 8), (T0 + 3 * HOUR, "too many rows", 12)}
+
+
+def test_a_batch_differenced_against_a_table_of_totals(spark):
     df = snapshots(spark, range(8)).cache()
     old, new = df.filter(F.col("snapshot_ts") < T0 + 5 * HOUR), df.filter(F.col("snapshot_ts") >= T0 + 5 * HOUR)
-    write_files(new, f"{tmp}/src")
-    stream = open_table_stream(spark, f"{tmp}/src", TEAM_SNAPSHOT)
-    moves = movement_stream(stream, T, seed_from(diff.latest_state(old, T)))
-    got = collect_stream(moves, "seeded").filter("is_delta").select("team_id", "ts", "d_score").collect()
-    assert sorted(map(tuple, got)) == [x[:3] for x in expected(df)[0] if x[1] >= T0 + 5 * HOUR]
+    got = difference(new, T, seed_from(diff.latest_state(old, T)), T0 + 4 * HOUR).filter("is_delta").select("team_id", "ts", "d_score")
+    assert sorted(map(tuple, got.collect())) == [x[:3] for x in expected(df)[0] if x[1] >= T0 + 5 * HOUR]
+
+
+def test_latest_totals_fold_and_ignore_a_try_that_failed(spark, tmp, monkeypatch):
+    from tallywind.streaming import differencing
+    monkeypatch.setattr(differencing, "FOLD_AFTER", 2)
+    table = LatestTotals(spark, f"{tmp}/latest", "team_id int", T)
+    row = lambda ts, score: spark.createDataFrame([(1, ts, score, 1), (ts, ts, score, 2)], "team_id int, ts bigint, score bigint, wus bigint")
+    for i in range(7):
+        table.write(row(100 + i, 10 * i), i)
+        table.write(row(100 + i, 10 * i), i)  # the same batch again
+    held = {r["team_id"]: (r["ts"], r["score"]) for r in table.before(7).collect()}
+    assert held == {1: (106, 60), **{100 + i: (100 + i, 10 * i) for i in range(7)}}
+    assert {r["team_id"]: r["score"] for r in table.before(6).collect()}[1] == 50
 
 
 def test_writing_a_cycle_again_replaces_it(spark, tmp):
