@@ -131,35 +131,57 @@ def _fire(spark, kind, threshold, readings, created=None):
     return [(r["ts"], r["value"]) for r in alerts.evaluate(rules, rd).orderBy("ts").collect()]
 
 
-H0 = 1_785_974_400  # 2026-08-06 00:00 UTC
+DAY0 = 20_600 * DAY
 
 
-def test_new_alerts_do_not_announce_the_past(spark):
-    same = [(H0 + i * HOUR, 6_211_286_931, 0, 400) for i in (12, 13)]
-    for kind, threshold in (("milestone", 0), ("rank", 1000), ("idle", 24), ("resumed", 0)):
-        assert _fire(spark, kind, threshold, same) == []
+def test_a_new_rule_is_silent(spark):
+    still = [(DAY0 + i * HOUR, 7_300_000_000, 0, 50) for i in range(3)]
+    for kind, threshold in (("milestone", 0), ("rank", 80), ("idle", 2), ("resumed", 0)):
+        assert _fire(spark, kind, threshold, still[:2]) == []
 
 
-def test_milestone_alert(spark):
-    pts = [940_000_000, 999_999_999, 1_000_000_001, 1_500_000_000, 2_000_000_000, 60_000_000_000, 60_000_000_000]
-    r = [(H0 + i * HOUR, p, 5, 1) for i, p in enumerate(pts)]
-    assert _fire(spark, "milestone", 0, r) == [(r[2][0], 10 ** 9), (r[4][0], 2 * 10 ** 9), (r[5][0], 5 * 10 ** 10)]
+def test_milestones_fire_once_each_and_only_the_highest_passed(spark):
+    totals = [1_900_000, 1_999_999, 2_000_000, 4_999_999, 23_000_000, 22_000_000, 23_500_000]
+    seen = [(DAY0 + i * HOUR, p, 5, 1) for i, p in enumerate(totals)]
+    assert _fire(spark, "milestone", 0, seen) == [(DAY0 + 2 * HOUR, 2_000_000), (DAY0 + 4 * HOUR, 20_000_000)]
 
 
-def test_rank_alert_rearms(spark):
-    r = [(H0 + i * HOUR, 1, 1, k) for i, k in enumerate([1500, 1200, 998, 990, 1100, 999])]
-    assert _fire(spark, "rank", 1000, r) == [(r[2][0], 998), (r[5][0], 999)]
-    r = [(H0 + i * HOUR, 1, 1, k) for i, k in enumerate([400, 380, 1400, 900])]
-    assert _fire(spark, "rank", 1000, r) == [(r[3][0], 900)]
+def test_a_rank_rule_fires_on_entering_and_rearms_on_leaving(spark):
+    ranks = [30, 11, 10, 4, 12, 10, 10, 31, 1]
+    seen = [(DAY0 + i * HOUR, 1, 1, k) for i, k in enumerate(ranks)]
+    assert _fire(spark, "rank", 10, seen) == [(DAY0 + i * HOUR, ranks[i]) for i in (2, 5, 8)]
 
 
-def test_idle_alert_waits_and_repeats_after_an_outage(spark):
-    r = [(H0 + h * HOUR, 1, p, 1) for h, p in ((0, 5_000_000), (1, 0), (20, 0), (26, 0), (50, 0), (60, 1_000_000), (61, 0), (90, 0))]
-    assert [t for t, _ in _fire(spark, "idle", 24, r)] == [H0 + 26 * HOUR, H0 + 90 * HOUR]
+def test_an_idle_rule_fires_once_a_spell(spark):
+    spans = [(0, 40), (5, 0), (16, 0), (17, 0), (30, 0), (31, 8), (33, 0), (44, 0), (45, 0), (70, 0)]
+    seen = [(DAY0 + h * HOUR, 1, p, 1) for h, p in spans]
+    assert _fire(spark, "idle", 12, seen) == [(DAY0 + 17 * HOUR, 12 * HOUR), (DAY0 + 45 * HOUR, 12 * HOUR)]
 
 
-def test_resumed_and_daily_alerts(spark):
-    r = [(H0 + h * HOUR, 1, p, 1) for h, p in ((12, 9_000_000), (13, 9_500_000), (14, 0), (15, 3_000_000), (16, 4_000_000))]
-    assert _fire(spark, "resumed", 0, r) == [(H0 + 15 * HOUR, 3_000_000)]
-    at = [9 * HOUR, 11 * HOUR, 12 * HOUR + 4, 13 * HOUR, 24 * HOUR - 60, 36 * HOUR + 31]
-    assert [t - H0 for t, _ in _fire(spark, "daily", 12, [(H0 + a, 1, 7, 1) for a in at])] == [at[2], at[5]]
+def test_resumed_and_daily_rules(spark):
+    seen = [(DAY0 + i * HOUR, 1, p, 1) for i, p in enumerate([6, 0, 0, 9, 2, 0, 5])]
+    assert _fire(spark, "resumed", 0, seen) == [(DAY0 + 3 * HOUR, 9), (DAY0 + 6 * HOUR, 5)]
+    hours = [1, 5, 7, 8, 23, 25, 30, 31, 55]
+    assert [t for t, _ in _fire(spark, "daily", 7, [(DAY0 + h * HOUR, 1, 3, 1) for h in hours])] == [DAY0 + h * HOUR for h in (7, 31, 55)]
+
+
+def test_a_rule_carried_over_batches_fires_as_in_one(spark):
+    import random
+    rnd = random.Random(11)
+    rows, total = [], 0
+    for i in range(120):
+        moved = rnd.choice([0, 0, 0, rnd.randrange(1, 900_000)])
+        total += moved
+        rows.append((DAY0 + i * 5 * HOUR, total, moved, rnd.randrange(1, 8)))
+    kinds = [("milestone", 0), ("rank", 3), ("idle", 9), ("resumed", 0), ("daily", 6)]
+    rules = spark.createDataFrame([(k, k, "team", "1", v, DAY0) for k, v in kinds],
+                                  "id string, type string, kind string, target string, threshold bigint, created_ts bigint")
+    schema = "kind string, target string, ts bigint, points_total bigint, points_last_24h bigint, rank bigint"
+    frame = lambda part: spark.createDataFrame([("team", "1", *r) for r in part], schema)
+    whole = sorted(map(tuple, alerts.evaluate(rules, frame(rows)).collect()))
+    carry, pieces = None, []
+    for a, b in ((0, 31), (28, 74), (74, 75), (75, 120)):  # the second repeats readings of the first
+        seen = alerts.walk(rules, frame(rows[a:b]), carry)
+        pieces += map(tuple, alerts.firings(seen).collect())
+        carry = spark.createDataFrame(alerts.carried(seen).collect(), alerts.CARRY)
+    assert len(whole) > 10 and sorted(pieces) == whole
