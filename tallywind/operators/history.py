@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -41,12 +42,13 @@ def history_range(at: int, granularity: str = "hourly", start: int | None = None
     return Range(g, lo, hi)
 
 
-def history(delta: DataFrame, daily: DataFrame, keys: list[str], r: Range) -> DataFrame:
+def history(delta: DataFrame, daily: DataFrame, monthly: DataFrame, keys: list[str], r: Range) -> DataFrame:
     """(keys, bucket_ts, points, wus). ``keys`` may be coarser than the tables' own keys: a
     donor is ``["name"]`` over member tables, the project ``[]`` over team tables.
 
     Hourly covers [start, end); a bucketed range includes the bucket holding its end, and
-    weeks and months are always whole.
+    weeks and months are always whole. Months come from the monthly table, which retention
+    never cuts.
     """
     if r.granularity == "hourly":
         rows = delta.filter((F.col("ts") >= F.lit(r.start)) & (F.col("ts") < F.lit(r.end)))
@@ -60,21 +62,18 @@ def history(delta: DataFrame, daily: DataFrame, keys: list[str], r: Range) -> Da
         hi += 6 - (hi - S.FIRST_SUNDAY) % 7
         bucket = S.week_start_day(S.week_of_day("day"))
     else:
-        lo, hi = _month_floor(lo), _month_ceil(hi)
-        bucket = S.month_start_day(S.month_of_day("day"))
+        first, last = _month_of(lo), _month_of(hi)
+        rows = monthly.filter((F.col("month") >= F.lit(first)) & (F.col("month") <= F.lit(last)))
+        return rows.groupBy(*keys, (S.month_start_day("month") * DAY).cast("bigint").alias("bucket_ts")).agg(
+            F.sum("points").alias("points"), F.sum("wus").alias("wus"))
     rows = daily.filter((F.col("day") >= F.lit(lo)) & (F.col("day") <= F.lit(hi)))
     return rows.groupBy(*keys, (bucket * DAY).cast("bigint").alias("bucket_ts")).agg(
         F.sum("points").alias("points"), F.sum("wus").alias("wus"))
 
 
-def _month_floor(day: int) -> int:
-    import datetime as dt
+def _month_of(day: int) -> int:
     d = dt.date(1970, 1, 1) + dt.timedelta(days=day)
-    return (d.replace(day=1) - dt.date(1970, 1, 1)).days
-
-
-def _month_ceil(day: int) -> int:
-    return _month_floor(_month_floor(day) + 32) - 1
+    return d.year * 12 + d.month - 1
 
 
 def densify(series: DataFrame, keys: list[str], granularity: str, until: int) -> DataFrame:

@@ -12,7 +12,7 @@ from tallywind.plans.registry import query
 from tallywind.schemas import DAY, HOUR
 from tallywind.session import materialize
 from tallywind.sources import adapters as A
-from tallywind.sources import sinks
+from tallywind.sources import archive, sinks
 
 M, T = diff.MEMBER, diff.TEAM
 
@@ -441,10 +441,26 @@ def _history_sql(scope: str, gran: str) -> str:
 
 def _history(W, scope: str, gran: str):
     keys, t = _SCOPES[scope]
-    delta, daily = (W.team_delta, W.team_daily) if t == "t" else (W.member_delta, W.member_daily)
-    return H.history(delta, daily, keys, H.history_range(W.clock.at, gran))
+    delta, daily, monthly = ((W.team_delta, W.team_daily, W.team_monthly) if t == "t"
+                             else (W.member_delta, W.member_daily, W.member_monthly))
+    return H.history(delta, daily, monthly, keys, H.history_range(W.clock.at, gran))
 
 
+def _retained(W, scope: str):
+    """History by months over the whole record after days older than two years were pruned."""
+    keys, t = _SCOPES[scope]
+    daily, monthly = (W.team_daily, W.team_monthly) if t == "t" else (W.member_daily, W.member_monthly)
+    kept = archive.pruned(daily, "day", W.clock.at // DAY - 730)
+    r = H.history_range(W.clock.at, "monthly", W.clock.first_cycle - DAY)
+    return H.history(W.team_delta, kept, monthly, keys, r)
+
+
+for _s, (_keys, _t) in _SCOPES.items():
+    query(f"history_{_s}_after_retention", "daily", f"""
+      select {''.join(f'{k}, ' for k in _keys)}cast(epoch(date_trunc('month', date '1970-01-01' + cast(day as integer))) as bigint) as bucket_ts,
+        cast(sum(points) as bigint) as points, cast(sum(wus) as bigint) as wus from {_t}daily group by all""")(
+        lambda W, s=_s: _retained(W, s))
+
 for _s in _SCOPES:
     for _g in ("hourly", "daily", "weekly", "monthly"):
         query(f"history_{_s}_{_g}", "hourly" if _g == "hourly" else "daily", _history_sql(_s, _g))(

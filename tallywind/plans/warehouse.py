@@ -84,17 +84,18 @@ class Warehouse:
     def clock(self) -> windows.Clock:
         return windows.read_clock(self.cycles)
 
-    def _by_time(self, delta: DataFrame, label: str) -> DataFrame:
-        # Ordered by time so that a window over the newest week skips the older row groups.
-        return self._keep(delta.repartitionByRange("ts").sortWithinPartitions("ts"), label)
+    def _by_time(self, delta: DataFrame, keys: list[str], label: str) -> DataFrame:
+        # Ordered by time so that a window over the newest week skips the older row groups. The
+        # keys let a cycle in which everybody moved spread over several files.
+        return self._keep(delta.repartitionByRange("ts", *keys).sortWithinPartitions("ts"), label)
 
     @cached_property
     def member_delta(self) -> DataFrame:
-        return self._by_time(diff.deltas(self.member_snapshot, MEMBER), "member-delta")
+        return self._by_time(diff.deltas(self.member_snapshot, MEMBER), MEMBER, "member-delta")
 
     @cached_property
     def team_delta(self) -> DataFrame:
-        return self._by_time(diff.deltas(self.team_snapshot, TEAM), "team-delta")
+        return self._by_time(diff.deltas(self.team_snapshot, TEAM), TEAM, "team-delta")
 
     @cached_property
     def member_daily(self) -> DataFrame:
@@ -104,6 +105,14 @@ class Warehouse:
     def team_daily(self) -> DataFrame:
         return self._keep(rollups.daily(self.team_delta, TEAM), "team-daily")
 
+    @cached_property
+    def member_monthly(self) -> DataFrame:
+        return self._keep(rollups.monthly(self.member_daily, MEMBER), "member-monthly")
+
+    @cached_property
+    def team_monthly(self) -> DataFrame:
+        return self._keep(rollups.monthly(self.team_daily, TEAM), "team-monthly")
+
     @cached_property
     def member_state(self) -> DataFrame:
         return self._keep(diff.latest_state(self.member_snapshot, MEMBER), "member-state")
@@ -151,7 +160,7 @@ class Warehouse:
         """Build every table a read needs; tables that do not need each other go together."""
         for step in (["feed_rows"], ["team_snapshot", "cycles", "member_delta", "member_state"],
                      ["clock"], ["team_delta", "team_state", "member_production", "member_daily"],
-                     ["members", "team_production", "team_daily"], ["teams", "donors"]):
+                     ["members", "team_production", "team_daily", "member_monthly"], ["teams", "donors", "team_monthly"]):
             together(*[lambda name=name: getattr(self, name) for name in step])
         return self
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywind.functions import scalars as S
+from tallywind.session import materialize
 from tallywind.schemas import DAY
 
 
@@ -83,6 +84,11 @@ def compaction_plan(delta: DataFrame, daily: DataFrame, raw_before: int, daily_b
     return raw.unionByName(day)
 
 
+def pruned(table: DataFrame, column: str, since: int) -> DataFrame:
+    """A new copy of a table that is not laid out by ``column``, from ``since`` on."""
+    return materialize(table.filter(F.col(column) >= F.lit(since)), f"pruned-{column}")
+
+
 def delete_partitions(spark: SparkSession, root: str, column: str, keep) -> int:
     """Drop whole ``column=value`` folders of a table for which ``keep(value)`` is false."""
     jvm = spark._jvm
