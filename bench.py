@@ -24,6 +24,7 @@ HEADLINE = [
     "rivals_donor", "movers_donor", "team_activity", "donor_streaks", "donor_detail", "history_project_hourly",
     "history_donor_weekly", "history_densified", "contributions", "group_totals", "search_donors", "changed_donors",
     "event_percentiles", "event_rate_60s", "cycle_audit", "reconcile_excess", "pair_snapshots",
+    "history_member_monthly", "stream_deltas", "stream_event_rate", "stream_daily", "stream_ingest", "parse_user_feed", "alerts_rank", "alerts_idle",
 ]
 
 

@@ -47,9 +47,10 @@ class Warehouse:
         return materialize(df, f"{self.world}-{label}")
 
     def _build(self, make, label: str) -> DataFrame:
-        """Keep what ``make()`` returns and drop the numbering tables it went through."""
+        """Keep what ``make()`` returns, laid out by rank so that a page, a neighbourhood or a
+        rank range reads few row groups, and drop the numbering tables it went through."""
         mark = scratch_mark()
-        out = self._keep(make(), label)
+        out = self._keep(make().repartitionByRange("rank").sortWithinPartitions("rank"), label)
         drop_scratch(self.spark, mark)
         return out
 

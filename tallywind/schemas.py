@@ -18,23 +18,6 @@ TEAM_SNAPSHOT = T.StructType([
     T.StructField("wus", T.LongType()),
 ])
 
-SNAPSHOT_META = T.StructType([
-    T.StructField("feed", T.StringType()),
-    T.StructField("snapshot_ts", T.LongType()),
-    T.StructField("fetched_ts", T.LongType()),
-    T.StructField("bytes", T.LongType()),
-    T.StructField("sha256", T.StringType()),
-])
-
-ALERT_RULE = T.StructType([
-    T.StructField("id", T.StringType()),
-    T.StructField("type", T.StringType()),
-    T.StructField("kind", T.StringType()),
-    T.StructField("target", T.StringType()),
-    T.StructField("threshold", T.LongType()),
-    T.StructField("created_ts", T.LongType()),
-])
-
 # Feed record limits.
 MAX_RECORD_LINES = 6
 MAX_USER_NAME_BYTES = 128

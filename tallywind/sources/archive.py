@@ -1,6 +1,6 @@
 """The snapshot archive: listing, identity, integrity, limits and retention.
 
-``meta`` is one row per archived snapshot (see ``schemas.SNAPSHOT_META``).
+``meta`` is one row per archived snapshot: feed, snapshot_ts, fetched_ts, bytes, sha256.
 """
 
 from __future__ import annotations
