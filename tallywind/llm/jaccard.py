@@ -7,11 +7,12 @@ time, and it is dropped as soon as the posterior probability that its similarity
 threshold (uniform prior, so a beta posterior) falls below the tolerance. Pairs that are left
 are verified on their shingle sets.
 
-No bucket is expanded into all its pairs at first: its members meet the bucket's smallest
-member, links are contracted to components, and only buckets that then hold more than one
-component go on, with the next members as leaders, eight times as many each round, against the
-members of other components. So every candidate pair is either compared or within one component
-already; a group of thousands of near copies costs a star.
+No bucket is expanded into all its pairs: its members meet the bucket's smallest member, and
+the links found are contracted to components, so a group of thousands of near copies costs a
+star. Buckets that then still hold several components are compared across components: small ones
+as rows, larger ones in blocks of members that are compared and verified inside a task, which
+hands on links alone. So every candidate pair is either compared or within one
+component already.
 
 Defined cases: words are separated by blanks, tabs and line breaks and compared as they are; a
 text of one to four words is one shingle; null and empty texts and rows with null doc_id take
@@ -28,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, ship_by_value, store, text_of
@@ -40,6 +41,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 #: Posterior probability below which a candidate is dropped.
 TOLERANCE = 1e-6
+#: Buckets of more members are compared in blocks.
+FEW, BLOCK_MEMBERS = 8, 1024
 _BLOCK = 32
 _CHUNK_BYTES = 2_000_000
 
@@ -126,10 +129,17 @@ class Minhash:
         return (least >> np.uint64(32)).astype(np.uint32)
 
 
+_BAND_SALT = _mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+_BAND_STEP = np.array([pow(0xA0761D6478BD642F, i + 1, 1 << 64) | 1 for i in range(ROWS)], np.uint64)
+
+
+def _band_keys(sign: np.ndarray) -> np.ndarray:
+    """A key for each band of a signature."""
+    return _mix((sign.reshape(BANDS, ROWS).astype(np.uint64) * _BAND_STEP).sum(axis=1, dtype=np.uint64) + _BAND_SALT).view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler, minhash = Shingler(), Minhash()
-    salt = _mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-    mult = np.array([pow(0xA0761D6478BD642F, i + 1, 1 << 64) | 1 for i in range(ROWS)], np.uint64)
     for batch in batches:
         keys, sizes, signs, bands = [], [], [], []
         for x in shingler.of_column(batch.column(1)):
@@ -137,7 +147,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(x))
             s = minhash(x)
             signs.append(s.tobytes())
-            bands.append(_mix((s.reshape(BANDS, ROWS).astype(np.uint64) * mult).sum(axis=1, dtype=np.uint64) + salt).view(np.int64))
+            bands.append(_band_keys(s))
         n = len(sizes)
         if n:
             flat = pa.array(np.concatenate(bands))
@@ -166,22 +176,64 @@ def _prune(threshold: float, tolerance: float):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            a, b = (np.frombuffer(b"".join(pdf[c]), np.uint32).reshape(len(pdf), -1) for c in ("sign_a", "sign_b"))
-            size_a, size_b = pdf["size_a"].to_numpy(), pdf["size_b"].to_numpy()
-            alive = np.flatnonzero(np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b) - 1e-9)
-            equal = np.zeros(len(alive), np.int64)
-            for i, least in enumerate(needed):
-                part = slice(i * _BLOCK, (i + 1) * _BLOCK)
-                equal += (a[alive, part] == b[alive, part]).sum(axis=1)
-                kept = equal >= least
-                alive, equal = alive[kept], equal[kept]
-            yield pdf.iloc[alive][["a", "b"]]
+            if len(pdf):
+                a, b = (_signs(pdf[c]) for c in ("sign_a", "sign_b"))
+                i = np.arange(len(pdf))
+                yield pdf.iloc[_alive(a, b, i, i, pdf["size_a"].to_numpy(), pdf["size_b"].to_numpy(), threshold, needed)[0]][["a", "b"]]
+
+    return run
+
+
+def _signs(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint32).reshape(len(column), -1)
+
+
+def _alive(a, b, i, j, size_a, size_b, threshold: float, needed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (row i of a, row j of b) those that no block of values rules out."""
+    fits = np.minimum(size_a[i], size_b[j]) >= threshold * np.maximum(size_a[i], size_b[j]) - 1e-9
+    i, j = i[fits], j[fits]
+    equal = np.zeros(len(i), np.int64)
+    for n, least in enumerate(needed):
+        part = slice(n * _BLOCK, (n + 1) * _BLOCK)
+        equal += (a[i, part] == b[j, part]).sum(axis=1)
+        kept = equal >= least
+        i, j, equal = i[kept], j[kept], equal[kept]
+    return i, j
+
+
+def _link_blocks(threshold: float, tolerance: float):
+    """Links across the components of a bucket, of two of its blocks: what the signatures leave
+    is verified here, in the first band its two members share, so that no pair leaves the task
+    but as a link."""
+    needed = least_matches(threshold, tolerance, BANDS * ROWS, _BLOCK)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (pdf[pdf["left"]], pdf[pdf["right"]])
+        a, b = _signs(left["sign"]), _signs(right["sign"])
+        (rep_a, size_a, comp_a), (rep_b, size_b, comp_b) = ((x["rep"].to_numpy(), x["size"].to_numpy(), x["component"].to_numpy()) for x in (left, right))
+        two_blocks = not pdf["left"].iloc[0] or not pdf["right"].iloc[0]
+        band = int(np.flatnonzero(_band_keys(_signs(pdf["sign"].iloc[:1])[0]) == pdf["bucket"].iloc[0])[0])
+        out = []
+        step = max(1, 100_000 // max(1, len(right)))
+        for at in range(0, len(left), step):
+            i, j = np.nonzero((comp_a[at:at + step, None] != comp_b[None, :]) & (two_blocks | (rep_a[at:at + step, None] < rep_b[None, :])))
+            i, j = _alive(a, b, i + at, j, size_a, size_b, threshold, needed)
+            first = (a[i] == b[j]).reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            i, j = i[first], j[first]
+            sets_a, sets_b = (_sets_of(x["text"], np.unique(k)) for x, k in ((left, i), (right, j)))
+            for x, y in zip(i.tolist(), j.tolist()):
+                like = _jaccard(sets_a[x], sets_b[y])
+                if like >= threshold - 1e-12:
+                    out.append((min(rep_a[x], rep_b[y]), max(rep_a[x], rep_b[y]), like))
+        return pd.DataFrame(out, columns=["a", "b", "jaccard"])
 
     return run
 
 
+def _sets_of(texts: pd.Series, rows: np.ndarray) -> dict[int, np.ndarray]:
+    return dict(zip(rows.tolist(), Shingler().of_column(pa.array(texts.iloc[rows], pa.string()))))
+
+
 def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     both = np.intersect1d(x, y, assume_unique=True).size
     return both / max(1, len(x) + len(y) - both)
@@ -201,7 +253,11 @@ def _verify(threshold: float):
 
 
 class _Join:
-    """State of one join: signatures, texts, links found and pairs compared so far."""
+    """State of one join: the signatures and texts of the representatives that share a bucket.
+
+    What is laid down once is joined by a shuffle at every size: the ids asked for grow with the
+    documents, so a plan that broadcasts them while they are few would not last.
+    """
 
     def __init__(self, docs: DataFrame, threshold: float, tolerance: float) -> None:
         ship_by_value(__name__)
@@ -213,27 +269,46 @@ class _Join:
         reps = reps.select("key", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash"))
         self.member = store(one.join(reps, "key").select("doc_id", "rep", "rep_hash"), "near-members")
         self.reps = self.member.filter("doc_id = rep").select("rep", "rep_hash")
-        signs = self.signed.join(self.reps, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash")))
-        self.signs = store(signs.select("rep", "rep_hash", "size", "sign", "bands").dropDuplicates(["rep"]), "near-signs")
 
-    def buckets(self) -> DataFrame:
-        """(bucket, rep, lead) of the buckets with several representatives."""
-        placed = self.signs.select("rep", F.explode("bands").alias("bucket"))
-        shared = placed.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("last > lead").drop("last")
-        return placed.join(shared, "bucket")
+    def _of_reps(self, reps: DataFrame, *columns: str) -> DataFrame:
+        same = (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
+        return self.signed.select("doc_id", "text_hash", *columns).join(reps.hint("merge"), same).select("rep", *columns)
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Of candidate ``pairs`` (a, b), those similar enough, with their similarity."""
+    def buckets(self) -> DataFrame:
+        """(bucket, rep, lead, n) of the buckets with several representatives. Signatures and
+        texts of those are laid down for the comparisons."""
+        placed = self._of_reps(self.reps, "bands").select("rep", F.explode("bands").alias("bucket"))
+        shared = placed.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n"))
+        members = store(placed.join(store(shared.filter("last > lead").drop("last"), "near-shared"), "bucket"), "near-buckets")
+        reps = store(members.select("rep").distinct().join(self.reps, "rep"), "near-involved")
+        self.signs = store(self._of_reps(reps, "size", "sign").dropDuplicates(["rep"]), "near-signs")
+        texts = self.docs.select("doc_id", "text").join(reps.hint("merge"), F.col("doc_id") == F.col("rep")).filter(F.xxhash64("text") == F.col("rep_hash"))
+        self.texts = store(texts.select("rep", "text").dropDuplicates(["rep"]), "near-texts")
+        return members
+
+    def survivors(self, pairs: DataFrame) -> DataFrame:
+        """Of candidate ``pairs`` (a, b) those that their signatures do not rule out."""
         side = lambda c: self.signs.select(F.col("rep").alias(c), F.col("sign").alias(f"sign_{c}"), F.col("size").alias(f"size_{c}"))
-        kept = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sign_a", "sign_b", "size_a", "size_b")
-        kept = store(kept.mapInPandas(_prune(self.threshold, self.tolerance), "a long, b long"), "near-kept")
-        need = store(kept.select(F.col("a").alias("rep")).unionByName(kept.select(F.col("b").alias("rep"))).distinct().join(self.reps, "rep"), "near-need")
-        texts = (self.docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("rep"))
-                 .filter(F.xxhash64("text") == F.col("rep_hash")).select("rep", "text").dropDuplicates(["rep"]))
-        texts = store(texts, "near-texts")
-        side = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sign_a", "sign_b", "size_a", "size_b")
+        return both.mapInPandas(_prune(self.threshold, self.tolerance), "a long, b long")
+
+    def block_links(self, members: DataFrame) -> DataFrame:
+        """Links across components of the buckets in ``members`` (bucket, rep, component, n): a
+        bucket is cut into blocks, and every two blocks meet in a task."""
+        cut = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+        meets = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+        rows = (members.withColumn("cut", cut).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("cut")))
+                .withColumn("meet", F.explode(meets))
+                .withColumn("left", F.col("block") == F.col("meet.i")).withColumn("right", F.col("block") == F.col("meet.j"))
+                .join(self.signs, "rep").join(self.texts, "rep"))
+        return (rows.select("bucket", "meet", "rep", "component", "left", "right", "size", "sign", "text").groupBy("bucket", "meet")
+                .applyInPandas(_link_blocks(self.threshold, self.tolerance), "a long, b long, jaccard double"))
+
+    def verified(self, kept: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those similar enough, with their similarity."""
+        side = lambda c: self.texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
         both = kept.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-        return store(both.mapInArrow(_verify(self.threshold), "a long, b long, jaccard double"), "near-links")
+        return both.mapInArrow(_verify(self.threshold), "a long, b long, jaccard double")
 
 
 def near_copies(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -241,38 +316,23 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     with it through similar texts), copy_of (smallest doc_id with the same shingles) and n_links
     (other texts found at least ``threshold`` alike; within a class not all pairs are compared)."""
     join = _Join(docs, threshold, tolerance)
-    members = store(join.buckets(), "near-buckets")
-    pairs = members.filter("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = tested = store(pairs, "near-pairs")
-    links = join.links(pairs)
+    members = join.buckets()
+    pairs = store(members.filter("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
+    links = store(join.verified(store(join.survivors(pairs), "near-kept")), "near-links")
     of = store(components(links), "near-components")
-    first, leaders = 2, 8
-    ranked = None
-    while True:
-        known = (members if ranked is None else ranked).join(of.withColumnRenamed("id", "rep"), "rep", "left")
-        known = known.withColumn("component", F.coalesce("component", "rep"))
-        mixed = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        known = known.join(mixed, "bucket", "left_semi")
-        if ranked is None:
-            in_order = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-            known = known.withColumn("rank", in_order)
-        ranked = store(known.drop("component").join(of.withColumnRenamed("id", "rep"), "rep", "left")
-                       .withColumn("component", F.coalesce("component", "rep")), "near-open")
-        deepest = ranked.agg(F.max("rank").alias("n")).first()["n"] or 0
-        if deepest < first:
-            break
-        lead = ranked.filter(F.col("rank").between(first, first + leaders - 1)).select(
-            "bucket", F.col("rep").alias("a"), F.col("rank").alias("at"), F.col("component").alias("from"))
-        more = (ranked.join(lead, "bucket").filter("rank > at AND component <> from").select("a", F.col("rep").alias("b")).distinct()
-                .join(tested, ["a", "b"], "left_anti"))
-        more = store(more, "near-pairs")
-        found = join.links(more)
-        tested = tested.unionByName(more)
-        links = links.unionByName(found)
-        if not found.isEmpty():
-            of = store(components(links), "near-components")
-        ranked = ranked.drop("component")
-        first, leaders = first + leaders, leaders * 8
+
+    known = members.join(of.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = known.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("bucket")
+    known = store(known.join(mixed, "bucket").filter("n > 2"), "near-open")  # the star compared two already
+    left = known.filter(F.col("n") <= FEW)
+    right = left.select("bucket", F.col("rep").alias("b"), F.col("component").alias("other"))
+    more = (left.withColumnRenamed("rep", "a").join(right, "bucket").filter("a < b AND a > lead AND component <> other")
+            .select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    kept = store(join.survivors(store(more, "near-more")), "near-kept")
+    more = store(join.verified(kept).unionByName(join.block_links(known.filter(F.col("n") > FEW))), "near-links")
+    if not more.isEmpty():
+        links = links.unionByName(more).dropDuplicates(["a", "b"])
+        of = store(components(links), "near-components")
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     per_rep = join.reps.select("rep").join(of.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
     return (join.member.select("doc_id", "rep").join(per_rep, "rep", "left")
