@@ -12,7 +12,11 @@ the links found are contracted to components, so a group of thousands of near co
 star. Buckets that then still hold several components are compared across components: small ones
 as rows, larger ones in blocks of members that are compared and verified inside a task, which
 hands on links alone. So every candidate pair is either compared or within one
-component already.
+component already, which settles the classes.
+
+Links are counted when the classes stand: the representatives of a class are cut into blocks,
+and every two blocks meet in a task, which compares all their shingle sets and hands on a number
+per representative. No pair leaves the task.
 
 Defined cases: words are separated by blanks, tabs and line breaks and compared as they are; a
 text of one to four words is one shingle; null and empty texts and rows with null doc_id take
@@ -43,6 +47,9 @@ BANDS, ROWS = 32, 6
 TOLERANCE = 1e-6
 #: Buckets of more members are compared in blocks.
 FEW, BLOCK_MEMBERS = 8, 1024
+#: To count links, a class is cut into at most MEETING blocks of COUNT_MEMBERS representatives, then
+#: into blocks of BLOCK_MEMBERS; and so that a block has about COUNT_SHINGLES shingles.
+COUNT_MEMBERS, MEETING, COUNT_SHINGLES = 128, 12, 1_000_000
 _BLOCK = 32
 _CHUNK_BYTES = 2_000_000
 
@@ -230,6 +237,43 @@ def _link_blocks(threshold: float, tolerance: float):
     return run
 
 
+def _count_blocks(threshold: float):
+    """For each representative of two blocks of a class, the texts of the other block (of its
+    own, if the two are one) that are similar enough."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (pdf[pdf["left"]], pdf[pdf["right"]])
+        if not len(left) or not len(right):
+            return pd.DataFrame({"rep": [], "n_links": []}).astype("int64")
+        one_block = bool(pdf["left"].iloc[0] and pdf["right"].iloc[0])
+        sets_a, sets_b = ([x for x in Shingler().of_column(pa.array(p["text"], pa.string()))] for p in (left, right))
+        order = np.argsort([len(x) for x in sets_b], kind="stable")
+        sets_b = [sets_b[j] for j in order]
+        sizes = np.array([len(x) for x in sets_b])
+        names, flat = np.unique(np.concatenate(sets_b), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        mark = np.zeros(len(names), np.int32)
+        n_a, n_b = np.zeros(len(sets_a), np.int64), np.zeros(len(sets_b), np.int64)
+        for i, x in enumerate(sets_a):
+            lo = int(np.searchsorted(sizes, threshold * len(x) - 1e-9, "left"))
+            hi = int(np.searchsorted(sizes, len(x) / threshold + 1e-9, "right"))
+            if lo == hi:
+                continue
+            at = np.searchsorted(names, x)
+            at = at[names[np.minimum(at, len(names) - 1)] == x]
+            mark[at] = 1
+            both = np.add.reduceat(mark[flat[starts[lo]:starts[hi - 1] + sizes[hi - 1]]], starts[lo:hi] - starts[lo])
+            mark[at] = 0
+            alike = both / (len(x) + sizes[lo:hi] - both) >= threshold - 1e-12
+            n_a[i] = alike.sum() - one_block  # itself is among its own block
+            n_b[lo:hi] += alike
+        if one_block:
+            return pd.DataFrame({"rep": left["rep"].to_numpy(), "n_links": n_a})
+        return pd.DataFrame({"rep": np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()[order]]), "n_links": np.concatenate([n_a, n_b])})
+
+    return run
+
+
 def _sets_of(texts: pd.Series, rows: np.ndarray) -> dict[int, np.ndarray]:
     return dict(zip(rows.tolist(), Shingler().of_column(pa.array(texts.iloc[rows], pa.string()))))
 
@@ -304,6 +348,21 @@ class _Join:
         return (rows.select("bucket", "meet", "rep", "component", "left", "right", "size", "sign", "text").groupBy("bucket", "meet")
                 .applyInPandas(_link_blocks(self.threshold, self.tolerance), "a long, b long, jaccard double"))
 
+    def n_links(self, of: DataFrame) -> DataFrame:
+        """(rep, n_links) of the classes ``of`` (rep, component), counted block against block."""
+        members = store(of.join(self.signs.select("rep", "size"), "rep"), "near-classes")
+        spans = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+        cut = F.greatest(F.least(F.ceil(F.col("n") / COUNT_MEMBERS), F.lit(MEETING)), F.ceil(F.col("n") / BLOCK_MEMBERS),
+                         F.ceil(F.col("shingles") / COUNT_SHINGLES)).cast("int")
+        meets = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+        rows = (members.join(spans, "component").withColumn("cut", cut).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int"))
+                .withColumn("meet", F.explode(meets))
+                .withColumn("left", F.col("block") == F.col("meet.i")).withColumn("right", F.col("block") == F.col("meet.j"))
+                .join(self.texts, "rep"))
+        counted = (rows.select("component", "meet", "rep", "left", "right", "text").groupBy("component", "meet")
+                   .applyInPandas(_count_blocks(self.threshold), "rep long, n_links long"))
+        return counted.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+
     def verified(self, kept: DataFrame) -> DataFrame:
         """Of pairs (a, b) those similar enough, with their similarity."""
         side = lambda c: self.texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
@@ -311,11 +370,8 @@ class _Join:
         return both.mapInArrow(_verify(self.threshold), "a long, b long, jaccard double")
 
 
-def near_copies(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """A row per doc_id with a word: doc_id, class_id (smallest doc_id of the documents linked
-    with it through similar texts), copy_of (smallest doc_id with the same shingles) and n_links
-    (other texts found at least ``threshold`` alike; within a class not all pairs are compared)."""
-    join = _Join(docs, threshold, tolerance)
+def _classes(join: _Join) -> DataFrame:
+    """(id, component) of the representatives linked with another one."""
     members = join.buckets()
     pairs = store(members.filter("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
     links = store(join.verified(store(join.survivors(pairs), "near-kept")), "near-links")
@@ -333,8 +389,16 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     if not more.isEmpty():
         links = links.unionByName(more).dropDuplicates(["a", "b"])
         of = store(components(links), "near-components")
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    per_rep = join.reps.select("rep").join(of.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
+    return of
+
+
+def near_copies(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """A row per doc_id with a word: doc_id, class_id (smallest doc_id of the documents linked
+    with it through similar texts), copy_of (smallest doc_id with the same shingles) and n_links
+    (other texts of its class at least ``threshold`` alike, all pairs of the class compared)."""
+    join = _Join(docs, threshold, tolerance)
+    of = _classes(join).withColumnRenamed("id", "rep")
+    per_rep = join.reps.select("rep").join(of, "rep", "left").join(join.n_links(of), "rep", "left")
     return (join.member.select("doc_id", "rep").join(per_rep, "rep", "left")
             .select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("copy_of"),
                     F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
@@ -343,5 +407,8 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """One document of each class stays, that with the smallest doc_id; documents that take no
     part in the join stay as they are."""
-    gone = store(near_copies(docs, threshold, tolerance).filter("class_id <> doc_id").select("doc_id"), "near-gone")
+    join = _Join(docs, threshold, tolerance)
+    of = _classes(join).withColumnRenamed("id", "rep")
+    gone = join.member.join(of, "rep", "left").filter(F.coalesce("component", "rep") != F.col("doc_id")).select("doc_id")
+    gone = store(gone, "near-gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -285,6 +285,21 @@ def test_jaccard_classes_match_brute_force(spark, corpus, monkeypatch):
     assert jaccard.near_copies(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("members", [128, 7])
+def test_jaccard_counts_all_links_of_a_class(spark, monkeypatch, members):
+    monkeypatch.setattr(jaccard, "COUNT_MEMBERS", members)  # one block a class, or many
+    line = text_of(random.Random(21), 120).split()
+    rows = [doc(i, " ".join(line[:60] + [f"new{i}"] + line[61:])) for i in range(70)]  # all alike, each its own text
+    rows += [doc(100 + i, " ".join(line[7 * i:] + [f"t{i}x{j}" for j in range(7 * i)])) for i in range(12)]  # a chain: near ones alike
+    rows += [doc(200, rows[0][1]), doc(201, text_of(random.Random(22), 90)), doc(202, "one")]
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    texts = set(sets.values())
+    alike = lambda x, y: x != y and len(x & y) >= 0.8 * len(x | y)
+    want = {i: sum(alike(x, y) for y in texts) for i, x in sets.items()}
+    assert max(want.values()) > 60 and want[201] == 0
+    assert {r["doc_id"]: r["n_links"] for r in jaccard.near_copies(frame(spark, rows)).collect()} == want
+
+
 def test_least_matches_is_the_posterior():
     needed = jaccard.least_matches(0.8, 1e-6, 192, 32)
     assert needed == sorted(needed) and needed[-1] < 0.8 * 192
