@@ -2,7 +2,8 @@
 
 Numbers and dates that pass their check are permuted under a key within their format: card
 numbers stay Luhn-valid with their issuer digits, IBANs keep country and valid check digits,
-phone numbers stay dialable, addresses stay addresses, dates stay dates in the same notation.
+phone numbers stay dialable (those that are not so permute among themselves), addresses stay
+addresses, dates stay dates in the same notation.
 The permutation is a bijection per format, so equal values stay equal and different ones
 different, in every document. A Feistel round adds a keyed hash of one half to the other; the
 halves live in rings whose sizes multiply to the size of the format, so no value falls outside.
@@ -36,11 +37,13 @@ _NAMED = r"(?i:passw(?:or)?d|pwd|secret|api[_\-]?key|token)[\"']?[ ]{0,2}[=:][ ]
 SECRET = (r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_\-]{20,}|xox[abp]-[A-Za-z0-9\-]{10,})"
           "|" + _NAMED + r"[A-Za-z0-9+/_\-]{8,}")
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-DATE = r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9]|[./\-][0-9])"
+_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}"
+DATE = rf"(?<![0-9./\-])(?:{_DATE})(?![0-9]|[./\-][0-9])"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
-PHONE = r"(?<![0-9])(?:\+1[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}(?![0-9])"
+_PHONE = r"(?:\+1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}"
+PHONE = rf"(?<![0-9]){_PHONE}(?![0-9])"
 ABROAD = r"(?<![0-9+])\+(?!1[ .\-(])[0-9](?:[ .\-]?[0-9]){7,14}(?![0-9])"
 FIND = "|".join((EMAIL, SECRET, IBAN, DATE, ADDRESS, SSN, PHONE, ABROAD, CARD))
 #: A text without any of these holds no find.
@@ -139,25 +142,30 @@ def _date(find: Column, key: str) -> Column:
     two = lambda c: F.lpad(c, 2, "0")
     day_first = F.try_to_date(F.concat_ws("-", parts[2], two(parts[1]), two(parts[0])), "yyyy-MM-dd")
     month_first = F.try_to_date(F.concat_ws("-", parts[2], two(parts[0]), two(parts[1])), "yyyy-MM-dd")
-    iso = F.try_to_date(find, "yyyy-MM-dd")
-    put = lambda d, order: F.concat_ws(mark, *[F.date_format(_moved_day(d, key), f) for f in order])
+    iso = F.try_to_date(F.when(mark == "", find).when(F.length(parts[0]) == 4, F.concat_ws("-", parts[0], two(parts[1]), two(parts[2]))), "yyyy-MM-dd")
     slash = F.when(day_first.isNotNull(), F.concat(F.date_format(_moved_day(day_first, key), "dd"), mark, F.date_format(_moved_day(day_first, key), "MM"), mark, F.date_format(_moved_day(day_first, key), "yyyy"))) \
         .when(month_first.isNotNull(), F.concat(F.date_format(_moved_day(month_first, key), "MM"), mark, F.date_format(_moved_day(month_first, key), "dd"), mark, F.date_format(_moved_day(month_first, key), "yyyy")))
-    return F.coalesce(F.when(mark == "", F.date_format(_moved_day(iso, key), "yyyy-MM-dd")).otherwise(slash), find)
+    return F.coalesce(F.when((mark == "") | (F.length(parts[0]) == 4), F.replace(F.date_format(_moved_day(iso, key), "yyyy-MM-dd"), F.lit("-"), F.when(mark == "", "-").otherwise(mark))).otherwise(slash), find)
 
 
 def _dialable(find: Column, key: str) -> Column:
-    """A North American number: area and exchange start with 2 to 9, so 800 * 800 * 10000."""
+    """A North American number: area and exchange start with 2 to 9, so 800 * 800 * 10000. Those
+    of the same form that do not have two rings of their own: by area codes below 200, and by
+    exchanges below 200 after other area codes."""
     country = F.regexp_extract(find, r"^\+1[ .\-]?", 0)
     local = F.substring(find, F.length(country) + 1, F.length(find))
     d = F.regexp_replace(local, "[^0-9]", "")
     area, office, line = (F.substring(d, a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
-    value = ((area - 200) * 800 + office - 200) * 10000 + line
-    p = permute(F.floor(value / 80000), value % 80000, 80000, 80000, key, "phone")
-    moved = p["a"] * 80000 + p["b"]
-    digits = F.concat((F.floor(moved / 8000000) + 200).cast("string"), (F.floor(moved / 10000) % 800 + 200).cast("string"),
-                      _padded(moved % 10000, F.lit(4)))
-    return F.concat(country, refill(local, digits))
+
+    def within(least_area: int, least_office: int, offices: int, left: int, right: int) -> Column:
+        value = ((area - least_area) * offices + office - least_office) * 10000 + line
+        p = permute(F.floor(value / right), value % right, left, right, key, "phone")
+        moved = p["a"] * right + p["b"]
+        return refill(local, F.concat(_padded(F.floor(moved / (offices * 10000)) + least_area, F.lit(3)),
+                                      _padded(F.floor(moved / 10000) % offices + least_office, F.lit(3)), _padded(moved % 10000, F.lit(4))))
+
+    return F.concat(country, F.when(area < 200, within(0, 0, 1000, 40_000, 50_000)).when(office < 200, within(200, 0, 200, 40_000, 40_000))
+                    .otherwise(within(200, 200, 800, 80_000, 80_000)))
 
 
 def _address(find: Column, key: str) -> Column:
@@ -194,10 +202,10 @@ def pseudonym(find: Column, key: str = KEY) -> Column:
     secret_name = F.regexp_extract(find, f"^(?:{_NAMED}|AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-)", 0)
     return (F.when(find.contains("@"), F.concat(_alike(F.substring_index(find, "@", 1), key, "mail"), F.lit("@"),
                                                 _alike(F.substring_index(find, "@", -1), key, "host")))
-            .when(is_a(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}"), _date(find, key))
+            .when(is_a(_DATE), _date(find, key))
             .when(is_a(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"), _address(find, key))
             .when(is_a(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), refill(find, permute_digits(digits, key, "ssn")))
-            .when(is_a(r"(?:\+1[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}"), _dialable(find, key))
+            .when(is_a(_PHONE), _dialable(find, key))
             .when(is_a(r"\+[0-9](?:[ .\-]?[0-9]){7,14}"), F.concat(F.substring(find, 1, 3), refill(
                 F.substring(find, F.lit(4), F.length(find)), permute_digits(F.regexp_replace(F.substring(find, F.lit(4), F.length(find)), "[^0-9]", ""), key, "abroad"))))
             .when(is_a(r"[0-9](?:[ \-]?[0-9]){12,18}"), _card(find, key))

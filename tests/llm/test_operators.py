@@ -351,6 +351,20 @@ def test_pii_leaves_the_rest_alone(spark):
     assert rewritten(spark, long, f"{long}4111111111111111")[0] == long
 
 
+def test_pii_rewrites_phones_with_any_digits_and_dates_with_slashes(spark):
+    phones = ["+1 (017) 555-7713", "+1 (132) 555-1352", "(212) 055-0143", "017-555-7713", "+1 (017) 555-7714"]
+    out = rewritten(spark, *[f"call {p} now" for p in phones], f"again {phones[0]}")
+    found = [re.search(r"(?:\+1 )?(?:\(\d{3}\) |\d{3}-)\d{3}-\d{4}", o)[0] for o in out]
+    assert all(f != p and len(f) == len(p) for f, p in zip(found, phones)) and found[5] == found[0]
+    assert re.sub(r"\D", "", found[0])[1:] == re.sub(r"\D", "", found[3]) and len(set(found)) == 5
+    assert not any(re.search(r"\(?[2-9]\d\d\)?[ -]+[2-9]\d\d-", f.removeprefix("+1 ")) for f in found)
+    n = spark.range(600).select(F.lpad((F.col("id") * 9_999_973 % 2_000_000_000).cast("string"), 10, "0").alias("d"))
+    n = n.select(F.regexp_replace("d", "(...)(...)(....)", "($1) $2-$3").alias("p"))
+    assert len({r["q"] for r in n.select(pseudonyms.pseudonym(F.col("p")).alias("q")).collect()}) == 600
+    moved = rewritten(spark, "on 2024/03/05.", "2024-03-05", "2024/13/45")
+    assert moved[0] == f"on {moved[1].replace('-', '/')}." != "on 2024/03/05." and moved[2] == "2024/13/45"
+
+
 def test_pii_permutations_are_bijections(spark):
     days = spark.range(0, 3000).select(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
     days = days.select(F.date_format("d", "dd/MM/yyyy").alias("s"))
