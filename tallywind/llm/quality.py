@@ -12,8 +12,8 @@ Only sums per path are shuffled, combined on the map side, so a host with a thir
 documents is one row per task; site tables are joined back by Spark's size-checked broadcast or
 a skew-split join.
 
-Defined cases: null text is empty; an empty text shows no evidence and is judged by its site
-alone; null hosts and paths are sites of their own; repeated rows count as often as they
+Defined cases: null text is empty; an empty text shows no evidence, is judged by its site
+alone and takes no part in the rates; null hosts and paths are sites of their own; repeated rows count as often as they
 appear; labels that are null or of unknown documents are passed over; without both labels the
 evidence is 0; an empty table gives an empty result.
 """
@@ -80,8 +80,8 @@ def model(found: DataFrame, labels: DataFrame, label: str = "quality", sample: i
 def site_rates(scored: DataFrame) -> tuple[DataFrame, DataFrame, float, float, float]:
     """Sums per path and host of ``scored`` (host, path, p), the global rate, and the
     pseudo-documents of hosts (towards the global rate) and paths (towards their host's)."""
-    paths = store(scored.groupBy("host", "path").agg(F.count("p").alias("n"), F.sum("p").alias("s"),
-                                                     F.sum(F.col("p") * (1 - F.col("p"))).alias("v")), "quality-paths")
+    paths = store(scored.groupBy("host", "path").agg(F.count("p").alias("n"), F.coalesce(F.sum("p"), F.lit(0.0)).alias("s"),
+                                                     F.coalesce(F.sum(F.col("p") * (1 - F.col("p"))), F.lit(0.0)).alias("v")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"), F.sum("v").alias("host_v"))
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_s").alias("s")).first()
     rate = float(total["s"] / total["n"]) if total["n"] else 0.5
@@ -116,13 +116,15 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thr
     base = found.agg(prior.alias("p")).first()["p"]
     base = min(max(base if base is not None else 0.5, 1e-4), 1 - 1e-4)
     none = float(np.log(base / (1 - base)))
-    scored = found.select("doc_id", "host", "path", F.coalesce(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds)), F.lit(none)).alias("evidence"))
-    scored = scored.withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
+    scored = found.select("doc_id", "host", "path", "f",
+                          F.when(F.col("f").isNotNull(), F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))).otherwise(F.lit(none)).alias("evidence"))
+    scored = scored.withColumn("p", F.when(F.col("f").isNotNull(), 1 / (1 + F.exp(-F.col("evidence"))))).drop("f")
+    own, one = F.coalesce("p", F.lit(0.0)), F.col("p").isNotNull().cast("int")
     paths, hosts, rate, k_host, k_path = site_rates(scored)
     sites = store(paths.join(hosts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
                   .select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "n", "s", "host_n", "host_s"), "quality-sites")
-    host_rate = (F.col("host_s") - F.col("p") + k_host * rate) / (F.col("host_n") - 1 + k_host)
-    path_rate = (F.col("s") - F.col("p") + k_path * F.col("host_rate")) / (F.col("n") - 1 + k_path)
+    host_rate = (F.col("host_s") - own + k_host * rate) / (F.col("host_n") - one + k_host)
+    path_rate = (F.col("s") - own + k_path * F.col("host_rate")) / (F.col("n") - one + k_path)
     logit = lambda r: F.log(r / (1 - r))
     kept = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_rate")))
     return (scored.join(sites, F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")))

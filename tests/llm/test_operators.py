@@ -136,6 +136,19 @@ def test_quality_separates_and_handles_odd_rows(spark):
     assert quality.classify(frame(spark, []), lab, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_quality_empty_texts_show_no_evidence(spark):
+    rows, labels = quality_tables(spark)
+    rows += [doc(1000 + i, rows[5 * (i % 60)][1] + f" end{i}", "bad") for i in range(60)]
+    empty = [doc(2000 + i, ("", None)[i % 2], "bad") for i in range(60)]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    of = lambda docs: {r["doc_id"]: r for r in quality.classify(frame(spark, docs), lab, F.col("source"), F.col("lang")).collect()}
+    without, out = of(rows), of(rows + empty)
+    p = [1 / (1 + np.exp(-r["evidence"])) for i, r in out.items() if i < 2000]
+    assert all(out[r[0]]["evidence"] == pytest.approx(np.log(np.mean(p) / (1 - np.mean(p)))) for r in empty)
+    assert all(out[i]["path_rate"] == pytest.approx(without[i]["path_rate"]) and out[i]["path_rate"] < 0.2 for i in range(1000, 1060))
+    assert not any(out[r[0]]["keep"] for r in empty)
+
+
 def test_sparse_sites_shrink_towards_the_global_rate(spark):
     scored = spark.createDataFrame([("big", "a", 0.9)] * 400 + [("low", "b", 0.2)] * 400 + [("tiny", "c", 0.1)], "host string, path string, p double")
     _, hosts, rate, k_host, _ = quality.site_rates(scored)
