@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard, mixing, pseudonyms, quality, repeats, toxicity, warc
+from . import ann, chat, decontaminate, jaccard, merkle, mixing, pseudonyms, quality, repeats, toxicity, warc
 from .common import prepare, table
 
 
@@ -63,6 +63,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_quality": op2_quality,
@@ -74,10 +79,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
     "op3_mix": mixing.SQL,
     "op4_chat": chat.SQL,
     "op8_warc": warc.SQL,
+    "op13_merkle": merkle.SQL,
 }
