@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard, merkle, mixing, periods, pseudonyms, quality, repeats, toxicity, warc
+from . import ann, chat, decontaminate, jaccard, merkle, mixing, periods, pseudonyms, quality, repeats, templates, toxicity, warc
 from .common import prepare, table
 
 
@@ -63,6 +63,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return periods.digests(periods.collapse(table(spark, sf_dir, "documents"), edit=periods.plant))
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op11_templates": op11_templates,
     "op12_periods": op12_periods,
     "op13_merkle": op13_merkle,
 }
@@ -92,5 +98,6 @@ ORACLES: dict[str, str] = {
     "op3_mix": mixing.SQL,
     "op4_chat": chat.SQL,
     "op8_warc": warc.SQL,
+    "op11_templates": templates.SQL,
     "op13_merkle": merkle.SQL,
 }
