@@ -12,7 +12,8 @@ is what it says together with the elements it stands in. In three passes over th
    that interleave the one with fewer roles goes. What is left is the host's template;
 3. a page is read against its host's template: template tokens are consumed, and what stands in
    the slots between them is text if the elements around a slot are no menu, header, footer,
-   sidebar, notice, advert, form or comments. If the page marks its article (article, main, or a role
+   sidebar, notice, advert, form or comments; a block is dropped as constant if all of its texts
+   are template. If the page marks its article (article, main, or a role
    that says so), only slots in there count; else blocks that are mostly links go, too. On a
    page all of whose text is template (copies of one page) slots alone decide.
 
@@ -353,19 +354,20 @@ def main_text(page: str, template: dict[int, tuple[int, int, int]], known: dict[
     texts = [t for t in found if t.text is not None]
     marked = any(t.main and not t.aside for t in texts)
 
-    def blocks(skip: set[int]) -> list[str]:
-        by: dict[int, list[Token]] = {}
-        for t in texts:
-            if t.role and (t.aside or id(t) in skip or (marked and not t.main)):
-                continue
+    by: dict[int, list[Token]] = {}
+    for t in texts:
+        if not t.role or not (t.aside or (marked and not t.main)):
             by.setdefault(t.block, []).append(t)
+
+    def blocks(skip: set[int]) -> list[str]:
         out = []
         for b in sorted(by):
+            said = [t for t in by[b] if t.role]
+            if not said or all(id(t) in skip for t in said):
+                continue
+            if not marked and 2 * sum(len(t.text.strip()) for t in said if t.link) > sum(len(t.text.strip()) for t in said):
+                continue
             words = _BLANKS.sub(" ", html_lib.unescape("".join(t.text for t in by[b]))).strip()
-            if words and not marked:
-                linked = sum(len(t.text.strip()) for t in by[b] if t.role and t.link)
-                if 2 * linked > sum(len(t.text.strip()) for t in by[b] if t.role):
-                    continue
             if words:
                 out.append(words)
         return out
