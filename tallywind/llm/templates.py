@@ -53,7 +53,7 @@ MIN_ROLES = 3
 #: Weight of a page, shared out among its copies.
 WHOLE = 1 << 20
 #: Rows a task holds before it hands on what it has summed.
-HELD = 200_000
+HELD = 50_000
 
 # Elements of HTML and how browsers treat them.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -212,11 +212,14 @@ def tokens(page: str, seen: dict | None = None) -> list[Token]:
 
 
 def _id(role: str, known: dict[str, int]) -> int:
+    """A role's number; those of short roles, tags above all, are kept in ``known``."""
     got = known.get(role)
     if got is None:
-        if len(known) > HELD:
-            known.clear()
-        got = known[role] = int.from_bytes(blake2b(role.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+        got = int.from_bytes(blake2b(role.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+        if len(role) < 80:
+            if len(known) > 20_000:
+                known.clear()
+            known[role] = got
     return got
 
 
@@ -275,7 +278,7 @@ class _Templates:
             return {}
         got = self.known.get(classes)
         if got is None:
-            if len(self.known) > 1000:
+            if len(self.known) > 100:
                 self.known.clear()
             got = self.known[classes] = _read(classes)
         return got
