@@ -10,9 +10,9 @@ Parts are stored in blocks of bounded size, queries of a part likewise, and bloc
 a join on the part: a part that holds a third of all rows is many blocks, never one task.
 
 Defined cases: vectors that are null, zero, of a length other than the most frequent one, or
-that hold null or non-finite components take no part; rows sharing a vec_id are one candidate,
-at its nearest vector; equal distances go to the smaller vec_id; up to SMALL rows there is one
-part, so the search is exact; an empty table gives an empty result.
+that hold null or non-finite components take no part; equal rows count once; rows sharing a vec_id are one candidate,
+at its nearest vector; equal distances go to the smaller vec_id; fewer than LEAST different vectors cannot be
+parted and are one part; extra columns take no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from .common import ship_by_value, store
 #: Vectors the parts and the network are learned from, at most: those with the smallest hashes.
 SAMPLE = 8192
 NEIGHBOURS = 12
-SMALL = 2000
+#: Different vectors of the sample a part needs, and the two smallest parts together.
+PER_PART, LEAST = 16, 32
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 RESULT = "query_id long, vec_id long, score double"
 
@@ -39,6 +40,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     v = (vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
          .select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
          .filter(~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0)))
+    v = v.distinct()
     length = v.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return v.filter(F.size("vec") == (length["n"] if length else 0))
 
@@ -134,9 +136,14 @@ class Router:
 
 
 def learn(sample: np.ndarray, parts: int) -> Router | None:
-    """The router for ``parts`` parts, from different vectors; None for one part."""
+    """The router for ``parts`` parts, from different vectors, or for the most parts these can
+    be cut into; None for one part."""
+    if not len(sample) or parts < 2:
+        return None
     sample = np.unique(sample, axis=0)
-    if parts < 2 or len(sample) < 4 * parts:
+    while parts > 1 and len(sample) < PER_PART * parts:
+        parts //= 2
+    if parts < 2:
         return None
     graph = neighbour_graph(sample)
     part = balanced_parts(graph, parts)
@@ -172,7 +179,7 @@ def _route(router: Router | None, reach: float, counts: np.ndarray | None, k: in
 
 def _blocks(rows: DataFrame, counts: DataFrame, size: int, name: str) -> DataFrame:
     """Rows of a part (part, vec_id, vec) gathered in blocks of about ``size``."""
-    dealt = rows.join(counts, "part").withColumn("nr", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / size)))
+    dealt = rows.join(counts, "part").withColumn("nr", F.pmod(F.xxhash64("vec_id", "vec"), F.ceil(F.col("n") / size)))
     return dealt.groupBy("part", "nr").agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.collect_list("vec").alias(f"{name}_vecs")).drop("nr")
 
 
@@ -182,8 +189,10 @@ def nearest(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k:
     ids, x = ids[order], x[order]
     near = (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T)
     near[q_ids[:, None] == ids[None, :]] = np.inf
-    m = min(2 * k, len(ids)) - 1
-    edge = np.partition(near, m, axis=1)[:, m]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    per_id = np.minimum.reduceat(near, first, axis=1)  # an id with many vectors is one candidate
+    m = min(2 * k, len(first)) - 1
+    edge = np.partition(per_id, m, axis=1)[:, m]
     slack = 1e-9 * (1 + (q * q).sum(axis=1) + (x * x).sum(axis=1).max())
     for i in range(len(q)):
         found = np.flatnonzero((near[i] <= edge[i] + slack[i]) & (near[i] < np.inf))
@@ -208,15 +217,16 @@ def _rerank(k: int):
 def search(vectors: DataFrame, is_query: Column, k: int = 10, reach: float = 0.96, sample: int = SAMPLE, parts: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of each query's ``k`` nearest
     rows found. ``reach``: probability the visited parts make up; ``parts``: a power of two, by
-    default such that parts hold some hundred to thousand rows, 256 at most."""
+    default such that parts hold some hundred to thousand rows; a part needs PER_PART of the
+    ``sample``, so that more parts take a larger sample."""
     ship_by_value(__name__)
     rows = store(usable(vectors), "ann-rows")
     n = rows.count()
     if parts is None:
-        parts = 1 if n <= SMALL else 1 << int(min(8, max(3, round(np.log2(np.sqrt(n) / 4)))))
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toPandas() if parts > 1 else None
-    router = learn(np.array(drawn["vec"].tolist(), dtype=float), parts) if parts > 1 else None
-    parts = parts if router is not None else 1
+        parts = 1 << int(min(np.log2(max(2, sample // PER_PART)), max(1, round(np.log2(max(1, np.sqrt(n) / 4))))))
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toPandas() if parts > 1 and n >= LEAST else None
+    router = learn(np.array(drawn["vec"].tolist(), dtype=float), parts) if drawn is not None else None
+    parts = router.w[3].size if router is not None else 1
     kind = "vec_id long, vec binary, parts array<int>"
     index = store(rows.mapInPandas(_route(router, reach, None, k), kind)
                   .select("vec_id", "vec", F.col("parts")[0].alias("part")), "ann-index")

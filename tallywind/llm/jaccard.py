@@ -36,6 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywind.operators.ranking import with_position
+
 from .common import WORD, ship_by_value, store, text_of
 from .components import components
 
@@ -406,9 +408,24 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """One document of each class stays, that with the smallest doc_id; documents that take no
-    part in the join stay as they are."""
+    part in the join stay as they are. A document is a pair of doc_id and text: of equal rows
+    one stays, and texts that share a doc_id are judged apart."""
+    keys = docs.filter("doc_id IS NOT NULL").filter(text_of().rlike(WORD)).select("doc_id", F.xxhash64("text").alias("text_hash"))
+    rows = store(keys.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), "near-rows")
+    if not rows.groupBy("doc_id").agg(F.sum("n").alias("n")).filter("n > 1").isEmpty():
+        numbered = with_position(rows.select(F.col("doc_id").alias("__of"), F.col("text_hash").alias("__hash")), [F.col("__of"), F.col("__hash")], "__nr")
+        same = (F.col("doc_id") == F.col("__of")) & (F.xxhash64("text") == F.col("__hash"))
+        found = docs.join(numbered, same, "left").drop("__of", "__hash")
+        part = found.filter("__nr IS NOT NULL").dropDuplicates(["__nr"])
+        docs = store(found.filter("__nr IS NULL").unionByName(part), "near-documents")
+        gone = _gone(docs.select(F.col("__nr").alias("doc_id"), "text"), threshold, tolerance).withColumnRenamed("doc_id", "__nr")
+        return docs.join(gone, "__nr", "left_anti").drop("__nr")
+    return docs.join(_gone(docs, threshold, tolerance), "doc_id", "left_anti").select(*docs.columns)
+
+
+def _gone(docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """doc_ids (one text each) of the documents with a smaller doc_id in their class."""
     join = _Join(docs, threshold, tolerance)
     of = _classes(join).withColumnRenamed("id", "rep")
     gone = join.member.join(of, "rep", "left").filter(F.coalesce("component", "rep") != F.col("doc_id")).select("doc_id")
-    gone = store(gone, "near-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return store(gone, "near-gone")

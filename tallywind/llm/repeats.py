@@ -199,7 +199,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     settled = _settle(rows, "anchors")
     starts = lambda s: s.filter("n > 1 AND NOT done").select(*_TEXT, (F.col("anchor") - F.col("hi")).alias("first"), (F.col("anchor") - F.col("lo")).alias("last"))
     found = starts(settled)
-    going = _go_on(settled, []).groupBy(*_TEXT).agg(F.collect_list(F.struct("anchor", "lo", "hi", "done")).alias("found"))
+    going = _go_on(settled, []).groupBy(*_TEXT).agg(F.collect_set(F.struct("anchor", "lo", "hi", "done")).alias("found"))
     going = store(going, "repeats-open").withColumnsRenamed({c: f"of_{c}" for c in _TEXT})
     here = texts.join(going, F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & F.col("text_hash").eqNullSafe(F.col("of_text_hash")))
     here = here.dropDuplicates(_TEXT).select(*_TEXT, "text", "found")
@@ -214,7 +214,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         found = found.unionByName(starts(known))
         if size == 1:
             break
-        going = _go_on(settled, ["part"]).groupBy(*_TEXT, "anchor").agg(F.collect_list(F.struct("part", "done")).alias("parts"))
+        going = _go_on(settled, ["part"]).groupBy(*_TEXT, "anchor").agg(F.collect_set(F.struct("part", "done")).alias("parts"))
         going = store(going, f"repeats-open-{size}").withColumnsRenamed({c: f"of_{c}" for c in (*_TEXT, "anchor")})
         same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*_TEXT, "anchor")]
         held = store(held.drop("parts", "done").join(going, same[0] & same[1] & same[2]).select(*_TEXT, "anchor", "lo", "hi", "bytes", "parts"), f"repeats-bytes-{size}")
@@ -253,7 +253,7 @@ def _cut(length: int):
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row: doc_id, kept (the bytes left; a cut may fall inside a character), n_bytes,
     n_removed, n_spans and spans (the runs removed, start and end in bytes)."""
-    found = repeated_windows(docs, length).groupBy(*_TEXT).agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    found = repeated_windows(docs, length).groupBy(*_TEXT).agg(F.collect_set(F.struct("first", "last")).alias("found"))
     found = store(found, "repeats-found").withColumnsRenamed({c: f"of_{c}" for c in _TEXT})
     rows = docs.select("doc_id", "text").join(
         found, F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.xxhash64("text") == F.col("of_text_hash")), "left")
@@ -262,5 +262,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def digests(removed: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes kept."""
-    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_bytes, n_removed, n_spans, the SHA-256 of the bytes kept, and the text they make
+    (half a character at a cut becomes the replacement character)."""
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                          F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))

@@ -28,18 +28,24 @@ def test_query_matches_sql(spark, key):
     assert difference(QUERIES[key](spark, SF), connect(SF), ORACLES[key]) is None
 
 
-def test_ann_query_is_exact_here(spark):
-    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
-    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in QUERIES["op1_ann"](spark, SF).collect()}
-    want = {}
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_ann_query_recalls_nine_of_ten(spark, sf):
     import numpy as np
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
+    got = {}
+    for r in QUERIES["op1_ann"](spark, f"/root/testdata/{sf}").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     x = np.array([v for _, v in rows], float)
+    hits = wanted = 0
     for i, (q, _) in enumerate(rows):
         if q % 100 == 0:
-            d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
-            near = sorted((d[j], rows[j][0]) for j in range(len(rows)) if j != i)[:10]
-            want |= {(q, n + 1): v for n, (_, v) in enumerate(near)}
-    assert got == want and brute_nearest([]) == {}
+            d = dict(zip((v for v, _ in rows), np.sqrt(((x - x[i]) ** 2).sum(axis=1))))
+            near = sorted((d[v], v) for v, _ in rows if v != q)[:10]
+            found = sorted(got[q])
+            assert [r[0] for r in found] == list(range(1, 11)) and [(r[2], r[1]) for r in found] == sorted((d[r[1]], r[1]) for r in found)
+            hits += len({v for _, v in near} & {r[1] for r in found})
+            wanted += 10
+    assert hits >= 0.9 * wanted and brute_nearest([]) == {}
 
 
 def test_jaccard_query_matches_brute_force(spark):
