@@ -50,6 +50,31 @@ mraw as (select * from feed
                    where snapshot_ts % 86400 = 0)""",
 }
 
+#: Both feeds as an archive with broken snapshots, paired, checked and reconciled.
+_INGESTED = """,
+mpub as (select * from feed
+         union all select distinct 'forged', 1, snapshot_ts, 1000000000000, 1 from feed
+                   where snapshot_ts % 86400 = 0 and team_id = 1
+         union all select distinct 'stray', 99, snapshot_ts, 1000000000000, 1 from feed
+                   where snapshot_ts % 86400 = 0),
+tpub as (select distinct snapshot_ts as src, unnest(case (snapshot_ts // 3600) % 12 when 5 then [] when 7 then [snapshot_ts - 60, snapshot_ts - 600]
+                                                    else [snapshot_ts - 60] end) as team_ts from tfeed),
+paired as (select c.ts, max(team_ts) as team_ts from (select distinct snapshot_ts as ts from mpub) c join tpub on team_ts <= ts group by c.ts),
+judged as (
+  select ts, team_ts,
+    case when (ts // 3600) % 24 = 3 then case (ts // 86400) % 5 when 0 then 'invalid rows' when 1 then 'totals overflow'
+         when 3 then 'no metadata' when 4 then 'rows differ' end end as user_reason,
+    case when (team_ts + 60) % 86400 = 10800 and ((team_ts + 60) // 86400) % 5 = 2 then 'digest differs' end as team_reason from paired),
+good as (select ts, team_ts from judged where user_reason is null and team_reason is null),
+tsnap as (select team_id, team_name, ts as snapshot_ts, score, wus from good join tpub on tpub.team_ts = good.team_ts join tfeed on snapshot_ts = src),
+claims as (
+  select m.snapshot_ts as ts, m.team_id, cast(sum(score) - coalesce(max(granted), 0) as bigint) as excess, count(*) as member_rows
+  from mpub m join good on good.ts = m.snapshot_ts
+       left join (select snapshot_ts, team_id, sum(score) as granted from tsnap group by all) g on g.snapshot_ts = m.snapshot_ts and g.team_id = m.team_id
+  group by m.snapshot_ts, m.team_id having sum(score) - coalesce(max(granted), 0) > 500000000000),
+mraw as (select m.* from mpub m join good on good.ts = m.snapshot_ts
+         where not exists (select 1 from claims where claims.ts = m.snapshot_ts and claims.team_id = m.team_id))"""
+
 _REST = """,
 msnap as (select name, team_id, snapshot_ts, cast(sum(score) as bigint) as score, cast(sum(wus) as bigint) as wus
           from mraw group by all),
@@ -199,6 +224,9 @@ def prelude(world: str) -> str:
             .replace("{wincols}", ", ".join(f"coalesce({c}, 0) as {c}" for c in WINCOLS))
             .replace("{sumcols}", ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in WINCOLS))
             .replace("{shared}", "20" if world == "daily" else "50"))
+    if world == "ingested":
+        feeds = _FEEDS.replace("tsnap as (", "tfeed as (") + _INGESTED
+        return "with" + base + feeds + rest.replace("cycles as (select distinct snapshot_ts as ts from mraw)", "cycles as (select ts from good)")
     return "with" + base + _FEEDS + raw + rest
 
 

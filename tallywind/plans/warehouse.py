@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywind.operators import diff, marts, rollups, windows
-from tallywind.session import (app_dir, drop_scratch, materialize, path_exists, prepare, scratch_mark,
+from tallywind.session import (app_dir, drop_scratch, materialize, new_path, path_exists, prepare, scratch_mark,
                                shared_dir, together)
 from tallywind.sources import adapters as A
+from tallywind.sources import snapshots
+from tallywind.streaming import cycles as C
 
 MEMBER, TEAM = diff.MEMBER, diff.TEAM
 
@@ -26,12 +28,12 @@ def open_warehouse(spark: SparkSession, sf_dir: str, world: str) -> "Warehouse":
     prepare(spark)
     key = (spark.sparkContext.applicationId, shared_dir(spark), str(sf_dir), world)
     if key not in _OPEN or not path_exists(spark, app_dir(spark)):
-        _OPEN[key] = Warehouse(spark, str(sf_dir), world)
+        _OPEN[key] = (IngestedWarehouse if world == "ingested" else Warehouse)(spark, str(sf_dir), world)
     return _OPEN[key]
 
 
 class Warehouse:
-    """``world`` names the feed adapter: hourly, daily, corrections, split or forged."""
+    """``world`` names the feed adapter: hourly, daily, corrections, split, forged or ingested."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, world: str):
         self.spark, self.sf_dir, self.world = spark, sf_dir, world
@@ -65,7 +67,7 @@ class Warehouse:
     @cached_property
     def raw_member_snapshot(self) -> DataFrame:
         feed = A.member_feed(self.feed_rows)
-        return {"split": A.split_rows, "forged": A.forge_rows}.get(self.world, lambda f: f)(feed)
+        return {"split": A.split_rows, "forged": A.forge_rows, "ingested": A.forge_rows}.get(self.world, lambda f: f)(feed)
 
     @cached_property
     def team_snapshot(self) -> DataFrame:
@@ -167,3 +169,89 @@ class Warehouse:
 
     def lit_at(self):
         return F.lit(self.clock.at).cast("bigint")
+
+
+class StoreWarehouse(Warehouse):
+    """Marts over the tables a cycle ingest has committed, of the newest commit when opened.
+
+    What the ingest keeps by itself (deltas, state, rollups) is read; ranks and marts are built,
+    under ``marts/`` beside the tables.
+    """
+
+    def __init__(self, spark: SparkSession, store: C.CycleStore, sf_dir: str = "", world: str = "store"):
+        super().__init__(spark, sf_dir, world)
+        self._store = store
+        self.paths: dict[str, str] = {}
+
+    @property
+    def store(self) -> C.CycleStore:
+        return self._store
+
+    @cached_property
+    def commit(self) -> dict:
+        return self.store.manifest()
+
+    def _keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = self.paths[label] = f"{self.store.out}/marts/{self.commit['seq']:012d}/{label}"
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _table(self, name: str) -> DataFrame:
+        rows = self.store.parts(name, self.commit["tables"].get(name))
+        return rows.drop("day") if name in C.APPENDED else rows
+
+    def _state(self, kind: str) -> DataFrame:
+        rows = self.store.state(kind, self.commit)
+        names = ["team_name"] if kind == "team" else []
+        return self._keep(rows.select(*C.KEYS[kind], *names, "first_seen", F.col("ts").alias("last_seen"), "score", "wus"), f"{kind}-state")
+
+    cycles = cached_property(lambda self: self._table("cycles").select("ts"))
+    member_delta = cached_property(lambda self: self._table("member_delta"))
+    team_delta = cached_property(lambda self: self._table("team_delta"))
+    member_daily = cached_property(lambda self: self._table("member_daily"))
+    team_daily = cached_property(lambda self: self._table("team_daily"))
+    member_monthly = cached_property(lambda self: self._table("member_monthly"))
+    team_monthly = cached_property(lambda self: self._table("team_monthly"))
+    member_state = cached_property(lambda self: self._state("member"))
+    team_state = cached_property(lambda self: self._state("team"))
+
+    def publish(self) -> "StoreWarehouse":
+        """Build the marts, then turn the pointer readers follow to them."""
+        self.clock
+        for step in (["member_state", "team_state"], ["member_production", "team_production"], ["members"], ["teams", "donors"]):
+            together(*[lambda name=name: getattr(self, name) for name in step])
+        self.store.point("published", {"seq": self.commit["seq"], "ts": self.commit["ts"], "marts": self.paths})
+        return self
+
+
+def publish_cycle(store: C.CycleStore, newest: int) -> None:
+    """Publish hook of :func:`tallywind.streaming.cycles.ingest_cycles`."""
+    StoreWarehouse(store.spark, store).publish()
+
+
+def published(spark: SparkSession, out: str) -> tuple[int, dict[str, DataFrame]]:
+    """The newest published cycle of a store and its marts (members, teams, donors), all of it."""
+    found = C.CycleStore(spark, out).pointer("published")
+    if found is None:
+        raise LookupError(f"nothing is published in {out}")
+    return found["ts"], {name: spark.read.parquet(found["marts"][name]) for name in ("members", "teams", "donors")}
+
+
+class IngestedWarehouse(StoreWarehouse):
+    """The world ``ingested``: the feeds as an archive, its snapshots written newest first, taken
+    up by the cycle ingest some at a time."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, world: str):
+        super().__init__(spark, None, sf_dir, world)
+
+    @cached_property
+    def store(self) -> C.CycleStore:
+        root, out = new_path(self.spark, "archive"), new_path(self.spark, "cycle-store")
+        feeds = {"user": A.spoil_rows(self.raw_member_snapshot), "team": A.published_teams(self.team_snapshot)}
+        for feed, rows in feeds.items():
+            snapshots.write_archive(rows, feed, root, A.spoil_meta(snapshots.snapshot_meta(rows, feed)))
+        return C.ingest_cycles(self.spark, root, out, new_path(self.spark, "cycle-checkpoint"), cycles_per_trigger=240, tolerance=A.FORGED_POINTS // 2)
+
+    # The feeds themselves are adapters' tables.
+    def _keep(self, df: DataFrame, label: str) -> DataFrame:
+        return materialize(df, f"{self.world}-{label}") if label in ("feed-rows", "team-feed") else super()._keep(df, label)

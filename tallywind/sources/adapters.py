@@ -7,7 +7,9 @@
 
 Variants of ``hourly`` exercise the checks: ``corrections`` (error events take points back,
 so totals regress), ``split`` (each row published twice, in halves), ``forged`` (a record at
-every UTC midnight that its parent cannot support, and one on an unknown parent).
+every UTC midnight that its parent cannot support, and one on an unknown parent), ``ingested`` (the
+forged feed as an archive of which some snapshots are broken, see ``spoil_rows``, applied by the
+cycle ingest).
 
 Parents credit one point more than their members for each purchase, so parent totals run
 ahead of the sum of their members as unattributed production makes them do.
@@ -15,7 +17,7 @@ ahead of the sum of their members as unattributed production makes them do.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywind.schemas import DAY, HOUR
@@ -145,6 +147,41 @@ def archive_meta(cycles: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(":", "feed", F.col("snapshot_ts").cast("string")), 256).alias("sha256"))
 
 
+def published_teams(team: DataFrame) -> DataFrame:
+    """Team snapshots at the times :func:`archive_meta` publishes them: a minute ahead of the
+    user feed, none at 05:00 and 17:00, two at 07:00 and 19:00."""
+    hour = F.call_function("div", F.col("snapshot_ts"), F.lit(HOUR).cast("bigint")) % 12
+    ahead = (F.when(hour == 5, F.array().cast("array<bigint>")).when(hour == 7, F.array(F.lit(60), F.lit(600)).cast("array<bigint>"))
+             .otherwise(F.array(F.lit(60)).cast("array<bigint>")))
+    return team.withColumn("ahead", F.explode(ahead)).withColumn("snapshot_ts", F.col("snapshot_ts") - F.col("ahead")).drop("ahead")
+
+
+def _defect(ts: Column) -> Column:
+    """What is wrong with the 03:00 cycle of a day: one of five by the day, else null."""
+    hour = F.call_function("div", ts, F.lit(HOUR).cast("bigint")) % 24
+    return F.when(hour == 3, F.call_function("div", ts, F.lit(DAY).cast("bigint")) % 5)
+
+
+def spoil_rows(member: DataFrame) -> DataFrame:
+    """Add rows no snapshot may hold: a negative total (0), totals past BIGINT together (1)."""
+    seen = member.select("snapshot_ts").distinct().withColumn("defect", _defect(F.col("snapshot_ts")))
+    row = lambda name, score: F.struct(F.lit(name).alias("name"), F.lit(2).alias("team_id"), F.lit(score).cast("bigint").alias("score"),
+                                       F.lit(1).cast("bigint").alias("wus"))
+    added = F.when(F.col("defect") == 0, F.array(row("broken", -5))).when(F.col("defect") == 1, F.array(row("huge", 9 * 10**18), row("huge", 9 * 10**18)))
+    bad = seen.select("snapshot_ts", F.explode(added).alias("r")).select("r.name", "r.team_id", "snapshot_ts", "r.score", "r.wus")
+    return member.unionByName(bad)
+
+
+def spoil_meta(meta: DataFrame) -> DataFrame:
+    """Snapshot metadata with another digest for a team snapshot (2), none (3) and another row
+    count (4) for a user snapshot."""
+    at = F.when(F.col("feed") == "team", F.col("snapshot_ts") + 60).otherwise(F.col("snapshot_ts"))
+    of = lambda feed, n: (F.col("feed") == feed) & F.coalesce((F.col("defect") == n) & (at % HOUR == 0), F.lit(False))
+    marked = meta.withColumn("defect", _defect(at)).filter(~of("user", 3))
+    return (marked.withColumn("digest", F.when(of("team", 2), F.col("digest") + 1).otherwise(F.col("digest")).cast("decimal(38,0)"))
+            .withColumn("row_count", F.when(of("user", 4), F.col("row_count") + 1).otherwise(F.col("row_count"))).drop("defect"))
+
+
 def country_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each parent in one group: nation to region."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
