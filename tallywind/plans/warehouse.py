@@ -248,9 +248,9 @@ class IngestedWarehouse(StoreWarehouse):
     def store(self) -> C.CycleStore:
         root, out = new_path(self.spark, "archive"), new_path(self.spark, "cycle-store")
         feeds = {"user": A.spoil_rows(self.raw_member_snapshot), "team": A.published_teams(self.team_snapshot)}
-        for feed, rows in feeds.items():
-            snapshots.write_archive(rows, feed, root, A.spoil_meta(snapshots.snapshot_meta(rows, feed)))
-        return C.ingest_cycles(self.spark, root, out, new_path(self.spark, "cycle-checkpoint"), cycles_per_trigger=240, tolerance=A.FORGED_POINTS // 2)
+        together(*[lambda feed=feed, rows=rows: snapshots.write_archive(rows, feed, root, A.spoil_meta(snapshots.snapshot_meta(rows, feed)))
+                   for feed, rows in feeds.items()])
+        return C.ingest_cycles(self.spark, root, out, new_path(self.spark, "cycle-checkpoint"), cycles_per_trigger=400, tolerance=A.FORGED_POINTS // 2)
 
     # The feeds themselves are adapters' tables.
     def _keep(self, df: DataFrame, label: str) -> DataFrame:
