@@ -1,18 +1,25 @@
 """Benchmark decontamination by template canonicalisation, DataFrame expressions only.
 
-Numbers, names and units become typed placeholders, so that a question asked again with other
-values has the same template. Windows of eight template words (an item of five to seven words
-is one window) are hash-joined with those of the benchmark. Hits on one diagonal (the same
-shift between document and item) must fill the slots consistently: equal values of the item
-meet equal values of the document. A document holds an item if the windows hit this way are at
-least six, or all that the item has, i.e. 13 words in line.
+Numbers, names (words with a capital followed by a small letter, wherever they stand) and units
+become typed placeholders, so that a question asked again with other values has the same
+template. Windows of eight template words (an item of five to seven words is one window) are
+hash-joined with those of the benchmark. Windows of the item with fewer literal words than
+placeholders say too little and are left out; windows with placeholders are joined by their folded words, too, so that a copy in other
+case or with other line ends is found as it stands.
+
+Hits on one diagonal (the same shift between document and item) are read in runs: as many
+neighbouring windows as are asked for (six, or all that the item has, i.e. up to 13 words in line) must
+be hit, and fill their slots consistently: equal values of the item meet equal values of the
+document. A document holds an item if it has such a run. Items of fewer than five words are
+searched for as whole lines.
 
 Only hits are shuffled: documents' windows stream past the benchmark's, which are broadcast if
-their counted number allows it; beyond that both sides are shuffled on the hash.
+their counted bytes allow it; beyond that both sides are shuffled on the hash.
 
-Defined cases: null and empty texts have no windows; items of fewer than five words are not
-searched for; rows of one doc_id count as one document; rows with null doc_id or item_id take
-no part (as documents they are kept); empty tables give an empty result.
+Defined cases: null and empty texts have no windows; texts of any length are read whole; items without a word are not searched for;
+items of almost only names and numbers are found as they stand, not with other values; rows of
+one doc_id count as one document; rows with null doc_id or item_id take no part (as documents
+they are kept); extra columns take no part, whatever their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +32,8 @@ from .common import store, text_of
 WINDOW = 8
 LEAST_WORDS = 5
 LEAST_HITS = 6
-#: Windows of the benchmark that may be broadcast: 16 bytes each and their slots.
-BROADCAST_WINDOWS = 500_000
+#: Bytes of the benchmark's windows that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 _SLOT, _POINT = "\ue000", "\ue001"
 # Units of measure, time and money that follow a number.
@@ -34,66 +41,105 @@ UNITS = ("km kg cm mm mg ml lb lbs oz ft mi mph kmh m g l s ms h hr hrs min mins
          "grams kilograms liters litres hours minutes seconds days weeks months years percent usd eur gbp dollars euros pounds cents "
          "kb mb gb tb hz khz mhz ghz w kw v c f").split()
 _UNIT = "(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + ")"
-_APART = rf"[^\p{{L}}\p{{M}}\p{{N}}{_SLOT}{_POINT}]+"
-_NAME = r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu}\p{Ll})"
+_APART = rf"[^\p{{L}}\p{{M}}\p{{N}}{_POINT}]+"
+_LONGEST_UNIT = max(map(len, UNITS))
+_PAIRS = "array<struct<at:int,type:string,item:string,doc:string>>"
 
 
-def templates(text: Column) -> tuple[Column, Column]:
-    """Words of the template and, at the same places, of the text (both arrays of strings)."""
+def words(text: Column) -> Column:
+    """Words of a text; a number with decimals is one, its unit another."""
     plain = F.when(F.contains(text, F.lit(_SLOT)) | F.contains(text, F.lit(_POINT)),
                    F.translate(text, _SLOT + _POINT, "  ")).otherwise(text)
-    low = F.lower(F.regexp_replace(plain, _NAME, f"{_SLOT}a"))
-    numbers = low.rlike("[0-9]")
-    apart = F.regexp_replace(F.regexp_replace(low, r"(?<=[0-9])[.,](?=[0-9])", _POINT),
-                             rf"(?<=[0-9])(?={_UNIT}(?![\p{{L}}\p{{N}}]))", " ")
-    valued = F.when(numbers, apart).otherwise(low)
-    number = rf"(?<![\p{{L}}\p{{N}}{_POINT}])[0-9][0-9{_POINT}]*(?![\p{{L}}\p{{N}}])"
-    typed = F.regexp_replace(F.regexp_replace(valued, number, f"{_SLOT}n"), rf"(?<={_SLOT}n ){_UNIT}(?![\p{{L}}\p{{N}}])", f"{_SLOT}u")
-    typed = F.regexp_replace(F.when(numbers, typed).otherwise(valued), rf"{_SLOT}a\p{{L}}+", f"{_SLOT}a")
-    return F.array_remove(F.split(typed, _APART), ""), F.array_remove(F.split(valued, _APART), "")
+    apart = F.regexp_replace(F.regexp_replace(plain, r"(?<=[0-9])[.,](?=[0-9])", _POINT),
+                             rf"(?<=[0-9])(?=(?i:{_UNIT})(?![\p{{L}}\p{{N}}]))", " ")
+    return F.array_remove(F.split(F.when(plain.rlike("[0-9]"), apart).otherwise(plain), _APART), "")
+
+
+def _number(w: Column) -> Column:
+    return (w >= "0") & (w < ":") & (F.translate(w, f"0123456789{_POINT}", "") == "")
+
+
+def typed(raw: Column, folded: Column) -> Column:
+    """The template words: placeholders for numbers, their units and names, else the folded word."""
+
+    def of(w: Column, i: Column) -> Column:
+        low = F.get(folded, i)
+        named = (F.substring(w, 1, 1) != F.substring(low, 1, 1)) & (F.substring(w, 2, 1) != F.upper(F.substring(w, 2, 1)))
+        unit = low.isin(UNITS) & F.coalesce(_number(F.get(raw, i - 1)), F.lit(False))
+        return (F.when(_number(w), f"{_SLOT}n").when((F.length(low) <= _LONGEST_UNIT) & unit, f"{_SLOT}u")
+                .when((w != low) & named, f"{_SLOT}a").otherwise(low))
+
+    return F.transform(raw, of)
 
 
 def windows(docs: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """(key, pos, size, hash, slots) of each window; slots: the text's words at the window's
-    places if the template has a placeholder there, else null."""
-    typed, valued = templates(text_of())
-    base = docs.filter(F.col(key).isNotNull()).select(F.col(key), typed.alias("typed"), valued.alias("valued"))
-    base = base.withColumn("slotted", F.exists("typed", lambda w: F.startswith(w, F.lit(_SLOT))))
+    """(key, pos, size, hash, slots) of each window; slots: the folded words at the window's
+    places if the hash is that of a template with a placeholder, else null."""
+    base = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), words(text_of()).alias("raw"))
+    base = base.withColumn("folded", F.transform("raw", F.lower)).withColumn("typed", typed(F.col("raw"), F.col("folded")))
+    base = base.select("key", "folded", F.transform("typed", lambda w: F.xxhash64(w)).alias("t"), F.transform("folded", lambda w: F.xxhash64(w)).alias("f"))
+    marks = F.array(*[F.xxhash64(F.lit(f"{_SLOT}{k}")) for k in "nua"])
+    none = F.lit(None).cast("array<string>")
+    kind = "array<struct<pos:int,size:int,hash:bigint,slots:array<string>>>"
 
     def of(size: int) -> Column:
         def at(i: Column) -> Column:
-            words = F.slice("typed", i + 1, size)
-            marked = F.col("slotted") & F.exists(words, lambda w: F.startswith(w, F.lit(_SLOT)))
-            return F.struct(i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(words, F.lit(size)).alias("hash"),
-                            F.when(marked, F.struct(words.alias("typed"), F.slice("valued", i + 1, size).alias("valued"))).alias("slots"))
+            def window(hashes: str, slots: Column) -> Column:
+                return F.struct(i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(F.slice(hashes, i + 1, size), F.lit(size)).alias("hash"), slots.alias("slots"))
+
+            marked = F.arrays_overlap(F.slice("t", i + 1, size), marks)
+            return F.when(marked, F.array(window("t", F.slice("folded", i + 1, size)), window("f", none))).otherwise(F.array(window("t", none)))
 
-        return F.when(F.size("typed") >= size, F.transform(F.sequence(F.lit(0), F.size("typed") - size), at)).otherwise(
-            F.array().cast("array<struct<pos:int,size:int,hash:bigint,slots:struct<typed:array<string>,valued:array<string>>>>"))
+        return F.when(F.size("t") >= size, F.flatten(F.transform(F.sequence(F.lit(0), F.size("t") - size), at))).otherwise(F.array().cast(kind))
 
     every = of(sizes[0]) if len(sizes) == 1 else F.concat(*[of(s) for s in sizes])
-    return base.select(key, F.explode(every).alias("w")).select(key, "w.pos", "w.size", "w.hash", "w.slots")
+    return base.select("key", F.explode(every).alias("w")).select(F.col("key").alias(key), "w.pos", "w.size", "w.hash", "w.slots")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of the items: of eight words, or the whole of a shorter item."""
-    sizes = list(range(LEAST_WORDS, WINDOW + 1))
-    words = (benchmark.filter("item_id IS NOT NULL")
-             .select(F.col("item_id").alias("of"), F.size(templates(text_of())[0]).alias("words"))
-             .groupBy("of").agg(F.max("words").alias("words")))
-    found = windows(benchmark, "item_id", sizes).join(words, F.col("item_id") == F.col("of"))
-    found = found.filter(F.col("size") == F.least(F.lit(WINDOW), F.col("words")))
-    return found.select("item_id", F.col("pos").alias("item_pos"), "size", "hash", F.col("slots").alias("item_slots"),
-                        (F.col("words") - F.col("size") + 1).alias("item_windows"))
+    """Windows of the items: of eight words, or the whole of a shorter item; ``item_types`` are
+    their template words where they have slots."""
+    base = benchmark.filter("item_id IS NOT NULL").select("item_id", words(text_of()).alias("raw"))
+    base = base.withColumn("folded", F.transform("raw", F.lower)).withColumn("typed", typed(F.col("raw"), F.col("folded")))
+    size = F.least(F.lit(WINDOW), F.size("raw"))
+    base = base.filter(F.size("raw") >= LEAST_WORDS).withColumn("size", size)
+    at = base.select("item_id", "size", "folded", "typed", (F.size("raw") - size + 1).alias("item_windows"),
+                     F.explode(F.sequence(F.lit(0), F.size("raw") - size)).alias("item_pos"))
+    at = at.withColumn("typed", F.slice("typed", F.col("item_pos") + 1, F.col("size"))).withColumn("folded", F.slice("folded", F.col("item_pos") + 1, F.col("size")))
+    slots = F.size(F.filter("typed", lambda w: F.startswith(w, F.lit(_SLOT))))
+    hashed = lambda c: F.xxhash64(F.transform(c, lambda w: F.xxhash64(w)), F.col("size"))
+    plain = at.select("item_id", "item_pos", "size", "item_windows", hashed("folded").alias("hash"),
+                      F.lit(None).cast("array<string>").alias("item_types"), F.lit(None).cast("array<string>").alias("item_slots"))
+    marked = at.filter((slots > 0) & (2 * slots <= F.col("size"))).select(
+        "item_id", "item_pos", "size", "item_windows", hashed("typed").alias("hash"), F.col("typed").alias("item_types"), F.col("folded").alias("item_slots"))
+    return plain.unionByName(marked).distinct()
+
+
+def _small(items: DataFrame, bytes_of: Column) -> DataFrame:
+    """``items`` with a broadcast hint if their counted bytes allow it."""
+    size = items.agg(F.coalesce(F.sum(bytes_of + 64), F.lit(0))).first()[0]
+    return F.broadcast(items) if size <= BROADCAST_BYTES else items
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Windows of the documents that stand in an item."""
     items = store(item_windows(benchmark), "decon-items")
-    counted = items.groupBy("size").count().collect()  # four rows at most
-    sizes = sorted((r["size"] for r in counted), reverse=True) or [WINDOW]
-    if sum(r["count"] for r in counted) <= BROADCAST_WINDOWS:
-        items = F.broadcast(items)
-    return windows(docs, "doc_id", sizes).join(items, ["hash", "size"])
+    sizes = sorted((r["size"] for r in items.select("size").distinct().collect()), reverse=True) or [WINDOW]  # four at most
+    width = F.coalesce(F.octet_length(F.array_join("item_types", "")) + F.octet_length(F.array_join("item_slots", "")), F.lit(0))
+    found = windows(docs, "doc_id", sizes).join(_small(items, width), ["hash", "size"])
+    # A hash of folded words and one of a template are equal only where the item has no slots.
+    return found.filter(F.col("slots").isNull() == F.col("item_slots").isNull())
+
+
+def short_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """(doc_id, item_id) of items too short for a window that are a line of a document."""
+    line = F.array_join(F.transform(words(text_of()), F.lower), " ")
+    items = store(benchmark.filter("item_id IS NOT NULL").select("item_id", words(text_of()).alias("raw"), line.alias("line"))
+                  .filter(F.size("raw").between(1, LEAST_WORDS - 1)).select("item_id", "line"), "decon-short")
+    if items.isEmpty():
+        return None
+    lines = docs.filter("doc_id IS NOT NULL").select("doc_id", F.explode(F.split(text_of(), r"\R")).alias("text")).select("doc_id", line.alias("line"))
+    return lines.join(_small(items, F.octet_length("line")), "line").select("doc_id", "item_id").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -102,21 +148,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     another value than the item's)."""
     pair = F.when(F.col("slots").isNotNull(), F.filter(F.transform(
         F.sequence(F.lit(0), F.col("size") - 1),
-        lambda i: F.struct((F.col("item_pos") + i).alias("at"), F.col("slots.typed")[i].alias("type"),
-                           F.col("item_slots.valued")[i].alias("item"), F.col("slots.valued")[i].alias("doc"))),
-        lambda p: F.startswith(p["type"], F.lit(_SLOT))))
-    line = (hits(docs, benchmark).withColumn("shift", F.col("pos") - F.col("item_pos"))
-            .withColumn("pairs", pair)
-            .groupBy("doc_id", "item_id", "shift", "item_windows")
-            .agg(F.collect_set("item_pos").alias("found"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")))
-    values = lambda *names: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(*[p[n].alias(n) for n in names]))))
-    consistent = values("type", "item") == values("type", "item", "doc")
-    return (line.filter(consistent).groupBy("doc_id", "item_id", "item_windows")
-            .agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n_hits"),
-                 F.max(F.size("pairs")).alias("n_slots"),
-                 F.min(F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))).alias("changed"))
-            .filter(F.col("n_hits") >= F.least(F.lit(LEAST_HITS), F.col("item_windows")))
-            .select("doc_id", "item_id", "n_hits", F.col("item_windows").alias("n_windows"), "n_slots", "changed"))
+        lambda i: F.struct((F.col("item_pos") + i).alias("at"), F.get("item_types", i).alias("type"),
+                           F.get("item_slots", i).alias("item"), F.get("slots", i).alias("doc"))),
+        lambda p: F.startswith(p["type"], F.lit(_SLOT)))).otherwise(F.array().cast(_PAIRS))
+    need = F.least(F.lit(LEAST_HITS), F.col("item_windows")).cast("int")
+    values = lambda pairs, *names: F.size(F.array_distinct(F.transform(pairs, lambda p: F.struct(*[p[n].alias(n) for n in names]))))
+
+    def run(i: Column) -> Column:
+        inside = F.slice("hit", i, need)
+        pairs = F.array_distinct(F.flatten(F.transform(inside, lambda h: h["pairs"])))
+        fine = (F.element_at(inside, -1)["at"] - F.element_at(inside, 1)["at"] == need - 1) & (values(pairs, "type", "item") == values(pairs, "type", "item", "doc"))
+        return F.when(fine, inside).otherwise(F.array().cast(f"array<struct<at:int,pairs:{_PAIRS}>>"))
+
+    # Of a window that is hit both ways the one that stands as it is in the item has no pairs.
+    line = (hits(docs, benchmark).withColumn("pairs", pair).groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_windows", "item_pos")
+            .agg(F.min("pairs").alias("pairs"))
+            .groupBy("doc_id", "item_id", "shift", "item_windows").agg(F.sort_array(F.collect_list(F.struct(F.col("item_pos").alias("at"), "pairs"))).alias("hit"))
+            .filter(F.size("hit") >= need))
+    runs = line.withColumn("runs", F.flatten(F.transform(F.sequence(F.lit(1), F.size("hit") - need + 1), run))).filter(F.size("runs") > 0)
+    slots = F.array_distinct(F.flatten(F.transform("runs", lambda h: h["pairs"])))
+    found = (runs.withColumn("slots", slots).withColumn("found", F.array_distinct(F.transform("runs", lambda h: h["at"])))
+             .groupBy("doc_id", "item_id", "item_windows")
+             .agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n_hits"), F.max(F.size("slots")).alias("n_slots"),
+                  F.min(F.size(F.filter("slots", lambda p: p["item"] != p["doc"]))).alias("changed"))
+             .select("doc_id", "item_id", "n_hits", F.col("item_windows").alias("n_windows"), "n_slots", "changed"))
+    short = short_items(docs, benchmark)
+    if short is None:
+        return found
+    zero, one = F.lit(0), F.lit(1)
+    return found.unionByName(short.select("doc_id", "item_id", one.alias("n_hits"), one.alias("n_windows"), zero.alias("n_slots"), zero.alias("changed")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

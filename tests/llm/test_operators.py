@@ -485,15 +485,17 @@ def test_decontamination_finds_copies_and_changed_values(spark):
     pad = text_of(rng, 40).replace("w", "z")
     rows = [doc(0, f"{pad}. {item}. {pad}"), doc(1, f"{pad}\n{moved} {pad}"), doc(2, f"{pad} {mixed} {pad}"), doc(3, pad),
             doc(4, item.upper()), doc(5, " ".join(item.split()[:9]) + " " + pad), doc(6, None), doc(7, ""), doc(None, item), doc(8, pad * 500), doc(0, item),
-            doc(9, "what is the capital of")]
-    b = bench(spark, item, None, "", "too short to count", "What is the capital of?", f"{pad[:60]} {'zz ' * 30}")
+            doc(9, "what is the capital of"), doc(10, "you pay 8 now and 8 later for the old blue car in total"),
+            doc(11, "you pay 8 now and 7 later for the old blue car in total")]
+    b = bench(spark, item, None, "", "too short to count", "What is the capital of?", f"{pad[:60]} {'zz ' * 30}",
+              "You pay 7 now and 7 later for the old blue car in total")
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(frame(spark, rows), b).collect()}
-    assert set(got) == {(0, 0), (1, 0), (4, 0), (9, 4)} | {k for k in got if k == (2, 0)}
-    assert got[0, 0]["changed"] == 0 and got[1, 0]["changed"] > 0
-    assert (2, 0) not in got
+    # Document 2 is consistent within 13 words on either side; in 11 every run holds both values.
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (4, 0), (9, 4), (10, 6)}
+    assert got[0, 0]["changed"] == 0 and got[1, 0]["changed"] > 0 and got[2, 0]["changed"] == 1
     left = decontaminate.decontaminate(frame(spark, rows), b)
     assert left.columns == frame(spark, []).columns
-    assert Counter(r["doc_id"] for r in left.collect()) == Counter([2, 3, 5, 6, 7, None, 8])
+    assert Counter(r["doc_id"] for r in left.collect()) == Counter([3, 5, 6, 7, None, 8, 11])
     assert decontaminate.contaminated(frame(spark, []), b).count() == 0
     assert decontaminate.contaminated(frame(spark, rows), b.limit(0)).count() == 0
 
@@ -503,6 +505,6 @@ def test_decontamination_by_shuffle_gives_the_same(spark, monkeypatch):
     items = [text_of(rng, 30).replace("w", "y") for _ in range(5)]
     rows = [doc(i, f"{text_of(rng, 20)} {items[i % 5] if i % 2 else ''} {text_of(rng, 20)}") for i in range(20)]
     broadcast = set(map(tuple, decontaminate.contaminated(frame(spark, rows), bench(spark, *items)).collect()))
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     assert set(map(tuple, decontaminate.contaminated(frame(spark, rows), bench(spark, *items)).collect())) == broadcast
     assert {r[0] for r in broadcast} == {i for i in range(20) if i % 2}
