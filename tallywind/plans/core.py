@@ -9,7 +9,7 @@ from tallywind.operators import activity, diff, marts, pairing, quantiles, rollu
 from tallywind.operators import ranking as R
 from tallywind.plans import oracle as O
 from tallywind.plans.registry import query
-from tallywind.schemas import DAY, HOUR, MAX_TEAM_ROWS, WEEK
+from tallywind.schemas import DAY, HOUR, MAX_TEAM_ROWS, MAX_USER_ROWS, WEEK
 from tallywind.sources import adapters as A
 from tallywind.sources import archive
 
@@ -40,14 +40,16 @@ def new_entities(W):
 
 
 @query("regressions", "corrections", """
-  with bad as (select name, team_id, ts, d_score, d_wu from mmove where d_score < 0),
-  r as (select *, row_number() over (partition by ts order by d_score, name, team_id) as sample_no,
-               count(*) over (partition by ts) as regressions from bad)
-  select ts, name, team_id, d_score, d_wu, sample_no, regressions from r where sample_no <= 5""")
+  with bad as (select 'user' as feed, name, team_id, ts, d_score, d_wu from mmove where d_score < 0
+               union all select 'team', null, team_id, ts, d_score, d_wu from tmove where d_score < 0),
+  r as (select *, row_number() over (partition by feed, ts order by d_score, name, team_id) as sample_no,
+               count(*) over (partition by feed, ts) as regressions from bad)
+  select feed, ts, name, team_id, d_score, d_wu, sample_no, regressions from r where sample_no <= 5""")
 def regressions(W):
-    bad = diff.regressions(W.member_snapshot, M)
-    return diff.regression_samples(bad, M).select(
-        "ts", "name", "team_id", "d_score", "d_wu", "sample_no", "regressions")
+    user, team = (diff.regression_samples(diff.regressions(s, k), k).withColumn("feed", F.lit(f)) for f, s, k in (
+        ("user", W.member_snapshot, M), ("team", W.team_snapshot, T)))
+    out = user.unionByName(team, allowMissingColumns=True)
+    return out.select("feed", "ts", "name", "team_id", "d_score", "d_wu", "sample_no", "regressions")
 
 
 @query("snapshot_validation", "corrections", """
@@ -190,9 +192,23 @@ def snapshot_conflicts(W):
 
 
 @query("snapshot_row_limits", "daily", """
-  select snapshot_ts, count(*) as row_count, count(*) <= 500000 as accepted from tsnap group by snapshot_ts""")
+  select 'team' as feed, snapshot_ts, count(*) as row_count, count(*) <= 500000 as accepted from tsnap group by snapshot_ts
+  union all select 'user', snapshot_ts, count(*), count(*) <= 5000000 from mraw group by snapshot_ts""")
 def snapshot_row_limits(W):
-    return diff.over_row_limit(W.team_snapshot, MAX_TEAM_ROWS)
+    return _row_limits(W, MAX_TEAM_ROWS, MAX_USER_ROWS)
+
+
+@query("snapshot_row_limits_reached", "daily", """
+  with n as (select 'team' as feed, snapshot_ts, count(*) as row_count from tsnap group by snapshot_ts
+             union all select 'user', snapshot_ts, count(*) from mraw group by snapshot_ts)
+  select *, row_count <= case when feed = 'team' then 2 else 3 end as accepted from n""")
+def snapshot_row_limits_reached(W):
+    return _row_limits(W, 2, 3)
+
+
+def _row_limits(W, team, user):
+    over = lambda df, limit, feed: diff.over_row_limit(df, limit).select(F.lit(feed).alias("feed"), "snapshot_ts", "row_count", "accepted")
+    return over(W.team_snapshot, team, "team").unionByName(over(W.raw_member_snapshot, user, "user"))
 
 
 @query("archive_thinning", "hourly", """
@@ -583,10 +599,10 @@ def donor_team_scope(W):
   union all select 'donor', name, rank, score from donors where name = 'c7'
   union all select 'member', name || '/' || team_id, rank, score from members where name = 'c7' and team_id = 9""")
 def entity_lookup(W):
-    t = W.teams.filter("team_id = 9").select(
+    t = W.teams_by_id.filter("team_id = 9").select(
         F.lit("team").alias("kind"), F.col("team_id").cast("string").alias("ref"), "rank", "score")
-    d = W.donors.filter("name = 'c7'").select(F.lit("donor").alias("kind"), F.col("name").alias("ref"), "rank", "score")
-    m = W.members.filter("name = 'c7' AND team_id = 9").select(
+    d = W.donors_by_name.filter("name = 'c7'").select(F.lit("donor").alias("kind"), F.col("name").alias("ref"), "rank", "score")
+    m = W.members_by_name.filter("name = 'c7' AND team_id = 9").select(
         F.lit("member").alias("kind"), F.concat_ws("/", "name", F.col("team_id").cast("string")).alias("ref"),
         "rank", "score")
     return t.unionByName(d).unionByName(m)

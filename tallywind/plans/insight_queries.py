@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallywind.functions import scalars as S
-from tallywind.operators import activity, alerts, diff, history as H, insights as I, marts
+from tallywind.operators import activity, alerts, diff, history as H, indexes as X, insights as I, marts
 from tallywind.operators import ranking as R
 from tallywind.plans import oracle as O
 from tallywind.plans.registry import query
@@ -31,7 +31,7 @@ for _k, _c in I.MEMBER_KEYS.items():
     query(f"roster_by_{_k}", "daily", f"""
   select team_id, name, rank, {_c} as value,
          row_number() over (partition by team_id order by {_o}) as position from members""")(
-        lambda W, k=_k: I.roster_by(W.members, k).select("team_id", "name", "rank", "value", "position"))
+        lambda W, k=_k: W.rosters.filter(F.col("key") == k).select("team_id", "name", "rank", "value", "position"))
 
 
 @query("roster_active", "daily", """
@@ -95,20 +95,42 @@ def donor_breakdown_production(W):
 
 # --- search ---------------------------------------------------------------------------
 
+
+def _search_donors(W, text, limit=8):
+    return X.search(W.donor_index, W.donor_heads, text, "name", limit=limit)
+
+
 query("search_donors", "daily", """
   select name, rank, score, name = 'c12' as exact from donors where lower(name) like 'c12%'
   order by case when name = 'c12' then 1 else 2 end, rank limit 8""")(
-    lambda W: I.search(W.donors, "c12", "name"))
+    lambda W: _search_donors(W, "c12"))
 query("search_donors_folded", "daily", """
   select name, rank, score, false as exact from donors where lower(name) like 'c14%' order by rank limit 20""")(
-    lambda W: I.search(W.donors, "C14", "name", limit=20))
+    lambda W: _search_donors(W, "C14", limit=20))
+query("search_donors_scan", "daily", """
+  select name, rank, score, name = 'c12' as exact from donors where lower(name) like 'c12%'
+  order by case when name = 'c12' then 1 else 2 end, rank limit 8""")(
+    lambda W: I.search(W.donors, "c12", "name"))
+query("search_donors_head", "daily", """
+  select name, rank, score, false as exact from donors where lower(name) like 'c%' order by rank limit 50""")(
+    lambda W: _search_donors(W, "C", limit=50))
+query("search_teams_long_prefix", "hourly", """
+  select team_name, team_id, rank, score, false as exact from teams where lower(team_name) like 'purcha%'
+  order by rank limit 8""")(
+    lambda W: X.search(W.team_index, W.team_heads, "purcha", "team_name", W.teams_by_id, "team_id"))
+query("search_exact_behind_heads", "daily", """
+  with last as (select name from donors order by rank desc limit 1)
+  select name, rank, score, name = (select name from last) as exact from donors
+  where lower(name) like lower((select name from last)) || '%'
+  order by case when name = (select name from last) then 1 else 2 end, rank limit 8""")(
+    lambda W: _search_donors(W, W.once("last-donor", lambda: W.donors.orderBy(F.desc("rank")).select("name").first()[0])))
 query("search_teams", "daily", """
   select team_id, team_name, rank, score, false as exact from teams where lower(team_name) like 'nation_1%'
   order by rank limit 8""")(
-    lambda W: I.search(W.teams, "nation_1", "team_name", "team_id"))
+    lambda W: X.search(W.team_index, W.team_heads, "nation_1", "team_name", W.teams_by_id, "team_id"))
 query("search_team_id", "daily", """
   select team_id, team_name, rank, score, true as exact from teams where team_id = 7""")(
-    lambda W: I.search(W.teams, "7", "team_name", "team_id"))
+    lambda W: X.search(W.team_index, W.team_heads, "7", "team_name", W.teams_by_id, "team_id"))
 
 # --- rivals, compare, goals, movers, activity, changes --------------------------------
 
@@ -523,13 +545,15 @@ def history_per_day(W):
     return H.per_day(_history(W, "team", "monthly"), "monthly", W.clock.at, W.clock.first_cycle)
 
 
-@query("history_export", "daily", f"""
-  with h as ({_history_sql('project', 'monthly')})
+@query("history_export", "daily", """
+  with h as (select cast(epoch(date_trunc('month', date '1970-01-01' + cast(day as integer))) as bigint) as bucket_ts,
+                    cast(sum(points) as bigint) as points, cast(sum(wus) as bigint) as wus from tdaily group by 1)
   select strftime(to_timestamp(bucket_ts) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') as at_time, points, wus from h""")
 def history_export(W):
     from tallywind.session import new_path
     path = new_path(W.spark, "history-csv")
-    sinks.export_history(_history(W, "project", "monthly"), "monthly", path)
+    whole = H.history_range(W.clock.at, "monthly", W.clock.first_cycle - DAY)  # an export is the whole series
+    sinks.export_history(H.history(W.team_delta, W.team_daily, W.team_monthly, [], whole), "monthly", path)
     return W.spark.read.schema("at_time string, points bigint, wus bigint").option("header", True).csv(path)
 
 

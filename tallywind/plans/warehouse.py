@@ -11,7 +11,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywind.operators import diff, marts, rollups, windows
+from tallywind.operators import diff, indexes, marts, rollups, windows
+from tallywind.operators.insights import MEMBER_KEYS
+from tallywind.schemas import WEEK
 from tallywind.session import (app_dir, drop_scratch, materialize, new_path, path_exists, prepare, scratch_mark,
                                shared_dir, together)
 from tallywind.sources import adapters as A
@@ -20,6 +22,9 @@ from tallywind.streaming import cycles as C
 
 MEMBER, TEAM = diff.MEMBER, diff.TEAM
 
+#: Ranks in a file of a mart.
+FILE_RANKS = 1 << 16
+
 _OPEN: dict[tuple[str, str, str, str], "Warehouse"] = {}
 
 
@@ -50,9 +55,11 @@ class Warehouse:
 
     def _build(self, make, label: str) -> DataFrame:
         """Keep what ``make()`` returns, laid out by rank so that a page, a neighbourhood or a
-        rank range reads few row groups, and drop the numbering tables it went through."""
+        rank range reads few row groups, and drop the numbering tables it went through. Ranks
+        are dense, so their ranges are known without sampling the rows, i.e. without making them twice."""
         mark = scratch_mark()
-        out = self._keep(make().repartitionByRange("rank").sortWithinPartitions("rank"), label)
+        file_of = F.floor((F.col("rank") - 1) / FILE_RANKS)
+        out = self._keep(make().repartition(file_of).sortWithinPartitions("rank"), label)
         drop_scratch(self.spark, mark)
         return out
 
@@ -89,8 +96,9 @@ class Warehouse:
 
     def _by_time(self, delta: DataFrame, keys: list[str], label: str) -> DataFrame:
         # Ordered by time so that a window over the newest week skips the older row groups. The
-        # keys let a cycle in which everybody moved spread over several files.
-        return self._keep(delta.repartitionByRange("ts", *keys).sortWithinPartitions("ts"), label)
+        # keys let a cycle in which everybody moved spread over several files; weeks are known
+        # without sampling, so the differences are taken once.
+        return self._keep(delta.repartition(F.floor(F.col("ts") / WEEK), F.pmod(F.xxhash64(*keys), F.lit(4))).sortWithinPartitions("ts"), label)
 
     @cached_property
     def member_delta(self) -> DataFrame:
@@ -150,6 +158,24 @@ class Warehouse:
         members = self.members
         return self._build(lambda: marts.donor_mart(members, self.clock, shared), "donors")
 
+    # Copies in the order of other reads.
+    members_by_name = cached_property(lambda self: self._keep(indexes.by_key(self.members, "name", "team_id"), "members-by-name"))
+    donors_by_name = cached_property(lambda self: self._keep(indexes.by_key(self.donors, "name"), "donors-by-name"))
+    teams_by_id = cached_property(lambda self: self._keep(indexes.by_key(self.teams, "team_id"), "teams-by-id"))
+    donor_index = cached_property(lambda self: self._keep(indexes.search_index(self.donors, "name"), "donor-index"))
+    donor_heads = cached_property(lambda self: self._keep(indexes.search_heads(self.donor_index), "donor-heads"))
+    team_index = cached_property(lambda self: self._keep(indexes.search_index(self.teams, "team_name", "team_id"), "team-index"))
+    team_heads = cached_property(lambda self: self._keep(indexes.search_heads(self.team_index), "team-heads"))
+
+    @cached_property
+    def rosters(self) -> DataFrame:
+        """Rosters under all orderings, a folder per ordering."""
+        mark, path = scratch_mark(), new_path(self.spark, f"{self.world}-rosters")
+        rows = indexes.all_rosters(self.members, MEMBER_KEYS)
+        rows.sortWithinPartitions("key", "team_id", "position").write.partitionBy("key").parquet(path)
+        drop_scratch(self.spark, mark)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     @cached_property
     def groups(self) -> DataFrame:
         return A.country_groups(self.spark, self.sf_dir).unionByName(
@@ -163,7 +189,8 @@ class Warehouse:
         """Build every table a read needs; tables that do not need each other go together."""
         for step in (["feed_rows"], ["team_snapshot", "cycles", "member_delta", "member_state"],
                      ["clock"], ["team_delta", "team_state", "member_production", "member_daily"],
-                     ["members", "team_production", "team_daily", "member_monthly"], ["teams", "donors", "team_monthly"]):
+                     ["members", "team_production", "team_daily", "member_monthly"], ["teams", "donors", "team_monthly", "rosters", "members_by_name"],
+                     ["donors_by_name", "teams_by_id", "donor_index", "team_index"], ["donor_heads", "team_heads"]):
             together(*[lambda name=name: getattr(self, name) for name in step])
         return self
 
