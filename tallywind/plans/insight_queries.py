@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallywind.functions import scalars as S
-from tallywind.operators import activity, alerts, diff, history as H, indexes as X, insights as I, marts
+from tallywind.operators import activity, alerts, diff, history as H, indexes as X, insights as I, marts, sparse
 from tallywind.operators import ranking as R
 from tallywind.plans import oracle as O
 from tallywind.plans.registry import query
@@ -794,15 +794,15 @@ def _alerts(W, type, kind="team"):
         "team": lambda: (W.team_state.select(F.col("team_id").alias("target"), "first_seen"),),
         "donor": lambda: (W.member_state.groupBy(F.col("name").alias("target")).agg(F.min("first_seen").alias("first_seen")),),
     }[kind](), {type: alerts.RULES[type]})
-    return alerts.evaluate(rules, W.once(f"{kind}-readings", lambda: _readings(W, kind)))
+    return sparse.evaluate(rules, W.once(f"{kind}-changes", lambda: _changes(W, kind)), W.cycles.select("ts"))
 
 
-def _readings(W, kind):
+def _changes(W, kind):
     if kind == "team":
-        out = alerts.team_readings(W.team_snapshot, W.team_delta, W.cycles.select("ts"))
+        out = sparse.team_changes(W.team_snapshot, W.team_delta, W.cycles.select("ts"))
     else:
-        out = alerts.donor_readings(W.member_snapshot, W.member_delta, W.cycles.select("ts"))
-    return materialize(out, f"{kind}-readings")
+        out = sparse.donor_changes(W.member_snapshot, W.member_delta, W.cycles.select("ts"))
+    return materialize(out, f"{kind}-changes")
 
 
 for _type, _sql in _FIRED.items():

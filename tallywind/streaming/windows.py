@@ -6,7 +6,7 @@ so the newest bucket is visible at once. Trailing windows are read from those su
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywind.operators.windows import trailing_sums
@@ -29,10 +29,19 @@ def hourly_sums(deltas: DataFrame, keys: list[str], late: str = "2 hours") -> Da
 
 
 def rolling_sums(hours: DataFrame, keys: list[str], span: int) -> DataFrame:
-    """Sums over (ts - span, ts] at every full hour that has any, from hourly sums."""
-    ends = F.sequence(F.col("ts"), F.col("ts") + F.lit(span - HOUR), F.lit(HOUR).cast("bigint"))
-    return (hours.select(*keys, "points", F.explode(ends).alias("ts"))
-            .groupBy(*keys, "ts").agg(F.sum("points").alias("points")))
+    """Sums over (ts - span, ts] at every full hour that has any, from hourly sums.
+
+    An hour's points come in at its end and go ``span`` later, so running totals over those two
+    rows are the sums; they are spread over the hours they hold for only after all shuffles.
+    """
+    come = hours.select(*keys, "ts", "points", F.lit(1).alias("n"))
+    go = hours.select(*keys, (F.col("ts") + F.lit(span)).alias("ts"), (-F.col("points")).alias("points"), F.lit(-1).alias("n"))
+    moved = come.unionByName(go).groupBy(*keys, "ts").agg(F.sum("points").alias("points"), F.sum("n").alias("n"))
+    w = Window.partitionBy(*keys).orderBy("ts")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = moved.select(*keys, "ts", F.lead("ts").over(w).alias("until"), F.sum("points").over(upto).alias("points"), F.sum("n").over(upto).alias("n"))
+    ends = F.sequence(F.col("ts"), F.col("until") - F.lit(HOUR), F.lit(HOUR).cast("bigint"))
+    return held.filter("n > 0").select(*keys, F.explode(ends).alias("ts"), "points")
 
 
 def daily_buckets(deltas: DataFrame, keys: list[str], late: str = "2 hours") -> DataFrame:
