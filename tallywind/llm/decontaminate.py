@@ -24,6 +24,8 @@ they are kept); extra columns take no part, whatever their names; empty tables g
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ LEAST_WORDS = 5
 LEAST_HITS = 6
 #: Bytes of the benchmark's windows that may be broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Different words of the benchmark up to which windows with other words are left out before they are hashed.
+FILTER_WORDS = 20_000
 
 _SLOT, _POINT = "\ue000", "\ue001"
 # Units of measure, time and money that follow a number.
@@ -42,65 +46,95 @@ UNITS = ("km kg cm mm mg ml lb lbs oz ft mi mph kmh m g l s ms h hr hrs min mins
          "kb mb gb tb hz khz mhz ghz w kw v c f").split()
 _UNIT = "(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + ")"
 _APART = rf"[^\p{{L}}\p{{M}}\p{{N}}{_POINT}]+"
-_LONGEST_UNIT = max(map(len, UNITS))
-_PAIRS = "array<struct<at:int,type:string,item:string,doc:string>>"
+_PAIRS = "array<struct<at:int,type:string,item:bigint,doc:bigint>>"
 
 
 def words(text: Column) -> Column:
     """Words of a text; a number with decimals is one, its unit another."""
     plain = F.when(F.contains(text, F.lit(_SLOT)) | F.contains(text, F.lit(_POINT)),
                    F.translate(text, _SLOT + _POINT, "  ")).otherwise(text)
-    apart = F.regexp_replace(F.regexp_replace(plain, r"(?<=[0-9])[.,](?=[0-9])", _POINT),
-                             rf"(?<=[0-9])(?=(?i:{_UNIT})(?![\p{{L}}\p{{N}}]))", " ")
+    # Patterns begin with the rare character, which is what a scan tests at every place.
+    apart = F.regexp_replace(F.regexp_replace(plain, r"[.,](?=[0-9])(?<=[0-9].)", _POINT),
+                             rf"([0-9])(?=(?i:{_UNIT})(?![\p{{L}}\p{{N}}]))", "$1 ")
     return F.array_remove(F.split(F.when(plain.rlike("[0-9]"), apart).otherwise(plain), _APART), "")
 
 
 def _number(w: Column) -> Column:
-    return (w >= "0") & (w < ":") & (F.translate(w, f"0123456789{_POINT}", "") == "")
+    return (w < ":") & (w >= "0") & (F.translate(w, f"0123456789{_POINT}", "") == "")
 
 
-def typed(raw: Column, folded: Column) -> Column:
-    """The template words: placeholders for numbers, their units and names, else the folded word."""
+def _typed(raw: Column, folded: Column, mark, word) -> Column:
+    """For each word ``mark(type)`` if it is a number, its unit or a name, else ``word(i)``. The
+    tests go from cheap to dear: most words fail the first comparison of each."""
 
     def of(w: Column, i: Column) -> Column:
         low = F.get(folded, i)
-        named = (F.substring(w, 1, 1) != F.substring(low, 1, 1)) & (F.substring(w, 2, 1) != F.upper(F.substring(w, 2, 1)))
-        unit = low.isin(UNITS) & F.coalesce(_number(F.get(raw, i - 1)), F.lit(False))
-        return (F.when(_number(w), f"{_SLOT}n").when((F.length(low) <= _LONGEST_UNIT) & unit, f"{_SLOT}u")
-                .when((w != low) & named, f"{_SLOT}a").otherwise(low))
+        unit = F.coalesce(_number(F.get(raw, i - 1)), F.lit(False)) & low.isin(UNITS)
+        named = (w != low) & (F.substring(w, 1, 1) != F.substring(low, 1, 1)) & (F.substring(w, 2, 1) != F.upper(F.substring(w, 2, 1)))
+        return F.when(_number(w), mark("n")).when(unit, mark("u")).when(named, mark("a")).otherwise(word(i))
 
     return F.transform(raw, of)
 
 
-def windows(docs: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """(key, pos, size, hash, slots) of each window; slots: the folded words at the window's
-    places if the hash is that of a template with a placeholder, else null."""
-    base = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), words(text_of()).alias("raw"))
-    base = base.withColumn("folded", F.transform("raw", F.lower)).withColumn("typed", typed(F.col("raw"), F.col("folded")))
-    base = base.select("key", "folded", F.transform("typed", lambda w: F.xxhash64(w)).alias("t"), F.transform("folded", lambda w: F.xxhash64(w)).alias("f"))
-    marks = F.array(*[F.xxhash64(F.lit(f"{_SLOT}{k}")) for k in "nua"])
-    none = F.lit(None).cast("array<string>")
-    kind = "array<struct<pos:int,size:int,hash:bigint,slots:array<string>>>"
+def typed(raw: Column, folded: Column) -> Column:
+    """The template words: placeholders for numbers, their units and names, else the folded word."""
+    return _typed(raw, folded, lambda k: F.lit(f"{_SLOT}{k}"), lambda i: F.get(folded, i))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once. As a plain column it would be put into the
+    lambdas that use it, evaluated per element, or become a packed array, copied per slice."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    def of(size: int) -> Column:
-        def at(i: Column) -> Column:
-            def window(hashes: str, slots: Column) -> Column:
-                return F.struct(i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(F.slice(hashes, i + 1, size), F.lit(size)).alias("hash"), slots.alias("slots"))
 
-            marked = F.arrays_overlap(F.slice("t", i + 1, size), marks)
-            return F.when(marked, F.array(window("t", F.slice("folded", i + 1, size)), window("f", none))).otherwise(F.array(window("t", none)))
+def vocabulary(benchmark: DataFrame) -> list[int] | None:
+    """Hashes of all words and template words of the items; None if there are more than
+    FILTER_WORDS, in which case every window is hashed and joined."""
+    both = _let(words(text_of()), lambda raw: _let(F.transform(raw, F.lower), lambda low: F.array_union(typed(raw, low), low)))
+    found = benchmark.select(F.explode(both).alias("w")).select(F.xxhash64("w").alias("h")).distinct().limit(FILTER_WORDS + 1).collect()
+    return None if len(found) > FILTER_WORDS else [r["h"] for r in found]
 
-        return F.when(F.size("t") >= size, F.flatten(F.transform(F.sequence(F.lit(0), F.size("t") - size), at))).otherwise(F.array().cast(kind))
 
-    every = of(sizes[0]) if len(sizes) == 1 else F.concat(*[of(s) for s in sizes])
-    return base.select("key", F.explode(every).alias("w")).select(F.col("key").alias(key), "w.pos", "w.size", "w.hash", "w.slots")
+def windows(docs: DataFrame, key: str, sizes: list[int], among: list[int] | None = None) -> DataFrame:
+    """(key, pos, size, hash, slots) of each window; slots: hashes of the folded words at the
+    window's places if the hash is that of a template with a placeholder, else null. With
+    ``among`` only of windows all of whose words are among these hashes: no other can be hit."""
+    kind = "array<struct<pos:int,size:int,t:bigint,f:bigint,slots:array<bigint>>>"
+
+    def of(h: Column, size: int) -> Column:
+        def at(i: Column) -> Column:
+            t, f = F.slice(h["t"], i + 1, size), F.slice(h["f"], i + 1, size)
+            return _let(F.struct(F.xxhash64(t, F.lit(size)).alias("t"), F.xxhash64(f, F.lit(size)).alias("f")), lambda x: F.struct(
+                i.alias("pos"), F.lit(size).alias("size"), x["t"].alias("t"), x["f"].alias("f"), F.when(x["t"] != x["f"], f).alias("slots")))
+
+        n = F.size(h["t"])
+        starts = F.sequence(F.lit(0), n - size)
+        if among is not None:
+            starts = F.filter(starts, lambda i: reduce(lambda a, b: a & b, [F.get(h["ok"], i + k) for k in range(size)]))
+        return F.when(n >= size, F.transform(starts, at)).otherwise(F.array().cast(kind))
+
+    def hashes(raw: Column, folded: Column) -> Column:
+        mark = lambda k: F.xxhash64(F.lit(f"{_SLOT}{k}"))
+        known = lambda t, f: F.lit(None) if among is None else F.transform(f, lambda x, i: x.isin(among) | F.get(t, i).isin(among))
+        return _let(F.transform(folded, lambda w: F.xxhash64(w)), lambda f: _let(
+            _typed(raw, folded, mark, lambda i: F.get(f, i)), lambda t: F.struct(t.alias("t"), f.alias("f"), known(t, f).alias("ok"))))
+
+    every = _let(words(text_of()), lambda raw: _let(F.transform(raw, F.lower), lambda folded: _let(
+        hashes(raw, folded), lambda h: of(h, sizes[0]) if len(sizes) == 1 else F.concat(*[of(h, s) for s in sizes]))))
+    at = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.explode(every).alias("w")).select("key", "w.*")
+    # A window without a placeholder has one hash, another two: its template's and its words'.
+    own = F.struct(F.col("t").alias("hash"), "slots")
+    plain = F.struct(F.col("f").alias("hash"), F.lit(None).cast("array<bigint>").alias("slots"))
+    kinds = F.when(F.col("t") == F.col("f"), F.array(own)).otherwise(F.array(own, plain))
+    return at.select("key", "pos", "size", F.explode(kinds).alias("k")).select(F.col("key").alias(key), "pos", "size", "k.hash", "k.slots")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """Windows of the items: of eight words, or the whole of a shorter item; ``item_types`` are
     their template words where they have slots."""
-    base = benchmark.filter("item_id IS NOT NULL").select("item_id", words(text_of()).alias("raw"))
-    base = base.withColumn("folded", F.transform("raw", F.lower)).withColumn("typed", typed(F.col("raw"), F.col("folded")))
+    both = _let(words(text_of()), lambda raw: _let(F.transform(raw, F.lower), lambda low: F.struct(
+        raw.alias("raw"), low.alias("folded"), typed(raw, low).alias("typed"))))
+    base = benchmark.filter("item_id IS NOT NULL").select("item_id", F.explode(F.array(both)).alias("w")).select("item_id", "w.*")
     size = F.least(F.lit(WINDOW), F.size("raw"))
     base = base.filter(F.size("raw") >= LEAST_WORDS).withColumn("size", size)
     at = base.select("item_id", "size", "folded", "typed", (F.size("raw") - size + 1).alias("item_windows"),
@@ -109,9 +143,10 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     slots = F.size(F.filter("typed", lambda w: F.startswith(w, F.lit(_SLOT))))
     hashed = lambda c: F.xxhash64(F.transform(c, lambda w: F.xxhash64(w)), F.col("size"))
     plain = at.select("item_id", "item_pos", "size", "item_windows", hashed("folded").alias("hash"),
-                      F.lit(None).cast("array<string>").alias("item_types"), F.lit(None).cast("array<string>").alias("item_slots"))
+                      F.lit(None).cast("array<string>").alias("item_types"), F.lit(None).cast("array<bigint>").alias("item_slots"))
     marked = at.filter((slots > 0) & (2 * slots <= F.col("size"))).select(
-        "item_id", "item_pos", "size", "item_windows", hashed("typed").alias("hash"), F.col("typed").alias("item_types"), F.col("folded").alias("item_slots"))
+        "item_id", "item_pos", "size", "item_windows", hashed("typed").alias("hash"), F.col("typed").alias("item_types"),
+        F.transform("folded", lambda w: F.xxhash64(w)).alias("item_slots"))
     return plain.unionByName(marked).distinct()
 
 
@@ -125,8 +160,8 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Windows of the documents that stand in an item."""
     items = store(item_windows(benchmark), "decon-items")
     sizes = sorted((r["size"] for r in items.select("size").distinct().collect()), reverse=True) or [WINDOW]  # four at most
-    width = F.coalesce(F.octet_length(F.array_join("item_types", "")) + F.octet_length(F.array_join("item_slots", "")), F.lit(0))
-    found = windows(docs, "doc_id", sizes).join(_small(items, width), ["hash", "size"])
+    width = F.coalesce(F.octet_length(F.array_join("item_types", "")) + 8 * F.size("item_slots"), F.lit(0))
+    found = windows(docs, "doc_id", sizes, vocabulary(benchmark)).join(_small(items, width), ["hash", "size"])
     # A hash of folded words and one of a template are equal only where the item has no slots.
     return found.filter(F.col("slots").isNull() == F.col("item_slots").isNull())
 
