@@ -1,6 +1,6 @@
 """The snapshot archive by feed, date and time, and a stream of what it holds in its own order.
 
-``root/<feed>/date=YYYY-MM-DD/snapshot_ts=N/`` holds one snapshot, ``root/meta/date=...`` a row
+``root/<feed>/date=YYYY-MM-DD/snapshot_ts=N/`` holds one snapshot, ``root/meta/<feed>/date=...`` a row
 per snapshot (feed, snapshot_ts, row_count, digest, malformed), written with it. The file source
 of Spark hands files over by the time they were written; here the offset of a stream is the
 snapshot's own time, so that a backfill in any order is applied in the right one, and only the
@@ -50,7 +50,8 @@ def write_archive(rows: DataFrame, feed: str, root: str, meta: DataFrame | None
     dated.repartition("snapshot_ts").write.mode("append").partitionBy("date", "snapshot_ts").parquet(f"{root}/{feed}")
     meta = snapshot_meta(rows, feed) if meta is None else meta
     meta = meta.withColumn("date", S.day_date(S.day_index("snapshot_ts")).cast("string"))
-    meta.repartition("date").write.mode("append").partitionBy("date").parquet(f"{root}/meta")
+    # A folder per feed: writers of the two feeds do not share a commit.
+    meta.repartition("date").write.mode("append").partitionBy("date").parquet(f"{root}/meta/{feed}")
 
 
 def read_feed(spark: SparkSession, root: str, feed: str, dates: list[str]) -> DataFrame:
@@ -64,7 +65,7 @@ def read_feed(spark: SparkSession, root: str, feed: str, dates: list[str]) -> Da
 
 def read_meta(spark: SparkSession, root: str, dates: list[str]) -> DataFrame:
     """One row per snapshot on some dates; of several the first in order of their values."""
-    paths = [p for p in (f"{root}/meta/date={d}" for d in dates) if path_exists(spark, p)]
+    paths = [p for p in (f"{root}/meta/{feed}/date={d}" for feed in FEEDS for d in dates) if path_exists(spark, p)]
     if not paths:
         return spark.createDataFrame([], META)
     rows = spark.read.schema(META).parquet(*paths)
