@@ -4,8 +4,11 @@ A character trigram model is counted over all documents. A word written with dig
 for letters, with separators between its letters or with letters repeated is a lattice: at each
 written character the intended one may be itself, a letter it stands for, or nothing (a
 separator, a repetition). The Viterbi path of least cost under the trigram model and the
-channel's costs is the restored word. A word of letters alone, none three times in a row, has
-one path, itself. The restored text is scored by a logistic model on words and word beginnings,
+channel's costs is the restored word. Every token with a doubled letter or a character that
+stands for a letter is decoded, also one of symbols alone. In letters spaced out by blanks of any
+width or line breaks, and in neighbouring short fragments, a gap may also be the end of a word. A
+word of letters alone, none doubled, has one path, itself. Written words stay beside the restored
+ones. The restored text is scored by a logistic model on words and word beginnings,
 learned from a bounded sample of labelled documents outside the held-out fifth.
 
 Counts of the trigram model go through map-side sums into a table bounded by the alphabet; the
@@ -13,8 +16,10 @@ lattices and the scores are per document, so no group can be hot.
 
 Defined cases: null text is empty; an empty text has the score of a text without any feature;
 without both labels to learn from, the score is the labels' prevalence, or 0; labels that are
-null, of unknown documents or of null doc_id are passed over; repeated rows are scored alike;
-an empty table gives an empty result.
+null, of unknown documents or of null doc_id are passed over; of several texts of one labelled
+doc_id the least is learned from; repeated rows are scored alike; texts are decoded token by
+token, so very long ones need no more than their different tokens in memory; other columns, also
+of the same names as the result's, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,8 +54,11 @@ SEPARATORS = " .-_*~'/,·"
 SUBSTITUTION, SEPARATION, REPETITION = 0.7, 0.3, 1.0
 
 _EDGE = "\"'`´.,;:!?()[]{}<>«»„“”‘’…%&#*_~^=/\\|-–—+$@€"
-_THRICE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<![\w$@])(?:[\w$@!][ .\-_*~]){2,}[\w$@!](?![\w$@])")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_SPACED = re.compile(r"(?<![\w$@])(?:[\w$@!][\s.\-_*~]+){2,}[\w$@!](?![\w$@])")
+_WRITTEN = frozenset(ALPHABET) | frozenset(STANDS_FOR)
+#: Letters of a fragment that may belong to a word cut by a blank.
+FRAGMENT = 4
 _CACHE = 100_000
 
 
@@ -106,20 +114,23 @@ class Decoder:
         self.cost = cost.tolist()
         self.known: dict[str, str] = {}
 
-    def __call__(self, word: str) -> str:
-        out = self.known.get(word)
+    def __call__(self, word: str, ends: bool = False) -> str:
+        """The restored word; with ``ends``, a blank inside may also be the end of a word."""
+        key = (word, ends) if ends else word
+        out = self.known.get(key)
         if out is None:
             if len(self.known) >= _CACHE:
                 self.known.clear()
-            out = self.known[word] = self._decode(word)
+            out = self.known[key] = self._decode(word, ends)
         return out
 
-    def _decode(self, word: str) -> str:
+    def _decode(self, word: str, ends: bool) -> str:
         paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         before = ""
         for c in word:
             letters = [(c, 0.0)] if c in _LETTER else [(x, SUBSTITUTION) for x in STANDS_FOR.get(c, "")]
-            skip = [x for x, may in ((SEPARATION, c in SEPARATORS), (REPETITION, c == before), (3.0, not letters)) if may]
+            between = c in SEPARATORS or c.isspace()
+            skip = [x for x, may in ((SEPARATION, between), (REPETITION, c == before), (3.0, not letters)) if may]
             best: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (spent, path) in paths.items():
                 if skip:
@@ -127,12 +138,16 @@ class Decoder:
                     if (a, b) not in best or total < best[a, b][0]:
                         best[a, b] = (total, path)
                 row = self.cost[a][b]
+                if ends and b and c.isspace():
+                    total = spent + row[0]
+                    if (b, 0) not in best or total < best[b, 0][0]:
+                        best[b, 0] = (total, (path, " "))
                 for letter, extra in letters:
                     i = _LETTER[letter]
                     total = spent + row[i] + extra
                     if (b, i) not in best or total < best[b, i][0]:
                         best[b, i] = (total, (path, letter))
-            if c not in SEPARATORS:
+            if not between:
                 before = c
             paths = best
         _, path = min((spent + self.cost[a][b][0], path) for (a, b), (spent, path) in paths.items())
@@ -147,24 +162,45 @@ def restored_words(text: str, decode: Decoder) -> set[str]:
     """The different words of the restored text, lower case."""
     text = text.lower()
     words = set()
-    for raw in set(text.split()):
+    tokens = text.split()
+    for raw in set(tokens):
         core = raw.strip(_EDGE)
         if core.isalpha():
-            words.add(decode(core) if _THRICE.search(core) else core)
-        elif core:
-            # letters at the edge may be written as symbols
-            while raw and raw[-1] in _EDGE and (raw[-1] not in STANDS_FOR or raw[-2:-1] == raw[-1:] or raw[-1] in "!|+"):
-                raw = raw[:-1]
-            raw = raw.lstrip("".join(set(_EDGE) - set(STANDS_FOR)))
-            if any(c.isalpha() for c in raw):
-                words.add(decode(raw))
-            words.update(w for w in re.split(r"[\W\d_]+", core) if len(w) > 1)
+            words.add(core)
+            if _DOUBLE.search(core):
+                words.add(decode(core))
+        if len(core) < len(raw) or not core.isalpha():
+            words.update(_disguised(raw, core, decode))
+    for pair in set(zip(tokens, tokens[1:])):
+        if len(pair[0]) <= FRAGMENT + 2 and len(pair[1]) <= FRAGMENT + 2:
+            first, second = (t.strip(_EDGE) for t in pair)
+            if 0 < len(first) <= FRAGMENT and 0 < len(second) <= FRAGMENT and len(first) + len(second) > FRAGMENT \
+                    and not (first.isdigit() or second.isdigit()) and _WRITTEN.issuperset(first + second):
+                words.update(decode(f"{first} {second}", ends=True).split())
     for found in _SPACED.finditer(text):
         words.add(decode(found.group()))
+        words.update(decode(found.group(), ends=True).split())
     words.discard("")
     return words
 
 
+def _disguised(raw: str, core: str, decode: Decoder) -> set[str]:
+    """Readings of a token with other characters than letters."""
+    words = set()
+    if len(raw) > 2 and raw[0] in STANDS_FOR and _WRITTEN.issuperset(raw):
+        words.add(decode(raw))  # symbols alone, or one for the first letter
+    # letters at the edge may be written as symbols
+    while raw and raw[-1] in _EDGE and (raw[-1] not in STANDS_FOR or raw[-2:-1] == raw[-1:] or raw[-1] in "!|+"):
+        raw = raw[:-1]
+    raw = raw.lstrip("".join(set(_EDGE) - set(STANDS_FOR)))
+    if raw != core or not core.isalpha():
+        if any(c in _WRITTEN for c in raw):
+            words.add(decode(raw))
+    if not core.isalpha():
+        words.update(w for w in re.split(r"[\W\d_]+", core) if len(w) > 1)
+    return words
+
+
 def features_of(words: set[str]) -> set[str]:
     """A word and its beginnings; beginnings end in a star."""
     return words | {w[:n] + "*" for n in PREFIXES for w in words if len(w) > n}
@@ -246,7 +282,10 @@ def learn(docs: DataFrame, labels: DataFrame, cost: np.ndarray, sample: int = SA
     known = (labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("y IN (0, 1)").filter(~is_held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     known = store(known, "toxic-known")  # at most ``sample`` rows of two numbers
-    rows = store(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y"), "toxic-rows")
+    rows = (docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+            .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))  # repeated rows count once
+            .select("text", "y", "doc_id"))
+    rows = store(rows, "toxic-rows")
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")).first()
     if not n["n"]:
         return {}, -30.0
@@ -254,7 +293,7 @@ def learn(docs: DataFrame, labels: DataFrame, cost: np.ndarray, sample: int = SA
         return {}, 30.0 if n["toxic"] else -30.0
     toxic, clean = float(n["toxic"]), float(n["n"] - n["toxic"])
     ratio = F.log((F.col("n_toxic") + 0.2) / (toxic + 0.4)) - F.log((F.col("n") - F.col("n_toxic") + 0.2) / (clean + 0.4))
-    chosen = (rows.repartition(F.xxhash64("text")).mapInArrow(_count_features(cost), "feature string, n long, n_toxic long")
+    chosen = (rows.repartition(F.xxhash64("doc_id")).mapInArrow(_count_features(cost), "feature string, n long, n_toxic long")
               .groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
               .withColumn("ratio", ratio).filter((F.col("n_toxic") >= 4) & (F.col("ratio") > 1.5))
               .orderBy(F.desc(F.col("ratio") * F.sqrt("n_toxic")), "feature").limit(FEATURES).select("feature").toPandas())

@@ -443,6 +443,20 @@ def test_decoder_restores_words():
     assert toxicity.restored_words("", decode) == set()
 
 
+def test_every_disguised_token_is_decoded():
+    n = toxicity.count_trigrams(["you are an idiot and a clown they said with moron pass the class as usual"] * 50).astype(float)
+    decode = toxicity.Decoder(toxicity.costs(n))
+    read = lambda text: toxicity.restored_words(text, decode)
+    for text in ("iiddiioott", "mmoroon", "such an id iot", "i  d  i  o  t", "i d\ni o\tt", "c l o w n   i d i o t", "1 d 1 0 t", "$uch a m-o-r-o-n",
+                 "m0r0n!!", "|d|0t", "(lown"):
+        assert read(text) & {"idiot", "moron", "clown"}, text
+    assert {"clown", "idiot"} <= read("c l o w n   i d i o t")
+    assert "ass" in read("what an @$$") and "ass" in read("455")
+    # written words stay beside the restored ones
+    assert {"pass", "class", "they"} <= read("They pass, the class.")
+    assert read("they said") == {"they", "said"} and read("!!! ... ,,") <= {"i", "il", "ill", "l", "li"}
+
+
 def test_toxicity_learns_and_scores_all_rows(spark):
     rng = random.Random(6)
     rows, labels = [], []
