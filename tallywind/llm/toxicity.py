@@ -54,6 +54,7 @@ SEPARATORS = " .-_*~'/,·"
 SUBSTITUTION, SEPARATION, REPETITION = 0.7, 0.3, 1.0
 
 _EDGE = "\"'`´.,;:!?()[]{}<>«»„“”‘’…%&#*_~^=/\\|-–—+$@€"
+_PLAIN = "".join(c for c in _EDGE if c not in STANDS_FOR)
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _SPACED = re.compile(r"(?<![\w$@])(?:[\w$@!][\s.\-_*~]+){2,}[\w$@!](?![\w$@])")
 _WRITTEN = frozenset(ALPHABET) | frozenset(STANDS_FOR)
@@ -113,6 +114,9 @@ class Decoder:
     def __init__(self, cost: np.ndarray) -> None:
         self.cost = cost.tolist()
         self.known: dict[str, str] = {}
+        self.tokens: dict[str, tuple[str, ...]] = {}  # words of a written token
+        self.fragments: dict[str, str] = {}  # short tokens, without marks at their edges
+        self.pairs: dict[tuple[str, str], tuple[str, ...]] = {}  # words of neighbouring fragments
 
     def __call__(self, word: str, ends: bool = False) -> str:
         """The restored word; with ``ends``, a blank inside may also be the end of a word."""
@@ -124,6 +128,66 @@ class Decoder:
             out = self.known[key] = self._decode(word, ends)
         return out
 
+    def read(self, tokens: list[str]) -> set[str]:
+        """Words of the tokens of a text, one by one and in pairs of neighbouring fragments."""
+        for cache in (self.tokens, self.pairs):
+            if len(cache) >= _CACHE:
+                cache.clear()
+        if not self.tokens:
+            self.fragments.clear()
+        words: set[str] = set()
+        for raw in set(tokens):
+            found = self.tokens.get(raw)
+            if found is None:
+                found = self.tokens[raw] = tuple(self._token(raw))
+            words.update(found)
+        near = list(map(self.fragments.get, tokens))
+        for pair in set(zip(near, near[1:])):
+            if None in pair:
+                continue
+            found = self.pairs.get(pair)
+            if found is None:
+                found = self.pairs[pair] = self._rejoined(*pair)
+            words.update(found)
+        return words
+
+    def _token(self, raw: str) -> set[str]:
+        core = raw.strip(_EDGE)
+        if 0 < len(core) <= FRAGMENT and _WRITTEN.issuperset(core) and not core.isdigit():
+            self.fragments[raw] = core
+        words = set()
+        if core.isalpha():
+            words.add(core)
+            if _DOUBLE.search(core):
+                words.add(self(core))
+            if raw.strip(_PLAIN) == core:
+                return words
+        else:
+            words.update(w for w in re.split(r"[\W\d_]+", core) if len(w) > 1)
+        if len(raw) > 2 and raw[0] in STANDS_FOR and _WRITTEN.issuperset(raw):
+            words.add(self(raw))  # symbols alone, or one for the first letter
+        # letters at the edge may be written as symbols
+        while raw and raw[-1] in _EDGE and (raw[-1] not in STANDS_FOR or raw[-2:-1] == raw[-1:] or raw[-1] in "!|+"):
+            raw = raw[:-1]
+        raw = raw.lstrip(_PLAIN)
+        if raw != core or not core.isalpha():
+            if any(c in _WRITTEN for c in raw):
+                words.add(self(raw))
+        return words
+
+    def _rejoined(self, first: str, second: str) -> tuple[str, ...]:
+        """Words of two fragments. Between letters the path differs at the seam alone."""
+        if len(first) + len(second) <= FRAGMENT:
+            return ()
+        if not (first.isalpha() and second.isalpha()):
+            return tuple(self(f"{first} {second}", ends=True).split())
+        a, b = (_LETTER[first[-2]] if len(first) > 1 else 0), _LETTER[first[-1]]
+        c, d = _LETTER[second[0]], (_LETTER[second[1]] if len(second) > 1 else 0)
+        cost = self.cost
+        if SEPARATION + cost[a][b][c] + cost[b][c][d] < cost[a][b][0] + cost[b][0][c] + cost[0][c][d]:
+            return (first + second,)
+        return ()
+
     def _decode(self, word: str, ends: bool) -> str:
         paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         before = ""
@@ -161,22 +225,7 @@ class Decoder:
 def restored_words(text: str, decode: Decoder) -> set[str]:
     """The different words of the restored text, lower case."""
     text = text.lower()
-    words = set()
-    tokens = text.split()
-    for raw in set(tokens):
-        core = raw.strip(_EDGE)
-        if core.isalpha():
-            words.add(core)
-            if _DOUBLE.search(core):
-                words.add(decode(core))
-        if len(core) < len(raw) or not core.isalpha():
-            words.update(_disguised(raw, core, decode))
-    for pair in set(zip(tokens, tokens[1:])):
-        if len(pair[0]) <= FRAGMENT + 2 and len(pair[1]) <= FRAGMENT + 2:
-            first, second = (t.strip(_EDGE) for t in pair)
-            if 0 < len(first) <= FRAGMENT and 0 < len(second) <= FRAGMENT and len(first) + len(second) > FRAGMENT \
-                    and not (first.isdigit() or second.isdigit()) and _WRITTEN.issuperset(first + second):
-                words.update(decode(f"{first} {second}", ends=True).split())
+    words = decode.read(text.split())
     for found in _SPACED.finditer(text):
         words.add(decode(found.group()))
         words.update(decode(found.group(), ends=True).split())
@@ -184,23 +233,6 @@ def restored_words(text: str, decode: Decoder) -> set[str]:
     return words
 
 
-def _disguised(raw: str, core: str, decode: Decoder) -> set[str]:
-    """Readings of a token with other characters than letters."""
-    words = set()
-    if len(raw) > 2 and raw[0] in STANDS_FOR and _WRITTEN.issuperset(raw):
-        words.add(decode(raw))  # symbols alone, or one for the first letter
-    # letters at the edge may be written as symbols
-    while raw and raw[-1] in _EDGE and (raw[-1] not in STANDS_FOR or raw[-2:-1] == raw[-1:] or raw[-1] in "!|+"):
-        raw = raw[:-1]
-    raw = raw.lstrip("".join(set(_EDGE) - set(STANDS_FOR)))
-    if raw != core or not core.isalpha():
-        if any(c in _WRITTEN for c in raw):
-            words.add(decode(raw))
-    if not core.isalpha():
-        words.update(w for w in re.split(r"[\W\d_]+", core) if len(w) > 1)
-    return words
-
-
 def features_of(words: set[str]) -> set[str]:
     """A word and its beginnings; beginnings end in a star."""
     return words | {w[:n] + "*" for n in PREFIXES for w in words if len(w) > n}
