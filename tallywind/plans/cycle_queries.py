@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywind.operators import diff, insights as I, marts
 from tallywind.plans.registry import query
+from tallywind.plans.warehouse import RETAINED
 
 M, T = diff.MEMBER, diff.TEAM
 
@@ -83,3 +84,30 @@ for _k in ("per_day", "lifetime"):
 query("ingested_member_ranks", "ingested", """
   select name, team_id, rank as rank_global, tie as tie_global, rank_in_team, rank_change_24h from members""")(
     lambda W: marts.member_view(W.members).select(*M, "rank_global", "tie_global", "rank_in_team", "rank_change_24h"))
+
+
+# --- after retention ------------------------------------------------------------------
+
+_RAW_FLOOR = f"(select max(ts) // 86400 - {RETAINED['raw']} from judged)"
+
+
+@query("retained_member_monthly", "retained", """
+  with k as (select name, team_id, date '1970-01-01' + cast(day as integer) as d, points, wus from mdaily)
+  select name, team_id, strftime(d, '%Y-%m') as month, cast(sum(points) as bigint) as points, cast(sum(wus) as bigint) as wus
+  from k group by all""")
+def retained_member_monthly(W):
+    """Months are whole, though deltas and days they came from are gone."""
+    return _named_months(W.store.read("member_monthly"))
+
+
+@query("retained_member_deltas", "retained", f"""
+  select name, team_id, ts, d_score, d_wu from mdelta where ts // 86400 >= {_RAW_FLOOR}""")
+def retained_member_deltas(W):
+    return W.store.read("member_delta")
+
+
+@query("retained_member_daily", "retained", f"""
+  with f as (select date_trunc('month', date '1970-01-01' + cast(max(ts) // 86400 - {RETAINED['daily']} as integer)) as d from judged)
+  select name, team_id, day, points, wus from mdaily, f where day >= date_diff('day', date '1970-01-01', cast(f.d as date))""")
+def retained_member_daily(W):
+    return W.store.read("member_daily")

@@ -224,7 +224,7 @@ def prelude(world: str) -> str:
             .replace("{wincols}", ", ".join(f"coalesce({c}, 0) as {c}" for c in WINCOLS))
             .replace("{sumcols}", ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in WINCOLS))
             .replace("{shared}", "20" if world == "daily" else "50"))
-    if world == "ingested":
+    if world in ("ingested", "retained"):
         feeds = _FEEDS.replace("tsnap as (", "tfeed as (") + _INGESTED
         return "with" + base + feeds + rest.replace("cycles as (select distinct snapshot_ts as ts from mraw)", "cycles as (select ts from good)")
     return "with" + base + _FEEDS + raw + rest

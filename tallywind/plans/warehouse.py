@@ -19,12 +19,16 @@ from tallywind.session import (app_dir, drop_scratch, materialize, new_path, pat
 from tallywind.sources import adapters as A
 from tallywind.sources import snapshots
 from tallywind.streaming import cycles as C
+from tallywind.streaming import retention as R
 
 MEMBER, TEAM = diff.MEMBER, diff.TEAM
 
 #: Ranks in a file of a mart.
 FILE_RANKS = 1 << 16
 
+#: Days the world ``retained`` keeps.
+RETAINED = {"raw": 3, "daily": 7, "archive": 2}
+
 _OPEN: dict[tuple[str, str, str, str], "Warehouse"] = {}
 
 
@@ -33,12 +37,12 @@ def open_warehouse(spark: SparkSession, sf_dir: str, world: str) -> "Warehouse":
     prepare(spark)
     key = (spark.sparkContext.applicationId, shared_dir(spark), str(sf_dir), world)
     if key not in _OPEN or not path_exists(spark, app_dir(spark)):
-        _OPEN[key] = (IngestedWarehouse if world == "ingested" else Warehouse)(spark, str(sf_dir), world)
+        _OPEN[key] = {"ingested": IngestedWarehouse, "retained": RetainedWarehouse}.get(world, Warehouse)(spark, str(sf_dir), world)
     return _OPEN[key]
 
 
 class Warehouse:
-    """``world`` names the feed adapter: hourly, daily, corrections, split, forged or ingested."""
+    """``world`` names the feed adapter: hourly, daily, corrections, split, forged, ingested or retained."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, world: str):
         self.spark, self.sf_dir, self.world = spark, sf_dir, world
@@ -74,7 +78,7 @@ class Warehouse:
     @cached_property
     def raw_member_snapshot(self) -> DataFrame:
         feed = A.member_feed(self.feed_rows)
-        return {"split": A.split_rows, "forged": A.forge_rows, "ingested": A.forge_rows}.get(self.world, lambda f: f)(feed)
+        return {"split": A.split_rows, "forged": A.forge_rows, "ingested": A.forge_rows, "retained": A.forge_rows}.get(self.world, lambda f: f)(feed)
 
     @cached_property
     def team_snapshot(self) -> DataFrame:
@@ -224,8 +228,7 @@ class StoreWarehouse(Warehouse):
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _table(self, name: str) -> DataFrame:
-        rows = self.store.parts(name, self.commit["tables"].get(name))
-        return rows.drop("day") if name in C.APPENDED else rows
+        return self.store.rows(name, self.commit)
 
     def _state(self, kind: str) -> DataFrame:
         rows = self.store.state(kind, self.commit)
@@ -277,8 +280,21 @@ class IngestedWarehouse(StoreWarehouse):
         feeds = {"user": A.spoil_rows(self.raw_member_snapshot), "team": A.published_teams(self.team_snapshot)}
         together(*[lambda feed=feed, rows=rows: snapshots.write_archive(rows, feed, root, A.spoil_meta(snapshots.snapshot_meta(rows, feed)))
                    for feed, rows in feeds.items()])
-        return C.ingest_cycles(self.spark, root, out, new_path(self.spark, "cycle-checkpoint"), cycles_per_trigger=400, tolerance=A.FORGED_POINTS // 2)
+        return C.ingest_cycles(self.spark, root, out, new_path(self.spark, "cycle-checkpoint"), cycles_per_trigger=400,
+                               tolerance=A.FORGED_POINTS // 2, publish=self.after_commit(root))
+
+    def after_commit(self, root: str):
+        """What the ingest runs after each commit."""
+        return None
 
     # The feeds themselves are adapters' tables.
     def _keep(self, df: DataFrame, label: str) -> DataFrame:
         return materialize(df, f"{self.world}-{label}") if label in ("feed-rows", "team-feed") else super()._keep(df, label)
+
+
+class RetainedWarehouse(IngestedWarehouse):
+    """The world ``retained``: as ``ingested``, with retention carried out after every commit."""
+
+    def after_commit(self, root: str):
+        return lambda store, newest: R.retain(store, root, newest, raw_days=RETAINED["raw"], daily_days=RETAINED["daily"],
+                                              archive_days=RETAINED["archive"])

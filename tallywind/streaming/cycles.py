@@ -49,6 +49,8 @@ APPENDED = {
     **{f"{k}_delta": f"{_KEY[k]}, ts bigint, d_score bigint, d_wu bigint" for k in KEYS},
     "member_state": f"{_KEY['member']}, {_TOTALS}", "team_state": f"{_KEY['team']}, team_name string, {_TOTALS}",
 }
+#: Tables retention cuts by day.
+RAW = [f"{k}_delta" for k in KEYS]
 #: Tables of which a batch replaces whole buckets.
 BUCKETED = {
     **{f"{k}_daily": ("day", f"{_KEY[k]}, points bigint, wus bigint") for k in KEYS},
@@ -98,6 +100,13 @@ class CycleStore:
         names = [n for n in names if n.endswith(".json") and not n.startswith((".", "_"))]
         return self._load(f"{self.out}/_{name}/{names[-1]}") if names else None
 
+    def manifests(self, keep: int) -> list[dict]:
+        """The newest ``keep`` commits, oldest first."""
+        p, files = self._fs(f"{self.out}/_commits")
+        names = sorted(f.getPath().getName() for f in files.listStatus(p)) if files.exists(p) else []
+        names = [n for n in names if n.endswith(".json") and not n.startswith(".")]
+        return [self._load(f"{self.out}/_commits/{n}") for n in names[-keep:]]
+
     def _load(self, path: str) -> dict:
         p, files = self._fs(path)
         stream = files.open(p)
@@ -129,7 +138,14 @@ class CycleStore:
         """A table as of the newest commit."""
         if table in ("member_state", "team_state"):
             return self.state(table.removesuffix("_state"), self.manifest())
-        rows = self.parts(table, self.manifest()["tables"].get(table))
+        return self.rows(table, self.manifest())
+
+    def rows(self, table: str, manifest: dict) -> DataFrame:
+        """A table other than the states as of a manifest; deltas from its floor on."""
+        rows = self.parts(table, manifest["tables"].get(table))
+        floor = manifest.get("floors", {}).get("raw", 0)
+        if floor and table in RAW:
+            rows = rows.filter(F.col("day") >= F.lit(floor))
         return rows.drop("day") if table in APPENDED else rows
 
     def state(self, kind: str, manifest: dict) -> DataFrame:
