@@ -7,6 +7,10 @@ that holds its children and a block becomes one row of nested structs. Its leave
 proofs come out of that row by ``transform`` and ``explode``: no leaf is joined with a node. All groupings of a
 block run on one shuffle by (tree, block).
 
+A block's row is large (some 150 KB, with all proofs over a megabyte) and readers take thousands of rows at a
+time, so a file holds some TASK_BLOCKS blocks at every size of the table, and rows with proofs are never stored:
+they are made where leaves are exploded.
+
 The roots of a tree's blocks are ranked already and roll up in the same way, so a tree of n
 leaves takes ``log_729(n)`` passes of which each is 729 times smaller than the one before. What a
 block needs from above is attached to the block's row, not to its leaves. The trees' roots are leaves of one more tree.
@@ -35,6 +39,8 @@ from .common import store
 ARITY = 3
 #: Digits of a block: a row holds at most 3^6 = 729 leaves.
 BLOCK_DIGITS = 6
+#: Blocks a task rolls up and a file of them holds, about.
+TASK_BLOCKS = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 PROOF = "array<struct<before:string,after:string>>"
 
@@ -87,16 +93,17 @@ def _proofs(kids: Column, level: int, first_level: int, depth: Column, above: Co
     return F.flatten(F.transform(kids, one))
 
 
-def _roll_up(nodes: DataFrame, first_level: int) -> DataFrame:
-    """Blocks of ``nodes`` (tree, rank, depth, hash, item) as rows: tree, block, depth, hash and
-    the nested ``kids``. A level above the tree's root hands its only child on."""
+def _roll_up(nodes: DataFrame, first_level: int, total: int) -> DataFrame:
+    """Blocks of ``nodes`` (tree, rank, depth, hash, item), ``total`` of them about, as rows: tree, block,
+    depth, hash and the nested ``kids``. A level above the tree's root hands its only child on."""
     size = ARITY ** BLOCK_DIGITS
     digits = [f"d{i}" for i in range(1, BLOCK_DIGITS + 1)]
     rows = nodes.select(
         "tree", F.floor(F.col("rank") / size).alias("block"), "depth",
         *[(F.floor(F.col("rank") / ARITY ** i) % ARITY).cast("int").alias(d) for i, d in enumerate(digits)],
         "hash", "item")
-    rows = rows.repartition("tree", "block")
+    # A number that follows the leaves: tasks merged by shuffled bytes would hold ever more blocks.
+    rows = rows.repartition(1 + total // (size * TASK_BLOCKS), "tree", "block")
     child = ["hash", "item"]
     for i, d in enumerate(digits):
         real = F.lit(first_level + i + 1) <= F.col("depth")
@@ -108,34 +115,36 @@ def _roll_up(nodes: DataFrame, first_level: int) -> DataFrame:
     return rows
 
 
-def prove(nodes: DataFrame, most: int, first_level: int = 0) -> DataFrame:
+def prove(nodes: DataFrame, most: int, total: int, first_level: int = 0) -> DataFrame:
     """Root and proof of every leaf of every tree.
 
     ``nodes`` has tree (any value, may be null), rank (from 0), depth (of the tree), hash and
-    item (what names the leaf); ``most`` is the largest depth among the trees. Returns tree,
-    root and ``leaves``, an array of (item, proof), one row per block of leaves.
+    item (what names the leaf); ``most`` is the largest depth among the trees, ``total`` the number
+    of leaves. Returns tree, root and ``leaves``, an array of (item, proof), one row per block of leaves.
+    Rows are made as they are read: explode ``leaves``, do not store them.
     """
-    blocks = store(_roll_up(nodes, first_level), "merkle-blocks")
+    blocks = store(_roll_up(nodes, first_level, total), "merkle-blocks")
     if most <= first_level + BLOCK_DIGITS:
         whole = blocks.withColumn("root", F.col("hash")).withColumn("above", F.array().cast(PROOF))
     else:
         upper = prove(blocks.select("tree", F.col("block").alias("rank"), "depth", "hash", F.col("block").alias("item")),
-                      most, first_level + BLOCK_DIGITS)
+                      most, total // ARITY ** BLOCK_DIGITS, first_level + BLOCK_DIGITS)
         upper = (upper.select(F.col("tree").alias("of"), "root", F.explode("leaves").alias("leaf"))
                  .select("of", F.col("leaf.item").alias("at"), "root", F.col("leaf.proof").alias("above")))
         whole = blocks.join(upper, F.col("tree").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at"))).drop("of", "at")
     return whole.select("tree", "root", _proofs(F.col("kids"), BLOCK_DIGITS, first_level, F.col("depth"), F.col("above")).alias("leaves"))
 
 
-def _ranked(rows: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
-    """``rows`` (tree, hash, item and what ``order`` uses) with rank and depth in their tree."""
+def _ranked(rows: DataFrame, order: list[Column]) -> tuple[DataFrame, int, int]:
+    """``rows`` (tree, hash, item and what ``order`` uses) with rank and depth in their tree; the
+    largest depth; the number of rows."""
     placed = with_position(rows, [F.col("tree").asc_nulls_first(), *order])
     sizes = store(placed.groupBy("tree").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("n"))
-                  .select(F.col("tree").alias("of"), "first", depth_of(F.col("n")).alias("depth")), "merkle-trees")
-    most = sizes.agg(F.max("depth")).first()[0] or 0
+                  .select(F.col("tree").alias("of"), "first", "n", depth_of(F.col("n")).alias("depth")), "merkle-trees")
+    most, total = sizes.agg(F.max("depth"), F.sum("n")).first()
     nodes = (placed.join(sizes, F.col("tree").eqNullSafe(F.col("of")))
              .select("tree", (F.col("position") - F.col("first")).alias("rank"), "depth", "hash", "item"))
-    return nodes, most
+    return nodes, most or 0, total or 0
 
 
 def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, tree: str = "source", key: str = "doc_id",
@@ -149,13 +158,13 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, tree: str = "sourc
                                F.struct(F.lit(0).alias("_"), *[c.alias(n) for n, c in extra.items()]).alias("extra"))
                    .withColumn("row", F.monotonically_increasing_id()), "merkle-leaves")
     rows = leaves.select("tree", "hash", "key", "row", F.struct("key", F.col("hash").alias("leaf"), "extra").alias("item"))
-    nodes, most = _ranked(rows, [F.col("key").asc_nulls_first(), F.col("hash"), F.col("row")])
-    blocks = store(prove(nodes, most), "merkle-proofs")
+    nodes, most, total = _ranked(rows, [F.col("key").asc_nulls_first(), F.col("hash"), F.col("row")])
+    blocks = prove(nodes, most, total)
 
     roots = store(blocks.groupBy("tree").agg(F.first("root").alias("hash")), "merkle-subroots")
-    tops, most = _ranked(roots.select(F.lit("all").alias("tree"), F.col("tree").alias("name"), "hash", F.col("tree").alias("item")),
-                         [F.col("name").asc_nulls_first()])
-    top = (prove(tops, most).select("root", F.explode("leaves").alias("leaf"))
+    tops, most, total = _ranked(roots.select(F.lit("all").alias("tree"), F.col("tree").alias("name"), "hash", F.col("tree").alias("item")),
+                                [F.col("name").asc_nulls_first()])
+    top = (prove(tops, most, total).select("root", F.explode("leaves").alias("leaf"))
            .select(F.col("leaf.item").alias("of"), F.col("root").alias("top"), F.col("leaf.proof").alias("rest")))
     out = (blocks.join(top, F.col("tree").eqNullSafe(F.col("of")))
            .select("tree", F.col("root").alias("subroot"), F.col("top").alias("root"), "rest", F.explode("leaves").alias("leaf")))

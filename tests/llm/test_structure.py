@@ -183,6 +183,19 @@ def test_blocks_within_blocks(spark, monkeypatch):
     assert manifest_rows(merkle.manifest(spark.createDataFrame(rows, DOCS))) == brute_manifest(rows)
 
 
+def test_blocks_a_task_holds_do_not_grow(spark, monkeypatch):
+    stored = {}
+    keep = merkle.store
+    monkeypatch.setattr(merkle, "store", lambda df, label: stored.setdefault(label, []).append(out := keep(df, label)) or out)
+    monkeypatch.setattr(merkle, "BLOCK_DIGITS", 2)
+    monkeypatch.setattr(merkle, "TASK_BLOCKS", 4)
+    rows = [(i, "s", "en", i, "x") for i in range(2000)]
+    assert manifest_rows(merkle.manifest(spark.createDataFrame(rows, DOCS))) == brute_manifest(rows)
+    files = stored["merkle-blocks"][0].selectExpr("input_file_name() as file").groupBy("file").count().collect()
+    assert sum(f["count"] for f in files) == 223 and max(f["count"] for f in files) <= 20
+    assert not any("leaves" in df.columns for dfs in stored.values() for df in dfs)
+
+
 def test_manifest_defined_cases(spark):
     rows = [(None, None, None, None, None), (None, None, None, None, None), (5, None, "de", None, ""), (5, "é", "de", 1, "ü\n"),
             (5, "é", "de", 1, "ü\n"), (5, "é", "de", 1, "a"), (-3, "z", None, 2, "y" * 300_000), (2, "", "en", 0, "a\nb"), (7, "𐀀", "en", 0, ""),
