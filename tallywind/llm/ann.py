@@ -235,7 +235,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, reach: float = 0.9
     of = lambda df: df.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     asked = store(rows.filter(is_query).mapInPandas(_route(router, reach, counts, k), kind)
                   .select("vec_id", "vec", F.explode("parts").alias("part")), "ann-queries")
-    pairs = _blocks(index, of(index), BLOCK_ROWS, "row").join(_blocks(asked, of(asked), BLOCK_QUERIES, "query"), "part")
+    # Merged, not broadcast: a query's vector stands once per visited part, which a file's size does not
+    # show (repeated values are stored once), so either side may be far larger than it looks.
+    pairs = _blocks(index, of(index), BLOCK_ROWS, "row").join(_blocks(asked, of(asked), BLOCK_QUERIES, "query").hint("merge"), "part")
     pairs = pairs.select("row_ids", "row_vecs", "query_ids", "query_vecs").repartition(F.xxhash64("row_ids"), F.xxhash64("query_ids"))
     found = pairs.mapInPandas(_rerank(k), RESULT)
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -1,6 +1,7 @@
 """Rows that share a key: none is lost, none is compared with itself."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +27,14 @@ def test_few_vectors_are_all_found(spark):
     assert got == [(2, 1), (2, 3), (2, 0), (2, 4)]
 
 
+def test_query_blocks_are_not_broadcast(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(600)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plan = ann.search(vectors, F.col("vec_id") % 10 == 0, parts=4)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[part", plan)
+
+
 A, B, C = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
 
 
