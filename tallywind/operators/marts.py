@@ -88,6 +88,20 @@ def member_mart(prod: DataFrame, clock: Clock) -> DataFrame:
     return _join_ranks(prod, now, before, keys).select("*", _arrived(clock))
 
 
+def by_rank() -> list[Column]:
+    """What a member's global rank is by: breaks ties like the rank itself."""
+    return _order("score", ["name", "team_id"])
+
+
+def roster_of(prod: DataFrame, column: str) -> DataFrame:
+    """Every team's roster by one column, with global ranks, straight from production rows: team_id,
+    name, rank, value, position. Only keys and sort columns travel."""
+    slim = prod.select("name", "team_id", "score", "first_seen", F.col(column).alias("value"))
+    ranked = R.with_position(slim, by_rank(), "rank").select("team_id", "name", "rank", "value")
+    first = [] if column == "score" else [F.greatest(F.col("value"), F.lit(0)).desc()]
+    return R.with_group_position(ranked, ["team_id"], [*first, F.col("rank").asc()], "position")
+
+
 def team_member_counts(members: DataFrame) -> DataFrame:
     return members.groupBy("team_id").agg(
         F.count(F.lit(1)).alias("members_total"),

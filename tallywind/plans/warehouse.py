@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tallywind.operators import diff, indexes, marts, rollups, windows
 from tallywind.operators.insights import MEMBER_KEYS
 from tallywind.schemas import WEEK
-from tallywind.session import (app_dir, drop_scratch, materialize, new_path, path_exists, prepare, scratch_mark,
-                               shared_dir, together)
+from tallywind.session import (app_dir, drop_scratch, materialize, materialize_by, new_path, path_exists, prepare,
+                               scratch_mark, shared_dir, table_bytes, together)
 from tallywind.sources import adapters as A
 from tallywind.sources import snapshots
 from tallywind.streaming import cycles as C
@@ -23,6 +23,9 @@ from tallywind.streaming import retention as R
 
 MEMBER, TEAM = diff.MEMBER, diff.TEAM
 
+#: Source bytes whose member rows make a bucket of the member tables: some 200,000 rows.
+BUCKET_BYTES = 4 << 20
+
 #: Ranks in a file of a mart.
 FILE_RANKS = 1 << 16
 
@@ -57,6 +60,20 @@ class Warehouse:
     def _keep(self, df: DataFrame, label: str) -> DataFrame:
         return materialize(df, f"{self.world}-{label}")
 
+    @cached_property
+    def buckets(self) -> int:
+        """Buckets of the member tables; a bucket keeps its size as the sources grow, so no task spills."""
+        source = "lineitem" if self.world == "daily" else "events"
+        grown = table_bytes(self.spark, f"{self.sf_dir}/{source}.parquet") // BUCKET_BYTES
+        return max(min(12, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), int(grown))
+
+    def _keep_members(self, df: DataFrame, label: str, *order: str) -> DataFrame:
+        """Member tables of the daily world are hashed by member: differences, states, sums and days
+        follow from the feed without another shuffle."""
+        if self.world != "daily":
+            return self._keep(df, label)
+        return materialize_by(df, f"{self.world}-{label}", MEMBER, self.buckets, [*order])
+
     def _build(self, make, label: str) -> DataFrame:
         """Keep what ``make()`` returns, laid out by rank so that a page, a neighbourhood or a
         rank range reads few row groups, and drop the numbering tables it went through. Ranks
@@ -70,10 +87,10 @@ class Warehouse:
     @cached_property
     def feed_rows(self) -> DataFrame:
         if self.world == "daily":
-            base = A.daily_base(self.spark, self.sf_dir)
+            base = A.daily_base(self.spark, self.sf_dir, self.buckets)
         else:
             base = A.hourly_base(self.spark, self.sf_dir, corrections=self.world == "corrections")
-        return self._keep(A.feed_rows(base), "feed-rows")
+        return self._keep_members(A.feed_rows(base), "feed-rows", "snapshot_ts")
 
     @cached_property
     def raw_member_snapshot(self) -> DataFrame:
@@ -99,9 +116,11 @@ class Warehouse:
         return windows.read_clock(self.cycles)
 
     def _by_time(self, delta: DataFrame, keys: list[str], label: str) -> DataFrame:
-        # Ordered by time so that a window over the newest week skips the older row groups. The
-        # keys let a cycle in which everybody moved spread over several files; weeks are known
-        # without sampling, so the differences are taken once.
+        # Ordered by time so that a window over the newest week skips the older row groups (in the
+        # daily world's buckets: the older pages). The keys let a cycle in which everybody moved spread
+        # over several files; weeks are known without sampling, so the differences are taken once.
+        if keys == MEMBER and self.world == "daily":
+            return self._keep_members(delta, label, "ts")
         return self._keep(delta.repartition(F.floor(F.col("ts") / WEEK), F.pmod(F.xxhash64(*keys), F.lit(4))).sortWithinPartitions("ts"), label)
 
     @cached_property
@@ -114,7 +133,7 @@ class Warehouse:
 
     @cached_property
     def member_daily(self) -> DataFrame:
-        return self._keep(rollups.daily(self.member_delta, MEMBER), "member-daily")
+        return self._keep_members(rollups.daily(self.member_delta, MEMBER), "member-daily", "day")
 
     @cached_property
     def team_daily(self) -> DataFrame:
@@ -122,7 +141,7 @@ class Warehouse:
 
     @cached_property
     def member_monthly(self) -> DataFrame:
-        return self._keep(rollups.monthly(self.member_daily, MEMBER), "member-monthly")
+        return self._keep_members(rollups.monthly(self.member_daily, MEMBER), "member-monthly", "month")
 
     @cached_property
     def team_monthly(self) -> DataFrame:
@@ -130,7 +149,7 @@ class Warehouse:
 
     @cached_property
     def member_state(self) -> DataFrame:
-        return self._keep(diff.latest_state(self.member_snapshot, MEMBER), "member-state")
+        return self._keep_members(diff.latest_state(self.member_snapshot, MEMBER), "member-state", "name")
 
     @cached_property
     def team_state(self) -> DataFrame:
@@ -138,8 +157,8 @@ class Warehouse:
 
     @cached_property
     def member_production(self) -> DataFrame:
-        return self._keep(windows.production(self.member_state, self.member_delta, MEMBER, self.clock),
-                          "member-production")
+        return self._keep_members(windows.production(self.member_state, self.member_delta, MEMBER, self.clock),
+                                  "member-production", "name")
 
     @cached_property
     def team_production(self) -> DataFrame:
@@ -153,13 +172,13 @@ class Warehouse:
 
     @cached_property
     def teams(self) -> DataFrame:
-        members, prod = self.members, self.team_production
+        members, prod = self.member_production, self.team_production  # counts need no ranks
         return self._build(lambda: marts.team_mart(prod, members, self.clock), "teams")
 
     @cached_property
     def donors(self) -> DataFrame:
         shared = 20 if self.world == "daily" else marts.SHARED_TEAMS
-        members = self.members
+        members = self.member_production  # sums need no ranks
         return self._build(lambda: marts.donor_mart(members, self.clock, shared), "donors")
 
     # Copies in the order of other reads.
@@ -180,6 +199,13 @@ class Warehouse:
         drop_scratch(self.spark, mark)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def roster(self, key: str) -> DataFrame:
+        """Rosters under one ordering: read, if all are published, else numbered for this ordering alone."""
+        columns = ["team_id", "name", "rank", "value", "position"]
+        if "rosters" in self.__dict__:
+            return self.rosters.filter(F.col("key") == key).select(*columns)
+        return self.once(f"roster-{key}", lambda: marts.roster_of(self.member_production, MEMBER_KEYS[key])).select(*columns)
+
     @cached_property
     def groups(self) -> DataFrame:
         return A.country_groups(self.spark, self.sf_dir).unionByName(

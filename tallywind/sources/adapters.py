@@ -59,23 +59,28 @@ def hourly_base(spark: SparkSession, sf_dir: str, corrections: bool = False) ->
         F.when(F.col("event_type") == "purchase", 1).otherwise(0).cast("bigint").alias("unattributed"))
 
 
-def daily_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_base(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """With ``parts`` the rows come hashed by (name, team_id) into so many partitions: nearly every
+    line is a member's only one of its day, so there is nothing to combine before that shuffle. The
+    parents' names are joined after it."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return (li.join(orders, li.l_orderkey == orders.o_orderkey)
+    rows = (li.join(orders, li.l_orderkey == orders.o_orderkey)
             .join(supp, li.l_suppkey == supp.s_suppkey)
-            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
             .select(
                 F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name"),
                 F.col("s_nationkey").alias("team_id"),
-                F.col("n_name").alias("team_name"),
                 cycle_end(epoch("l_shipdate"), DAY).alias("snapshot_ts"),
                 F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("pts"),
-                F.col("l_quantity").cast("bigint").alias("units"),
-                F.lit(0).cast("bigint").alias("unattributed")))
+                F.col("l_quantity").cast("bigint").alias("units")))
+    if parts is not None:
+        rows = rows.repartition(parts, "name", "team_id")
+    return rows.join(nation, F.col("team_id") == F.col("n_nationkey")).select(
+        "name", "team_id", F.col("n_name").alias("team_name"), "snapshot_ts", "pts", "units",
+        F.lit(0).cast("bigint").alias("unattributed"))
 
 
 def feed_rows(base: DataFrame) -> DataFrame:
