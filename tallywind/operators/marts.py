@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallywind.functions import scalars as S
 from tallywind.operators import ranking as R
 from tallywind.operators.windows import WINDOW_COLUMNS, Clock, rates
-from tallywind.session import together
+from tallywind.session import materialize, together
 
 # Names on more teams than this are likely shared; embedded lists are capped.
 SHARED_TEAMS = 50
@@ -116,17 +116,17 @@ def team_mart(prod: DataFrame, members: DataFrame, clock: Clock) -> DataFrame:
     return ranked.join(counts, "team_id", "left").select(*ranked.columns, *zero)
 
 
-def donor_totals(members: DataFrame) -> DataFrame:
+def donor_totals(members: DataFrame, *more: Column) -> DataFrame:
     """Roll members up by name; period figures are sums, the span is the longest."""
     return members.groupBy("name").agg(
         F.sum("score").alias("score"), F.sum("wus").alias("wus"),
         F.count(F.lit(1)).alias("team_count"), F.min("first_seen").alias("first_seen"),
         *[F.sum(c).alias(c) for c in WINDOW_COLUMNS],
-        F.max("observed_ns").alias("observed_ns"))
+        F.max("observed_ns").alias("observed_ns"), *more)
 
 
-def donor_production(members: DataFrame, shared_teams: int = SHARED_TEAMS) -> DataFrame:
-    d = donor_totals(members)
+def donor_production(members: DataFrame, shared_teams: int = SHARED_TEAMS, *more: Column) -> DataFrame:
+    d = donor_totals(members, *more)
     # The rate of the sums, not the sum of rounded rates.
     week, day = rates(F.col("points_last_7d"), F.col("points_last_24h"), F.col("observed_ns"))
     return d.select(
@@ -136,13 +136,17 @@ def donor_production(members: DataFrame, shared_teams: int = SHARED_TEAMS) -> Da
 
 
 def donor_mart(members: DataFrame, clock: Clock, shared_teams: int = SHARED_TEAMS) -> DataFrame:
-    donors, keys = donor_production(members, shared_teams), ["name"]
+    """Members are rolled up once, with both totals; ranks are taken of the kept sums."""
+    keys = ["name"]
     if clock.baseline is None:
+        donors = materialize(donor_production(members, shared_teams), "donor-sums", scratch=True)
         return _join_ranks(donors, _rank_now(donors, keys), None, keys)
-    # Clamped per member, then summed over the members that existed at the baseline.
-    then = members.filter(_existed(clock)).groupBy("name").agg(
-        F.sum(_total_then()).alias("total_then"), F.min("first_seen").alias("first_seen"))
-    now, before = together(lambda: _rank_now(donors, keys), lambda: _rank_then(then, keys))
+    # Clamped per member, then summed over the members that existed at the baseline. A name existed
+    # if one of its members did, and was first seen with the first of them.
+    then = F.sum(F.when(_existed(clock), _total_then())).alias("total_then")
+    sums = materialize(donor_production(members, shared_teams, then), "donor-sums", scratch=True)
+    donors = sums.drop("total_then")
+    now, before = together(lambda: _rank_now(donors, keys), lambda: _rank_then(sums.filter(_existed(clock)), keys))
     return _join_ranks(donors, now, before, keys)
 
 

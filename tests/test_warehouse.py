@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tallywind.operators import diff, history, rollups, windows
+from tallywind.operators import diff, history, marts, rollups, windows
 from tallywind.plans.warehouse import MEMBER, Warehouse
-from tallywind.session import scratch_mark
+from tallywind.session import drop_scratch, scratch_mark
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,6 +41,20 @@ def _optimized(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_members_are_rolled_up_to_donors_once(spark):
+    w = Warehouse(spark, SF, "daily")
+    members, mark = w.member_production, scratch_mark()
+    mart = marts.donor_mart(members, w.clock)
+    assert "AS team_count" not in _optimized(mart)  # read from the kept sums, not added up again
+    then = members.filter(F.col("first_seen") <= w.clock.baseline).groupBy("name").agg(
+        F.sum(F.greatest(F.col("score") - F.col("points_last_24h"), F.lit(0))).alias("t"), F.min("first_seen").alias("f")).collect()
+    place = {r["name"]: i + 1 for i, r in enumerate(sorted(then, key=lambda r: (-r["t"], r["f"], r["name"])))}
+    got = mart.select("name", "rank", "rank_change_24h").collect()
+    drop_scratch(spark, mark)
+    assert len(got) > len(place) > 0 or len(got) == len(place)
+    assert all(r["rank_change_24h"] == (place[r["name"]] - r["rank"] if r["name"] in place else None) for r in got)
+
+
 def test_contributions_order_only_the_named_bands(spark):
     members = spark.createDataFrame([(1, f"m{i}", 100 - i // 2, i) for i in range(9)] + [(2, "m0", 5, 9)],
                                     "team_id int, name string, points_last_7d bigint, rank bigint")
