@@ -90,7 +90,8 @@ class Warehouse:
             base = A.daily_base(self.spark, self.sf_dir, self.buckets)
         else:
             base = A.hourly_base(self.spark, self.sf_dir, corrections=self.world == "corrections")
-        return self._keep_members(A.feed_rows(base), "feed-rows", "snapshot_ts")
+        # Read whole by everything, so laid out by member: its columns repeat from row to row.
+        return self._keep_members(A.feed_rows(base), "feed-rows", *MEMBER, "snapshot_ts")
 
     @cached_property
     def raw_member_snapshot(self) -> DataFrame:

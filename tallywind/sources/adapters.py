@@ -61,23 +61,20 @@ def hourly_base(spark: SparkSession, sf_dir: str, corrections: bool = False) ->
 
 def daily_base(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """With ``parts`` the rows come hashed by (name, team_id) into so many partitions: nearly every
-    line is a member's only one of its day, so there is nothing to combine before that shuffle. The
-    parents' names are joined after it."""
+    line is a member's only one of its day, so there is nothing to combine before that shuffle. Lines
+    are cut down to small integers before they travel; names and times are spelled out where they arrive."""
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+        "l_orderkey", "l_suppkey", F.floor(epoch("l_shipdate") / F.lit(DAY)).alias("day"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("pts"), F.col("l_quantity").cast("bigint").alias("units"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    supp = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("team_id"))
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    rows = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-            .join(supp, li.l_suppkey == supp.s_suppkey)
-            .select(
-                F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name"),
-                F.col("s_nationkey").alias("team_id"),
-                cycle_end(epoch("l_shipdate"), DAY).alias("snapshot_ts"),
-                F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("pts"),
-                F.col("l_quantity").cast("bigint").alias("units")))
+    name = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    rows = (li.join(supp, li.l_suppkey == supp.s_suppkey).select("l_orderkey", "team_id", "day", "pts", "units")
+            .join(orders, F.col("l_orderkey") == orders.o_orderkey).select("o_custkey", "team_id", "day", "pts", "units"))
     if parts is not None:
-        rows = rows.repartition(parts, "name", "team_id")
+        rows = rows.repartition(parts, name, "team_id")
+    rows = rows.select(name.alias("name"), "team_id", ((F.col("day") + 1) * F.lit(DAY)).alias("snapshot_ts"), "pts", "units")
     return rows.join(nation, F.col("team_id") == F.col("n_nationkey")).select(
         "name", "team_id", F.col("n_name").alias("team_name"), "snapshot_ts", "pts", "units",
         F.lit(0).cast("bigint").alias("unattributed"))

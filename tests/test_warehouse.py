@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tallywind.operators import diff, history, marts, rollups, windows
 from tallywind.plans.warehouse import MEMBER, Warehouse
 from tallywind.session import drop_scratch, scratch_mark
+from tallywind.sources import adapters
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,6 +42,18 @@ def _optimized(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_lines_travel_without_names(spark):
+    # The name is spelled out behind the shuffle, and the feed still needs no second one.
+    plan = _optimized(adapters.daily_base(spark, SF, 12))
+    assert "RepartitionByExpression [concat(c, cast(o_custkey" in plan
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        feed = adapters.feed_rows(adapters.daily_base(spark, SF, 12))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert feed.count("Exchange hashpartitioning(concat(") == 1 and "Exchange hashpartitioning(name" not in feed
+
+
 def test_members_are_rolled_up_to_donors_once(spark):
     w = Warehouse(spark, SF, "daily")
     members, mark = w.member_production, scratch_mark()
