@@ -96,8 +96,8 @@ def by_rank() -> list[Column]:
 def roster_of(prod: DataFrame, column: str) -> DataFrame:
     """Every team's roster by one column, with global ranks, straight from production rows: team_id,
     name, rank, value, position. Only keys and sort columns travel."""
-    slim = prod.select("name", "team_id", "score", "first_seen", F.col(column).alias("value"))
-    ranked = R.with_position(slim, by_rank(), "rank").select("team_id", "name", "rank", "value")
+    slim = prod.select("name", "team_id", "first_seen", *dict.fromkeys(["score", column]))
+    ranked = R.with_position(slim, by_rank(), "rank").select("team_id", "name", "rank", F.col(column).alias("value"))
     first = [] if column == "score" else [F.greatest(F.col("value"), F.lit(0)).desc()]
     return R.with_group_position(ranked, ["team_id"], [*first, F.col("rank").asc()], "position")
 

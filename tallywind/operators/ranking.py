@@ -47,11 +47,11 @@ def with_group_position(df: DataFrame, group: list[str], order: list[Column],
 
     Sorting by (group, order) makes a group a contiguous run, so a row's position in it is
     its global position less that of the run's first row; the latter is a ``min`` that
-    combines map-side, one row per group. The join is a left join on a unique key, which
-    Catalyst drops wherever the position is not used.
+    combines map-side, one row per group. Those rows are written first: their size is then known
+    before the join is planned, and a few groups do not send all rows through one more shuffle.
     """
     pos = with_position(df, [F.col(g).asc() for g in group] + order, "__pos")
-    first = pos.groupBy(*group).agg((F.min("__pos") - 1).alias("__first"))
+    first = materialize(pos.groupBy(*group).agg((F.min("__pos") - 1).alias("__first")), "group-starts", scratch=True)
     return (pos.join(first, group, "left")
             .withColumn(out, F.col("__pos") - F.col("__first"))
             .drop("__pos", "__first"))

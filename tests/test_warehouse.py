@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallywind.operators import diff, history, marts, rollups, windows
+from tallywind.operators import diff, history, marts, ranking, rollups, windows
 from tallywind.plans.warehouse import MEMBER, Warehouse
 from tallywind.session import drop_scratch, scratch_mark
 from tallywind.sources import adapters
@@ -79,3 +79,17 @@ def test_contributions_order_only_the_named_bands(spark):
     assert "WindowGroupLimit" in _optimized(out)  # a task passes on no more of a team than it needs
     assert sorted(map(tuple, out.collect())) == sorted(
         [(1, i + 1, f"m{i}", 3, 10 + i) for i in range(6)] + [(1, 7, "Other", 3, 16 + 17 + 18), (2, 1, "m0", 4, 7)])
+
+
+def test_few_groups_do_not_shuffle_their_rows_again(spark):
+    rows = spark.range(100_000).select("id", (F.col("id") % 5).alias("g"), F.xxhash64("id").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")  # less than the rows, more than five groups
+    mark = scratch_mark()
+    try:
+        placed = ranking.with_group_position(rows, ["g"], [F.col("v"), F.col("id")])
+        assert "SortMergeJoin" not in placed._jdf.queryExecution().executedPlan().toString()
+        assert placed.groupBy("g").agg(F.max("position"), F.countDistinct("position")).distinct().count() == 5
+        assert placed.filter("position < 1 or position > 20000").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        drop_scratch(spark, mark)
