@@ -27,6 +27,9 @@ EVENT_TEAMS = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
 FORGED_POINTS = 1_000_000_000_000
 UNKNOWN_TEAM = 99
 
+#: Bits of a line's fields where it travels as one number, lowest first.
+LINE_BITS = {"team_id": 8, "day": 16, "units": 12, "pts": 27}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,10 +62,30 @@ def hourly_base(spark: SparkSession, sf_dir: str, corrections: bool = False) ->
         F.when(F.col("event_type") == "purchase", 1).otherwise(0).cast("bigint").alias("unattributed"))
 
 
+def pack_lines(rows: DataFrame, *keys: str) -> DataFrame:
+    """A line's fields as one number, ``line``. A line with a null, or with a field its bits do not
+    hold, keeps its fields as they are in ``wide``, and has no ``line``."""
+    fits, line, at = F.lit(True), F.lit(0).cast("bigint"), 0
+    for field, bits in LINE_BITS.items():
+        value = F.col(field).cast("bigint")
+        fits &= value.between(0, (1 << bits) - 1)
+        line, at = line.bitwiseOR(F.shiftleft(value, at)), at + bits
+    line = F.when(fits, line)
+    return rows.select(*keys, line.alias("line"), F.when(line.isNull(), F.struct(*LINE_BITS)).alias("wide"))
+
+
+def line_field(field: str) -> Column:
+    """A field of what :func:`pack_lines` made."""
+    names = list(LINE_BITS)
+    at = sum(LINE_BITS[f] for f in names[:names.index(field)])
+    packed = F.shiftright("line", at).bitwiseAND(F.lit((1 << LINE_BITS[field]) - 1).cast("bigint"))
+    return F.when(F.col("line").isNull(), F.col("wide")[field]).otherwise(packed)
+
+
 def daily_base(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """With ``parts`` the rows come hashed by (name, team_id) into so many partitions: nearly every
     line is a member's only one of its day, so there is nothing to combine before that shuffle. Lines
-    are cut down to small integers before they travel; names and times are spelled out where they arrive."""
+    travel as a key and one number; names and times are spelled out where they arrive."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", F.floor(epoch("l_shipdate") / F.lit(DAY)).alias("day"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("pts"), F.col("l_quantity").cast("bigint").alias("units"))
@@ -70,11 +93,13 @@ def daily_base(spark: SparkSession, sf_dir: str, parts: int | None = None) -> Da
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("team_id"))
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     name = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
-    rows = (li.join(supp, li.l_suppkey == supp.s_suppkey).select("l_orderkey", "team_id", "day", "pts", "units")
-            .join(orders, F.col("l_orderkey") == orders.o_orderkey).select("o_custkey", "team_id", "day", "pts", "units"))
+    lines = pack_lines(li.join(supp, li.l_suppkey == supp.s_suppkey), "l_orderkey")
+    rows = lines.join(orders, F.col("l_orderkey") == orders.o_orderkey).select("o_custkey", "line", "wide")
+    team = line_field("team_id").cast(supp.schema["team_id"].dataType)
     if parts is not None:
-        rows = rows.repartition(parts, name, "team_id")
-    rows = rows.select(name.alias("name"), "team_id", ((F.col("day") + 1) * F.lit(DAY)).alias("snapshot_ts"), "pts", "units")
+        rows = rows.repartition(parts, name, team)
+    rows = rows.select(name.alias("name"), team.alias("team_id"), ((line_field("day") + 1) * F.lit(DAY)).alias("snapshot_ts"),
+                       line_field("pts").alias("pts"), line_field("units").alias("units"))
     return rows.join(nation, F.col("team_id") == F.col("n_nationkey")).select(
         "name", "team_id", F.col("n_name").alias("team_name"), "snapshot_ts", "pts", "units",
         F.lit(0).cast("bigint").alias("unattributed"))

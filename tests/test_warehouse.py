@@ -93,3 +93,18 @@ def test_few_groups_do_not_shuffle_their_rows_again(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         drop_scratch(spark, mark)
+
+
+def test_lines_travel_as_a_key_and_one_number(spark):
+    # Fields beyond their bits, and nulls, come back as they were.
+    edge = {f: [0, (1 << n) - 1, 1 << n, -1, None] for f, n in adapters.LINE_BITS.items()}
+    rows = [(i, *[values[(i >> k) % 5] for k, values in enumerate(edge.values())]) for i in range(64)]
+    lines = spark.createDataFrame(rows, "k bigint, team_id int, day bigint, units bigint, pts bigint")
+    packed = adapters.pack_lines(lines, "k")
+    assert packed.columns == ["k", "line", "wide"] and 0 < packed.filter("line is not null").count() < 64
+    assert packed.filter("(line is null) = (wide is null)").count() == 0
+    back = packed.select("k", *[adapters.line_field(f).alias(f) for f in adapters.LINE_BITS]).collect()
+    assert sorted(map(tuple, back)) == rows
+    # Nothing else goes through the shuffle by member.
+    moved = [line for line in _optimized(adapters.daily_base(spark, SF, 12)).split("RepartitionByExpression")[1].split("\n")[1:2]]
+    assert "pts" not in moved[0] and "units" not in moved[0] and "line" in moved[0]
