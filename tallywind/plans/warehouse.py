@@ -158,8 +158,11 @@ class Warehouse:
 
     @cached_property
     def member_production(self) -> DataFrame:
-        return self._keep_members(windows.production(self.member_state, self.member_delta, MEMBER, self.clock),
-                                  "member-production", "name")
+        state, delta = (lambda: self.member_state), (lambda: self.member_delta)
+        if self.world == "daily":  # from the feed's buckets, without a shuffle; written only if something else reads them
+            state = state if "member_state" in vars(self) else lambda: diff.latest_state(self.member_snapshot, MEMBER)
+            delta = delta if "member_delta" in vars(self) else lambda: diff.deltas(self.member_snapshot, MEMBER)
+        return self._keep_members(windows.production(state(), delta(), MEMBER, self.clock), "member-production", "name")
 
     @cached_property
     def team_production(self) -> DataFrame:

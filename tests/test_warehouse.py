@@ -108,3 +108,11 @@ def test_lines_travel_as_a_key_and_one_number(spark):
     # Nothing else goes through the shuffle by member.
     moved = [line for line in _optimized(adapters.daily_base(spark, SF, 12)).split("RepartitionByExpression")[1].split("\n")[1:2]]
     assert "pts" not in moved[0] and "units" not in moved[0] and "line" in moved[0]
+
+
+def test_production_read_alone_writes_neither_state_nor_deltas(spark):
+    w = Warehouse(spark, SF, "daily")
+    alone = w.member_production
+    assert not {"member_state", "member_delta"} & set(vars(w))
+    tables = windows.production(w.member_state, w.member_delta, MEMBER, w.clock)
+    assert alone.exceptAll(tables).count() == 0 == tables.exceptAll(alone).count()
