@@ -27,7 +27,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
+from functools import partial
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +60,12 @@ _PLAIN = "".join(c for c in _EDGE if c not in STANDS_FOR)
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _SPACED = re.compile(r"(?<![\w$@])(?:[\w$@!][\s.\-_*~]+){2,}[\w$@!](?![\w$@])")
 _WRITTEN = frozenset(ALPHABET) | frozenset(STANDS_FOR)
+#: First letters that a word's features share.
+HEAD = PREFIXES[0]
 #: Letters of a fragment that may belong to a word cut by a blank.
 FRAGMENT = 4
+#: A word that begins so on every path and is no fragment, with marks at its end at most.
+_ORDINARY = re.compile(rf"(?:([{ALPHABET}])(?!\1)){{{HEAD - 1}}}[{ALPHABET}]{{{FRAGMENT + 2 - HEAD},}}[{re.escape(_EDGE)}]*")
 _CACHE = 100_000
 
 
@@ -108,48 +114,101 @@ def costs(n: np.ndarray) -> np.ndarray:
     return -np.log(p3).astype(np.float32)
 
 
+class _Memory:
+    """What keys tell. Sets of keys meet a plain dict and a set in one step each, without a loop here."""
+
+    def __init__(self) -> None:
+        self.told: dict = {}
+        self.telling: set = set()  # keys that tell anything
+
+    def make_room(self, most: int) -> bool:
+        full = len(self.told) >= most
+        if full:
+            self.told.clear()
+            self.telling.clear()
+        return full
+
+    def read(self, keys: set, look: Callable) -> Iterator[str]:
+        """What the keys tell; ``look`` says it of a new key."""
+        for key in keys.difference(self.told):
+            self.told[key] = told = look(key)
+            if told:
+                self.telling.add(key)
+        return chain.from_iterable(map(self.told.get, keys & self.telling))
+
+
 class Decoder:
-    """Viterbi decoding of written words; results of recent words are remembered."""
+    """Viterbi decoding of written words; results of recent words are remembered.
+
+    Without a ``model`` the words themselves are read. ``of`` turns words into what is read of
+    them, each word for itself. With a ``model``, a set of features, those of its features are
+    read: all features of a word share its first letters, and a written word that begins with
+    four letters, none doubled, begins so on every path, so most words are settled by one look."""
 
-    def __init__(self, cost: np.ndarray) -> None:
+    def __init__(self, cost: np.ndarray, of: Callable[[Iterable[str]], Iterable[str]] = tuple, model: Container[str] | None = None) -> None:
         self.cost = cost.tolist()
+        self.of = of
+        self.starts = None
+        self.room = _CACHE
+        if model is not None:
+            self.starts = {f[:HEAD] for f in model}
+            self.beginnings = {f[:n] for f in self.starts for n in range(1, HEAD + 1)}
+            self.of = partial(_of_model, model, self.starts)
+            self.room = 3 * _CACHE  # nearly all tell nothing and take little
         self.known: dict[str, str] = {}
-        self.tokens: dict[str, tuple[str, ...]] = {}  # words of a written token
+        self.tokens = _Memory()  # what a written token tells
         self.fragments: dict[str, str] = {}  # short tokens, without marks at their edges
-        self.pairs: dict[tuple[str, str], tuple[str, ...]] = {}  # words of neighbouring fragments
+        self.pairs = _Memory()  # what neighbouring fragments tell
 
     def __call__(self, word: str, ends: bool = False) -> str:
-        """The restored word; with ``ends``, a blank inside may also be the end of a word."""
+        """The restored word, or nothing if it can't be of the model; with ``ends``, a blank inside may also be the end of a word."""
         key = (word, ends) if ends else word
         out = self.known.get(key)
         if out is None:
             if len(self.known) >= _CACHE:
                 self.known.clear()
-            out = self.known[key] = self._decode(word, ends)
+            out = self.known[key] = self._decode(word, ends) if ends or self._may_tell(word) else ""
         return out
 
     def read(self, tokens: list[str]) -> set[str]:
-        """Words of the tokens of a text, one by one and in pairs of neighbouring fragments."""
-        for cache in (self.tokens, self.pairs):
-            if len(cache) >= _CACHE:
-                cache.clear()
-        if not self.tokens:
+        """What the tokens of a text tell, one by one and in pairs of neighbouring fragments."""
+        if self.tokens.make_room(self.room):
             self.fragments.clear()
-        words: set[str] = set()
-        for raw in set(tokens):
-            found = self.tokens.get(raw)
-            if found is None:
-                found = self.tokens[raw] = tuple(self._token(raw))
-            words.update(found)
-        near = list(map(self.fragments.get, tokens))
-        for pair in set(zip(near, near[1:])):
-            if None in pair:
-                continue
-            found = self.pairs.get(pair)
-            if found is None:
-                found = self.pairs[pair] = self._rejoined(*pair)
-            words.update(found)
-        return words
+        self.pairs.make_room(self.room)
+        found = set(self.tokens.read(set(tokens), self._told_by))
+        found.update(self.pairs.read(set(pairwise(map(self.fragments.get, tokens))), self._told_by_two))
+        return found
+
+    def _told_by(self, raw: str) -> tuple[str, ...]:
+        if self.starts is not None and raw[:HEAD] not in self.starts and _ORDINARY.fullmatch(raw):
+            return ()
+        return tuple(self.of(self._token(raw)))
+
+    def _told_by_two(self, pair: tuple[str | None, str | None]) -> tuple[str, ...]:
+        first, second = pair
+        if first is None or second is None or len(first) + len(second) <= FRAGMENT:
+            return ()
+        if self.starts is not None and len(first) + len(second) >= HEAD and (first + second)[:HEAD] not in self.starts and (first + second).isalpha():
+            return ()
+        return tuple(self.of(self._rejoined(first, second)))
+
+    def _may_tell(self, word: str) -> bool:
+        """Whether some path begins as a feature of the model does."""
+        if self.starts is None:
+            return True
+        ways, before = {""}, ""
+        for c in word:
+            letters = c if c in _LETTER else STANDS_FOR.get(c, "")
+            between = c in SEPARATORS or c.isspace()
+            longer = {w + x for w in ways for x in letters} & self.beginnings
+            if any(len(w) == HEAD for w in longer):
+                return True
+            ways = longer | ways if between or c == before or not letters else longer
+            if not ways:
+                return False
+            if not between:
+                before = c
+        return not ways.isdisjoint(self.starts)
 
     def _token(self, raw: str) -> set[str]:
         core = raw.strip(_EDGE)
@@ -177,8 +236,6 @@ class Decoder:
 
     def _rejoined(self, first: str, second: str) -> tuple[str, ...]:
         """Words of two fragments. Between letters the path differs at the seam alone."""
-        if len(first) + len(second) <= FRAGMENT:
-            return ()
         if not (first.isalpha() and second.isalpha()):
             return tuple(self(f"{first} {second}", ends=True).split())
         a, b = (_LETTER[first[-2]] if len(first) > 1 else 0), _LETTER[first[-1]]
@@ -194,8 +251,16 @@ class Decoder:
         for c in word:
             letters = [(c, 0.0)] if c in _LETTER else [(x, SUBSTITUTION) for x in STANDS_FOR.get(c, "")]
             between = c in SEPARATORS or c.isspace()
-            skip = [x for x, may in ((SEPARATION, between), (REPETITION, c == before), (3.0, not letters)) if may]
             best: dict[tuple[int, int], tuple[float, tuple]] = {}
+            if c in _LETTER and c != before:  # no way but itself
+                i = _LETTER[c]
+                for (a, b), (spent, path) in paths.items():
+                    total = spent + self.cost[a][b][i]
+                    if (b, i) not in best or total < best[b, i][0]:
+                        best[b, i] = (total, (path, c))
+                before, paths = c, best
+                continue
+            skip = [x for x, may in ((SEPARATION, between), (REPETITION, c == before), (3.0, not letters)) if may]
             for (a, b), (spent, path) in paths.items():
                 if skip:
                     total = spent + min(skip)
@@ -223,19 +288,23 @@ class Decoder:
 
 
 def restored_words(text: str, decode: Decoder) -> set[str]:
-    """The different words of the restored text, lower case."""
+    """The different words of the restored text, lower case, or what ``decode`` reads of them."""
     text = text.lower()
-    words = decode.read(text.split())
-    for found in _SPACED.finditer(text):
-        words.add(decode(found.group()))
-        words.update(decode(found.group(), ends=True).split())
-    words.discard("")
-    return words
+    found = decode.read(text.split())
+    for spaced in _SPACED.findall(text):
+        found.update(decode.of([decode(spaced), *decode(spaced, ends=True).split()]))
+    found.discard("")
+    return found
+
+
+def features_of(words: Iterable[str]) -> set[str]:
+    """Words and their beginnings; beginnings end in a star."""
+    return {*words, *(w[:n] + "*" for n in PREFIXES for w in words if len(w) > n)}
 
 
-def features_of(words: set[str]) -> set[str]:
-    """A word and its beginnings; beginnings end in a star."""
-    return words | {w[:n] + "*" for n in PREFIXES for w in words if len(w) > n}
+def _of_model(model: Container[str], starts: set[str], words: Iterable[str]) -> list[str]:
+    near = [w for w in words if w[:HEAD] in starts]
+    return [f for f in features_of(near) if f in model] if near else []
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -244,7 +313,7 @@ def is_held_out(doc_id: Column) -> Column:
 
 def _count_features(cost: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = Decoder(cost)
+        decode = Decoder(cost, features_of)
         every: Counter = Counter()
         toxic: Counter = Counter()
 
@@ -255,7 +324,7 @@ def _count_features(cost: np.ndarray):
 
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = features_of(restored_words(text or "", decode))
+                found = restored_words(text or "", decode)
                 every.update(found)
                 if label:
                     toxic.update(found)
@@ -268,19 +337,11 @@ def _count_features(cost: np.ndarray):
     return run
 
 
-def _match(weights: dict[str, float], words: set[str]) -> list[str]:
-    """Features of the model in a text."""
-    found = [w for w in words if w in weights]
-    for n in PREFIXES:
-        found += [p for p in {w[:n] + "*" for w in words if len(w) > n} if p in weights]
-    return found
-
-
 def _indices(cost: np.ndarray, index: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = Decoder(cost)
+        decode = Decoder(cost, model=index)
         for batch in batches:
-            found = [[index[f] for f in _match(index, restored_words(t or "", decode))] for t in batch.column(0).to_pylist()]
+            found = [sorted(index[f] for f in restored_words(t or "", decode)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["y", "found"])
 
     return run
@@ -337,9 +398,9 @@ def learn(docs: DataFrame, labels: DataFrame, cost: np.ndarray, sample: int = SA
 
 def _scores(cost: np.ndarray, weights: dict[str, float], constant: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = Decoder(cost)
+        decode = Decoder(cost, model=weights)
         for batch in batches:
-            odds = [constant + sum(weights[f] for f in _match(weights, restored_words(t or "", decode))) for t in batch.column(2).to_pylist()]
+            odds = [constant + math.fsum(weights[f] for f in restored_words(t or "", decode)) for t in batch.column(2).to_pylist()]
             score = 1 / (1 + np.exp(-np.clip(np.array(odds, float), -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
                                              names=["doc_id", "held_out", "score", "predicted"])

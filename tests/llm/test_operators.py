@@ -457,6 +457,33 @@ def test_every_disguised_token_is_decoded():
     assert read("they said") == {"they", "said"} and read("!!! ... ,,") <= {"i", "il", "ill", "l", "li"}
 
 
+def test_scoring_decodes_only_what_may_tell(monkeypatch):
+    rng = random.Random(9)
+    said = "you are an idiot and a clown they said with moron pass the class as usual willing bookkeeper cool oil illness add eel".split()
+    cost = toxicity.costs(toxicity.count_trigrams([" ".join(said)] * 50).astype(float))
+    model = {"idiot", "moron*", "clown", "ass", "ill", "illn*", "cool", "usua*", "fragment", "eel", "wordnotseen"}
+
+    def written(word):
+        as_symbols = {"a": "4@", "e": "3", "i": "1!|", "o": "0", "s": "5$", "l": "1", "c": "(", "g": "96", "t": "7+"}
+        out = "".join(rng.choice([c, c, c, c + c, rng.choice(as_symbols.get(c, c)), c + rng.choice(".-_*~ ")]) for c in word)
+        return rng.choice(["", "", "", "'", "(", "$", "«"]) + out + rng.choice(["", "", ",", "!!", "$$$", "***", "s", "-end", "7", "ж"])
+
+    texts = [" ".join(written(rng.choice(said)) for _ in range(40)) for _ in range(150)] + ["i d i o t", "", "éé ß 455 @$$ 11 111n3ss", " ".join(said)]
+    whole, runs = toxicity.Decoder(cost), Counter()
+    plain = [toxicity.restored_words(t, whole) for t in texts]
+    decode = toxicity.Decoder._decode
+    monkeypatch.setattr(toxicity.Decoder, "_decode", lambda self, word, ends: runs.update([self]) or decode(self, word, ends))
+    few, every = toxicity.Decoder(cost, model=model), toxicity.Decoder(cost, toxicity.features_of)
+    for text, words in zip(texts, plain):
+        assert toxicity.restored_words(text, few) == {f for f in toxicity.features_of(words) if f in model}, text
+        assert toxicity.restored_words(text, every) == toxicity.features_of(words), text
+    assert runs[few] < 0.7 * runs[every]
+    # room made between texts changes nothing
+    monkeypatch.setattr(toxicity, "_CACHE", 7)
+    small = toxicity.Decoder(cost, model=model)
+    assert [toxicity.restored_words(t, small) for t in texts] == [toxicity.restored_words(t, few) for t in texts]
+
+
 def test_toxicity_learns_and_scores_all_rows(spark):
     rng = random.Random(6)
     rows, labels = [], []
